@@ -2,9 +2,9 @@
 
 Every area is cut into grid cells. A cell that no edge passes through lies wholly inside or
 wholly outside: inside cells are kept without edges, outside cells are dropped. The other cells
-keep the edges that a ray to the right of one of their points can meet. A point has exactly one
-cell per grid, so a (point, area) pair appears once, and an area row is never merged with another
-row of the same id.
+keep the edges that a ray to the right meets before it enters a cell without edges. A point has
+exactly one cell per grid, so a (point, area) pair appears once, and an area row is never merged
+with another row of the same id.
 """
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -34,7 +34,8 @@ def area_cells(
 ) -> DataFrame:
     """(ZIP_Code, level, cx, cy, odd, edges): the cells an area covers or touches.
 
-    ``bounds`` ((xmin, xmax), (ymin, ymax)) says where points can be; cells beyond are left out.
+    ``bounds`` ((xmin, xmax), (ymin, ymax)) is the caller's promise that no point lies beyond;
+    cells outside are left out.
     An area of more than ``max_cells`` cells takes a coarser grid.
     """
     box = {c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}
@@ -57,7 +58,7 @@ def area_cells(
         "ZIP_Code",
         "edges",
         *[column.alias(name) for name, column in box.items()],
-        F.ceil(F.greatest(F.log(F.lit(16.0), cells / max_cells), F.lit(0.0))).cast("int").alias("level"),
+        F.ceil(F.greatest(F.log(16.0, cells / max_cells), F.lit(0.0))).cast("int").alias("level"),
     ).withColumn("g", _grid(F.col("level"), grid))
 
     g = F.col("g")
@@ -66,57 +67,76 @@ def area_cells(
         return geo.cell(value, g)
 
     rows = levelled.withColumn("cy", F.explode(F.sequence(index(F.col("ymin")), index(F.col("ymax")))))
-    rows = rows.withColumn(
-        "band",
-        F.filter(
-            "edges", lambda e: (index(e.y1) <= F.col("cy")) & (index(e.y2) >= F.col("cy"))
+    spans = F.transform(
+        F.filter("edges", lambda e: (index(e.y1) <= F.col("cy")) & (index(e.y2) >= F.col("cy"))),
+        lambda e: F.struct(
+            index(F.least(e.x1, e.x2)).alias("left"),
+            index(F.greatest(e.x1, e.x2)).alias("right"),
+            e.alias("e"),
         ),
     )
-    cut = rows.select(
+    banded = rows.select(
         "ZIP_Code",
         "level",
-        "g",
         "cy",
-        "band",
-        F.explode(F.sequence(index(F.col("xmin")), index(F.col("xmax")))).alias("cx"),
+        index(F.col("xmin")).alias("first"),
+        index(F.col("xmax")).alias("last"),
+        ((F.col("cy") + 0.5) / g).alias("middle"),
+        F.sort_array(spans).alias("band"),
+    ).withColumn("runs", _runs(F.col("band")))
+    a, b, band, middle = F.col("run.a"), F.col("run.b"), F.col("band"), F.col("middle")
+    beyond = F.filter(band, lambda s: (s.left > b) & (s.e.y1 <= middle) & (middle < s.e.y2))
+    following = F.try_element_at("runs", F.col("at") + 2)
+    runs = (
+        banded.select("*", F.posexplode("runs").alias("at", "run"))
+        .select(
+            "ZIP_Code",
+            "level",
+            "cy",
+            F.greatest(a, "first").alias("from"),
+            "last",
+            b.alias("b"),
+            following["a"].alias("next"),
+            F.pmod(F.size(beyond), F.lit(2)).alias("odd"),
+            F.filter(band, lambda s: (s.left >= a) & (s.right <= b)).alias("near"),
+        )
+        .withColumn(
+            "to", F.least(F.when(F.col("odd") == 1, F.col("next") - 1).otherwise(F.col("b")), "last")
+        )
+        .select("*", F.explode(F.when(F.col("from") <= F.col("to"), F.sequence("from", "to"))).alias("cx"))
     )
-
-    def left(e):
-        return index(F.least(e.x1, e.x2))
-
-    def right(e):
-        return index(F.greatest(e.x1, e.x2))
-
-    def beyond(e):
-        """Right of the cell and through its whole height: every ray of the cell meets it."""
-        return (left(e) > F.col("cx")) & (index(e.y1) < F.col("cy")) & (index(e.y2) > F.col("cy"))
-
-    middle_y = (F.col("cy") + 0.5) / g
-    split = cut.select(
+    reachable = F.filter("near", lambda s: s.right >= F.col("cx"))
+    return runs.select(
         "ZIP_Code",
         "level",
         "cx",
         "cy",
-        F.exists("band", lambda e: (left(e) <= F.col("cx")) & (right(e) >= F.col("cx"))).alias("border"),
-        F.pmod(F.size(F.filter("band", beyond)), F.lit(2)).alias("odd"),
-        F.filter("band", lambda e: (right(e) >= F.col("cx")) & ~beyond(e)).alias("edges"),
-        middle_y.alias("my"),
-    )
-    # Without a border edge the parity is the same all over the cell; its middle row decides.
-    inner = F.aggregate(
-        "edges",
-        F.col("odd"),
-        lambda acc, e: F.when((e.y1 <= F.col("my")) & (F.col("my") < e.y2), 1 - acc).otherwise(acc),
-    )
-    none = F.array().cast(f"array<{geo.EDGE_TYPE}>")
-    return (
-        split.withColumn("odd", F.when(F.col("border"), F.col("odd")).otherwise(inner))
-        .withColumn("edges", F.when(F.col("border"), F.col("edges")).otherwise(none))
-        .where(F.col("border") | (F.col("odd") == 1))
-        .select("ZIP_Code", "level", "cx", "cy", "odd", "edges")
+        "odd",
+        F.when(F.col("cx") <= F.col("b"), F.transform(reachable, lambda s: s.e))
+        .otherwise(F.array().cast(f"array<{geo.EDGE_TYPE}>"))
+        .alias("edges"),
     )
 
 
+def _runs(band: Column) -> Column:
+    """Stretches of neighbouring columns that edges enter, from spans sorted by left column.
+
+    Between two runs no edge passes: a ray that starts in a run can end behind it, and the cells
+    up to the next run all have the state found there.
+    """
+    kind = "array<struct<a:bigint,b:bigint>>"
+
+    def add(runs, s):
+        last = F.try_element_at(runs, F.lit(-1))
+        grown = F.struct(last.a.alias("a"), F.greatest(last.b, s.right).alias("b"))
+        return F.when(
+            s.left <= last.b + 1,
+            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown)),
+        ).otherwise(F.concat(runs, F.array(F.struct(s.left.alias("a"), s.right.alias("b"))))).cast(kind)
+
+    return F.aggregate(band, F.array().cast(kind), add)
+
+
 def measure_cells(cells: DataFrame) -> tuple[int, list[int]]:
     """Size of the prepared cells in bytes and the grid levels in use (one small job)."""
     row = cells.agg(
@@ -128,12 +148,10 @@ def measure_cells(cells: DataFrame) -> tuple[int, list[int]]:
 
 def _with_cell(points: DataFrame, levels, grid: float) -> DataFrame:
     """Add the point's cell for every grid level in use (one in the usual case)."""
-    if len(levels) == 1:
-        level = F.lit(levels[0])
-    else:
-        level = F.explode(F.array(*[F.lit(v) for v in levels]))
+    each = [F.lit(level).cast("int") for level in levels]
+    level = each[0] if len(each) == 1 else F.explode(F.array(*each))
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
-    levelled = points.where(finite).withColumn("level", level.cast("int"))
+    levelled = points.where(finite).withColumn("level", level)
     size = _grid(F.col("level"), grid)
     return levelled.withColumn("cx", geo.cell(F.col("x"), size)).withColumn(
         "cy", geo.cell(F.col("y"), size)
