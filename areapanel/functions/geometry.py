@@ -7,8 +7,8 @@ then compute the same number for a point near it, whatever way their rings run.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(E[+-]?\d+)?$"
-POINT_TYPE = "struct<x:double,y:double>"
+NUMBER = r"[+-]?(?:\d{1,60}\.?\d{0,60}|\.\d{1,60})(?:E[+-]?\d{1,2})?"
+PAIR = f"^{NUMBER} {NUMBER}$"
 EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -23,36 +23,30 @@ def looks_like_polygon(text: Column) -> Column:
     return F.upper(F.trim(text)).rlike(r"^(MULTI)?POLYGON\b")
 
 
-def _point(text: Column) -> Column:
-    """One coordinate pair; null unless it is exactly two finite numbers."""
-    tokens = F.split(F.trim(text), r"\s+")
-    x = F.try_element_at(tokens, F.lit(1)).try_cast("double")
-    y = F.try_element_at(tokens, F.lit(2)).try_cast("double")
-    fine = (
-        (F.size(tokens) == 2)
-        & F.forall(tokens, lambda t: t.rlike(NUMBER))
-        & (F.abs(x) < float("inf"))
-        & (F.abs(y) < float("inf"))
+def _point(pair: Column) -> Column:
+    """One coordinate pair; null unless it is exactly two plain numbers."""
+    return F.when(
+        pair.rlike(PAIR),
+        F.struct(
+            F.substring_index(pair, " ", 1).try_cast("double").alias("x"),
+            F.substring_index(pair, " ", -1).try_cast("double").alias("y"),
+        ),
     )
-    return F.when(fine, F.struct(x.alias("x"), y.alias("y")))
 
 
 def polygon_parts(wkt: Column) -> Column:
     """array<part: array<ring: array<point>>>; a point that cannot be read is null."""
-    text = F.upper(F.trim(wkt))
-    many = text.startswith("MULTI")
-    single = F.regexp_replace(
-        F.regexp_replace(text, r"^POLYGON\s*\(\s*\(", ""), r"\)\s*\)$", ""
-    )
-    several = F.regexp_replace(
-        F.regexp_replace(text, r"^MULTIPOLYGON\s*\(\s*\(\s*\(", ""), r"\)\s*\)\s*\)$", ""
-    )
-    parts = F.when(many, F.split(several, r"\)\s*\)\s*,\s*\(\s*\(")).otherwise(F.array(single))
+    text = F.regexp_replace(F.upper(F.trim(wkt)), r"\s+", " ")
+    single = F.regexp_replace(text, r"^POLYGON ?\( ?\( ?| ?\) ?\)$", "")
+    several = F.regexp_replace(text, r"^MULTIPOLYGON ?\( ?\( ?\( ?| ?\) ?\) ?\)$", "")
+    parts = F.when(
+        F.upper(F.trim(wkt)).startswith("MULTI"), F.split(several, r" ?\) ?\) ?, ?\( ?\( ?")
+    ).otherwise(F.array(single))
     return F.transform(
         parts,
         lambda part: F.transform(
-            F.split(part, r"\)\s*,\s*\("),
-            lambda ring: F.transform(F.split(ring, ","), _point),
+            F.split(part, r" ?\) ?, ?\( ?"),
+            lambda ring: F.transform(F.split(ring, " ?, ?"), _point),
         ),
     )
 

@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areapanel.functions import geometry as geo
+from areapanel.session import staged
 
 MAX_SIDE = 2048  # grid rows of one polygon
 SLACK = 1e-3  # share of a cell that covers rounding
 
 
 def read_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
-    """(ZIP_Code, area_key, parts, reason): parsed rings and the first structural fault, if any.
+    """Parsed rows and the first structural fault, if any.
 
-    Rows without an area id or a geometry text are dropped.
+    Columns: ZIP_Code, area_key, reason, and for rows without a fault ``rings`` (part, ring,
+    edges) and the box. Rows without an area id or a geometry text are dropped.
     """
     text = F.col(f"`{wkt}`")
     parsed = raw.dropna(subset=[area, wkt]).select(
@@ -43,34 +45,45 @@ def read_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
         .when(any_ring("parts", lambda r: F.size(r) < 4), "ring too short")
         .when(any_ring("parts", lambda r: geo.ring_area_twice(r) == 0), "ring without area")
     )
-    return readable.select("ZIP_Code", "area_key", "parts", fault.alias("reason"))
-
-
-def with_edges(polygons: DataFrame) -> DataFrame:
-    """Add the edges of all rings and their box. Rows are never regrouped by area id."""
-    edges = F.flatten(
-        F.transform("parts", lambda part: F.flatten(F.transform(part, geo.ring_edges)))
+    rings = F.flatten(
+        F.transform(
+            "parts",
+            lambda part, p: F.transform(
+                part,
+                lambda ring, r: F.struct(
+                    p.alias("part"), r.alias("ring"), geo.ring_edges(ring).alias("edges")
+                ),
+            ),
+        )
     )
     return (
-        polygons.withColumn("edges", edges)
-        .withColumn("box", geo.edge_box(F.col("edges")))
-        .select("*", "box.*")
-        .drop("box")
+        readable.withColumn("reason", fault)
+        .select("ZIP_Code", "area_key", "reason", F.when(F.col("reason").isNull(), rings).alias("rings"))
+        .withColumn("box", geo.edge_box(all_edges()))
+        .select("ZIP_Code", "area_key", "reason", "rings", "box.*")
     )
 
 
-def _gridded(polygons: DataFrame) -> DataFrame:
-    """Parts with the polygon's own grid: lower corner, rows per side, cells per unit."""
-    side = F.least(F.lit(MAX_SIDE), F.ceil(F.sqrt(F.size("edges")))).cast("double")
-    return with_edges(polygons.select("area_key", "parts")).select(
-        "area_key",
-        "parts",
-        F.struct(
-            F.col("xmin"),
-            F.col("ymin"),
-            (side / (F.col("xmax") - F.col("xmin"))).alias("ux"),
-            (side / (F.col("ymax") - F.col("ymin"))).alias("uy"),
-        ).alias("g"),
+def all_edges():
+    """The edges of all rings of a row; rows are never regrouped by area id."""
+    return F.flatten(F.transform("rings", lambda r: r.edges))
+
+
+def _rings(polygons: DataFrame) -> DataFrame:
+    """One row per ring with its polygon's own grid: lower corner and cells per unit."""
+    n_edges = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r.edges))
+    sized = polygons.withColumn("n_edges", n_edges)
+    side = F.least(F.lit(MAX_SIDE), F.ceil(F.sqrt("n_edges"))).cast("double")
+    grid = F.struct(
+        F.col("xmin"),
+        F.col("ymin"),
+        (side / (F.col("xmax") - F.col("xmin"))).alias("ux"),
+        (side / (F.col("ymax") - F.col("ymin"))).alias("uy"),
+    )
+    return (
+        sized.select("area_key", grid.alias("g"), "rings")
+        .select("area_key", "g", F.explode("rings").alias("r"))
+        .select("area_key", "g", "r.*", F.size("r.edges").alias("n"))
     )
 
 
@@ -82,26 +95,11 @@ def _column(x, slack=0.0):
     return F.floor((x - F.col("g.xmin")) * F.col("g.ux") + slack)
 
 
-def _rings(polygons: DataFrame) -> DataFrame:
-    return (
-        _gridded(polygons)
-        .select("area_key", "g", F.posexplode("parts").alias("part", "rings"))
-        .select("area_key", "g", "part", F.posexplode("rings").alias("ring", "points"))
-    )
-
-
 def _edge_rows(polygons: DataFrame) -> DataFrame:
     """One row per edge and grid row it passes."""
     return (
         _rings(polygons)
-        .select(
-            "area_key",
-            "g",
-            "part",
-            "ring",
-            (F.size("points") - 1).alias("n"),
-            F.posexplode(geo.ring_edges(F.col("points"))).alias("i", "e"),
-        )
+        .select("area_key", "g", "part", "ring", "n", F.posexplode("edges").alias("i", "e"))
         .withColumn("cy", F.explode(F.sequence(_row(F.col("e.y1")), _row(F.col("e.y2")))))
     )
 
@@ -154,35 +152,29 @@ def crossing_areas(polygons: DataFrame) -> DataFrame:
     a, b = cells.alias("a"), cells.alias("b")
     place = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("area_key", "cy", "cx")]
     earlier = F.struct("a.part", "a.ring", "a.i") < F.struct("b.part", "b.ring", "b.i")
-    found = a.join(b, [*place, earlier, _clash(F.col("a.e"), F.col("b.e"))], "left_semi")
+    found = a.join(b.hint("merge"), [*place, earlier, _clash(F.col("a.e"), F.col("b.e"))], "left_semi")
     return found.select("area_key").distinct()
 
 
 def misplaced_areas(polygons: DataFrame) -> DataFrame:
     """Keys of polygons with a hole outside its shell, a hole in a hole, or a part in a part.
 
-    Corners and edge middles of every ring are placed against the other rings of the polygon;
+    Both ends and the middle of every edge are placed against the other rings of the polygon;
     places on a boundary decide nothing.
     """
-    several = polygons.where((F.size("parts") > 1) | (F.size(F.col("parts")[0]) > 1))
-
-    def places(ring):
-        count = F.size(ring) - 1
-        return F.flatten(
-            F.zip_with(
-                F.slice(ring, 1, count),
-                F.slice(ring, 2, count),
-                lambda p, q: F.array(
-                    F.struct(p.x.alias("x"), p.y.alias("y")),
-                    F.struct(((p.x + q.x) / 2).alias("x"), ((p.y + q.y) / 2).alias("y")),
-                ),
-            )
-        )
-
+    several = polygons.where(F.size("rings") > 1)
     rings = _rings(several)
+    places = F.transform(
+        "edges",
+        lambda e: F.array(
+            F.struct(e.x1.alias("x"), e.y1.alias("y")),
+            F.struct(((e.x1 + e.x2) / 2).alias("x"), ((e.y1 + e.y2) / 2).alias("y")),
+            F.struct(e.x2.alias("x"), e.y2.alias("y")),
+        ),
+    )
     probes = (
         rings.select(
-            "area_key", "g", "part", "ring", F.posexplode(places(F.col("points"))).alias("place", "p")
+            "area_key", "g", "part", "ring", F.posexplode(F.flatten(places)).alias("place", "p")
         )
         .select("area_key", _row(F.col("p.y")).alias("cy"), "part", "ring", "place", "p.x", "p.y")
         .alias("p")
@@ -193,7 +185,7 @@ def misplaced_areas(polygons: DataFrame) -> DataFrame:
     e, x, y = F.col("e.e"), F.col("p.x"), F.col("p.y")
     other = (F.col("part") != F.col("o_part")) | (F.col("ring") != F.col("o_ring"))
     reach = y.between(e.y1, e.y2) & (F.greatest(e.x1, e.x2) >= x)
-    met = probes.join(edges, ["area_key", "cy"]).where(other & reach)
+    met = probes.join(edges.hint("merge"), ["area_key", "cy"]).where(other & reach)
     s = geo.side(e, x, y)
     placed = met.groupBy("area_key", "cy", "part", "ring", "place", "o_part", "o_ring").agg(
         F.bool_or((s == 0) & geo.between_x(e, x)).alias("on_edge"),
@@ -203,8 +195,8 @@ def misplaced_areas(polygons: DataFrame) -> DataFrame:
         F.count_if(~F.col("on_edge") & F.col("odd")).alias("inside"),
         F.count_if(F.col("on_edge")).alias("on_edge"),
     )
-    sizes = rings.select("area_key", "part", "ring", (2 * (F.size("points") - 1)).alias("total"))
-    facts = sizes.join(pairs, ["area_key", "part", "ring"], "left")
+    sizes = rings.select("area_key", "part", "ring", (3 * F.col("n")).alias("total"))
+    facts = sizes.hint("merge").join(pairs, ["area_key", "part", "ring"], "left")
     same_part = F.col("part") == F.col("o_part")
     within = F.col("inside") + F.col("on_edge")
     by_ring = facts.groupBy("area_key", "part", "ring", "total").agg(
@@ -228,8 +220,13 @@ def misplaced_areas(polygons: DataFrame) -> DataFrame:
 
 
 def assess_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
-    """(ZIP_Code, parts, reason): every polygon row with its fault; a null reason means valid."""
-    polygons = read_polygons(raw, area, wkt)
+    """Every polygon row with its fault; a null reason means valid.
+
+    The parsed rows are spread over the cluster and written once to the shared folder, because
+    the checks read them several times.
+    """
+    spread = raw.select(f"`{area}`", f"`{wkt}`").repartition(raw.sparkSession.sparkContext.defaultParallelism)
+    polygons = staged(read_polygons(spread, area, wkt), "polygons")
     sound = polygons.where(F.col("reason").isNull())
     faults = (
         crossing_areas(sound)
@@ -238,6 +235,6 @@ def assess_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
         .groupBy("area_key")
         .agg(F.min("fault").alias("fault"))
     )
-    return polygons.join(faults, "area_key", "left").select(
-        "ZIP_Code", "parts", F.coalesce("reason", "fault").alias("reason")
+    return polygons.join(faults, "area_key", "left").withColumn(
+        "reason", F.coalesce("reason", "fault")
     )

@@ -73,8 +73,8 @@ def clean_boundaries(raw: DataFrame, *, area="ZIP", strict=False) -> DataFrame:
         fine = F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
     else:
         fine = F.col("reason").isNull()
-    return validity.with_edges(checked.where(fine)).select(
-        "ZIP_Code", "edges", "xmin", "ymin", "xmax", "ymax"
+    return checked.where(fine).select(
+        "ZIP_Code", validity.all_edges().alias("edges"), "xmin", "ymin", "xmax", "ymax"
     )
 
 
