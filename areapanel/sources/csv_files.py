@@ -154,8 +154,10 @@ def probe_types(df: DataFrame, keep_leading_zeros=True) -> DataFrame:
             bad = bad | text.rlike(r"^\s*[+-]?0\d")
         if kind == "bigint":
             bad = bad | text.contains(".")
+        if kind == "date":  # a cast to date would cut a time off
+            bad = bad | ~text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$")
         if kind == "timestamp":
-            bad = bad | text.rlike(r"^\s*[T\d:.]*\s*$")
+            bad = bad | ~text.rlike(r"^\s*\d{4}-\d{2}-\d{2}")
         return F.count_if(bad)
 
     checks = []
