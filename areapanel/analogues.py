@@ -13,7 +13,7 @@ from areapanel import settings
 from areapanel.functions import values as v
 from areapanel.operators import panel
 from areapanel.plans import clean
-from areapanel.session import staged
+from areapanel.session import spread, staged
 
 # One event type per line number.
 LINE_TYPES = ("BATTERY", "THEFT", "ASSAULT", "BURGLARY", "HOMICIDE", "battery", "ROBBERY")
@@ -59,7 +59,8 @@ def raw_events(spark, folder) -> DataFrame:
 def points(spark, folder) -> DataFrame:
     """One point per order line, ids unique, exact binary coordinates inside the window."""
     place = F.col("l_orderkey") * 7 + F.col("l_linenumber")
-    return table(spark, folder, "lineitem").select(
+    used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    return spread(table(spark, folder, "lineitem").select(used)).select(
         F.col("l_orderkey"),
         F.col("l_linenumber"),
         F.trunc(F.expr(SHIPPED), "month").alias("Month_Date"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 NUMBER = r"[+-]?(?:\d{1,60}\.?\d{0,60}|\.\d{1,60})(?:E[+-]?\d{1,2})?"
 PAIR = f"^{NUMBER} {NUMBER}$"
+SLACK = 1e-3  # share of a grid cell that covers the rounding of ``x_range``
 EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -123,6 +124,17 @@ def cell(value: Column, grid: Column) -> Column:
     return F.floor(value * grid)
 
 
+def x_range(edge: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Smallest and largest x of the stretch of an edge between two heights."""
+    slope = (edge.x2 - edge.x1) / F.nullif(edge.y2 - edge.y1, F.lit(0.0))
+
+    def at(y):
+        return edge.x1 + (F.least(F.greatest(y, edge.y1), edge.y2) - edge.y1) * slope
+
+    start, end = F.coalesce(at(low), edge.x1), F.coalesce(at(high), edge.x2)
+    return F.least(start, end), F.greatest(start, end)
+
+
 def edge_box(edges: Column) -> Column:
     return F.struct(
         F.array_min(F.transform(edges, lambda e: F.least(e.x1, e.x2))).alias("xmin"),

@@ -67,13 +67,18 @@ def area_cells(
         return geo.cell(value, g)
 
     rows = levelled.withColumn("cy", F.explode(F.sequence(index(F.col("ymin")), index(F.col("ymax")))))
-    spans = F.transform(
-        F.filter("edges", lambda e: (index(e.y1) <= F.col("cy")) & (index(e.y2) >= F.col("cy"))),
-        lambda e: F.struct(
-            index(F.least(e.x1, e.x2)).alias("left"),
-            index(F.greatest(e.x1, e.x2)).alias("right"),
+    low, high = (F.col("cy") - geo.SLACK) / g, (F.col("cy") + 1 + geo.SLACK) / g
+
+    def span(e):
+        left, right = geo.x_range(e, low, high)
+        return F.struct(
+            F.floor(left * g - geo.SLACK).alias("left"),
+            F.floor(right * g + geo.SLACK).alias("right"),
             e.alias("e"),
-        ),
+        )
+
+    spans = F.transform(
+        F.filter("edges", lambda e: (index(e.y1) <= F.col("cy")) & (index(e.y2) >= F.col("cy"))), span
     )
     banded = rows.select(
         "ZIP_Code",

@@ -15,7 +15,6 @@ from areapanel.functions import geometry as geo
 from areapanel.session import staged
 
 MAX_SIDE = 2048  # grid rows of one polygon
-SLACK = 1e-3  # share of a cell that covers rounding
 
 
 def read_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
@@ -91,10 +90,6 @@ def _row(y):
     return F.floor((y - F.col("g.ymin")) * F.col("g.uy"))
 
 
-def _column(x, slack=0.0):
-    return F.floor((x - F.col("g.xmin")) * F.col("g.ux") + slack)
-
-
 def _edge_rows(polygons: DataFrame) -> DataFrame:
     """One row per edge and grid row it passes."""
     return (
@@ -106,21 +101,14 @@ def _edge_rows(polygons: DataFrame) -> DataFrame:
 
 def _edge_cells(polygons: DataFrame) -> DataFrame:
     """One row per edge and grid cell it passes: per grid row only the columns it reaches there."""
-    e, g = F.col("e"), F.col("g")
-    height = e.y2 - e.y1
-
-    def x_at(y):
-        inside = F.least(F.greatest(y, e.y1), e.y2)
-        return e.x1 + (inside - e.y1) * ((e.x2 - e.x1) / F.nullif(height, F.lit(0.0)))
-
-    low = F.coalesce(x_at(g.ymin + (F.col("cy") - SLACK) / g.uy), e.x1)
-    high = F.coalesce(x_at(g.ymin + (F.col("cy") + 1 + SLACK) / g.uy), e.x2)
-    return _edge_rows(polygons).withColumn(
-        "cx",
-        F.explode(
-            F.sequence(_column(F.least(low, high), -SLACK), _column(F.greatest(low, high), SLACK))
-        ),
+    g, cy = F.col("g"), F.col("cy")
+    left, right = geo.x_range(
+        F.col("e"), g.ymin + (cy - geo.SLACK) / g.uy, g.ymin + (cy + 1 + geo.SLACK) / g.uy
+    )
+    columns = F.sequence(
+        F.floor((left - g.xmin) * g.ux - geo.SLACK), F.floor((right - g.xmin) * g.ux + geo.SLACK)
     )
+    return _edge_rows(polygons).withColumn("cx", F.explode(columns))
 
 
 def _clash(a, b):

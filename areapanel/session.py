@@ -49,3 +49,10 @@ def staged(df, name: str, partition_by=()):
     path = new_stage(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Deal out a scan that has fewer splits than the cluster has cores (one small or unsplittable
+    file). Larger scans are returned as they are, so they are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -142,35 +142,44 @@ def bad_files(spark: SparkSession, path, columns, *, glob="*.csv") -> DataFrame:
     )
 
 
+def _readable_as(text, keep_leading_zeros):
+    """Bit set of the probed types that read one value (bit i stands for PROBED_TYPES[i])."""
+    cut = F.trim(text)
+    whole = r"^[+-]?\d+$"
+    decimal = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    padded = cut.rlike(r"^[+-]?0\d") if keep_leading_zeros else F.lit(False)
+    time = F.when(cut.try_cast("timestamp").isNotNull(), 8).otherwise(0)
+    return (
+        F.when(cut.rlike(decimal), F.when(padded, 0).when(
+            cut.rlike(whole) & cut.try_cast("bigint").isNotNull(), 1 + 2
+        ).otherwise(2))
+        .when(F.lower(cut).isin("nan", "inf", "infinity"), 2)
+        .when(cut.rlike(r"^\d{4}-\d{2}-\d{2}"), F.when(
+            (F.length(cut) == 10) & cut.try_cast("date").isNotNull(), 4 + 8
+        ).otherwise(time))
+        .when(F.lower(cut).isin("true", "false", "t", "f", "yes", "no", "y", "n"), 16)
+        .otherwise(0)
+    )
+
+
 def probe_types(df: DataFrame, keep_leading_zeros=True) -> DataFrame:
     """(column, type): the first of the probed types that reads every non-null value.
 
-    One aggregation over the table. A column with values such as ``00601`` stays text.
+    One aggregation over the table; null values decide nothing, a column without values is text.
+    A column with values such as ``00601`` stays text.
     """
-
-    def fails(text, kind):
-        bad = text.isNotNull() & text.try_cast(kind).isNull()
-        if keep_leading_zeros and kind in ("bigint", "double"):
-            bad = bad | text.rlike(r"^\s*[+-]?0\d")
-        if kind == "bigint":
-            bad = bad | text.contains(".")
-        if kind == "date":  # a cast to date would cut a time off
-            bad = bad | ~text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$")
-        if kind == "timestamp":
-            bad = bad | ~text.rlike(r"^\s*\d{4}-\d{2}-\d{2}")
-        return F.count_if(bad)
-
-    checks = []
-    for i, c in enumerate(df.columns):
-        text = F.col(f"`{c}`")
-        filled = F.count(text) > 0
-        choice = F.when(~filled, F.lit("string"))
-        for kind in PROBED_TYPES:
-            choice = choice.when(fails(text, kind) == 0, F.lit(kind))
-        checks.append(choice.otherwise("string").alias(f"t{i}"))
-    row = df.agg(*checks)
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"t{i}").alias("type")) for i, c in enumerate(df.columns)]
-    return row.select(F.inline(F.array(*pairs)))
+    masks = [
+        F.bit_and(F.when(F.col(f"`{c}`").isNotNull(), _readable_as(F.col(f"`{c}`"), keep_leading_zeros)))
+        for c in df.columns
+    ]
+    row = df.agg(*[mask.alias(f"m{i}") for i, mask in enumerate(masks)])
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mask")) for i, c in enumerate(df.columns)]
+    kind = F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(PROBED_TYPES))):
+        kind = F.when(F.col("mask").bitwiseAND(1 << i) != 0, name).otherwise(kind)
+    return row.select(F.inline(F.array(*pairs))).select(
+        "column", F.coalesce(kind, F.lit("string")).alias("type")
+    )
 
 
 def with_probed_types(df: DataFrame) -> DataFrame:
