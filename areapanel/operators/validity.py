@@ -8,7 +8,7 @@ candidate pairs are never written out.
 Not detected: an interior cut in two by holes that touch each other.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from areapanel.functions import geometry as geo
@@ -160,51 +160,59 @@ def misplaced_areas(polygons: DataFrame) -> DataFrame:
             F.struct(e.x2.alias("x"), e.y2.alias("y")),
         ),
     )
+    total = 3 * F.col("n")
     probes = (
         rings.select(
-            "area_key", "g", "part", "ring", F.posexplode(F.flatten(places)).alias("place", "p")
+            "area_key",
+            "g",
+            "part",
+            "ring",
+            total.alias("total"),
+            F.posexplode(F.flatten(places)).alias("place", "p"),
         )
-        .select("area_key", _row(F.col("p.y")).alias("cy"), "part", "ring", "place", "p.x", "p.y")
+        .select("area_key", _row(F.col("p.y")).alias("cy"), "part", "ring", "total", "place", "p.x", "p.y")
         .alias("p")
     )
-    edges = _edge_rows(several).select(
-        "area_key", "cy", F.col("part").alias("o_part"), F.col("ring").alias("o_ring"), "e"
-    ).alias("e")
+    edges = (
+        _edge_rows(several)
+        .select("area_key", "cy", F.col("part").alias("o_part"), F.col("ring").alias("o_ring"), "e")
+        .alias("e")
+    )
     e, x, y = F.col("e.e"), F.col("p.x"), F.col("p.y")
+    place = (F.col("p.area_key") == F.col("e.area_key")) & (F.col("p.cy") == F.col("e.cy"))
     other = (F.col("part") != F.col("o_part")) | (F.col("ring") != F.col("o_ring"))
     reach = y.between(e.y1, e.y2) & (F.greatest(e.x1, e.x2) >= x)
-    met = probes.join(edges.hint("merge"), ["area_key", "cy"]).where(other & reach)
+    met = probes.join(edges.hint("merge"), place & other & reach, "left")
     s = geo.side(e, x, y)
-    placed = met.groupBy("area_key", "cy", "part", "ring", "place", "o_part", "o_ring").agg(
+    placed = met.groupBy("p.area_key", "p.cy", "part", "ring", "total", "place", "o_part", "o_ring").agg(
         F.bool_or((s == 0) & geo.between_x(e, x)).alias("on_edge"),
         (F.count_if((s > 0) & (y < e.y2)) % 2 == 1).alias("odd"),
     )
-    pairs = placed.groupBy("area_key", "part", "ring", "o_part", "o_ring").agg(
-        F.count_if(~F.col("on_edge") & F.col("odd")).alias("inside"),
-        F.count_if(F.col("on_edge")).alias("on_edge"),
-    )
-    sizes = rings.select("area_key", "part", "ring", (3 * F.col("n")).alias("total"))
-    facts = sizes.hint("merge").join(pairs, ["area_key", "part", "ring"], "left")
-    same_part = F.col("part") == F.col("o_part")
-    within = F.col("inside") + F.col("on_edge")
-    by_ring = facts.groupBy("area_key", "part", "ring", "total").agg(
-        F.max(F.when(same_part & (F.col("o_ring") == 0), within)).alias("in_shell"),
-        F.max(F.when(same_part & (F.col("o_ring") > 0), F.col("inside"))).alias("in_hole"),
-    )
-    bad_hole = (F.coalesce("in_shell", F.lit(0)) < F.col("total")) | (F.col("in_hole") > 0)
-    holes = by_ring.where((F.col("ring") > 0) & bad_hole).select("area_key")
-    by_part = (
-        facts.where((F.col("ring") == 0) & (F.col("part") != F.col("o_part")))
-        .groupBy("area_key", "part", "o_part", "total")
-        .agg(
-            F.max(F.when(F.col("o_ring") == 0, F.col("inside"))).alias("in_shell"),
-            F.max(F.when(F.col("o_ring") > 0, within)).alias("in_hole"),
-        )
+    within = F.count_if(F.col("on_edge") | F.col("odd"))
+    pairs = placed.groupBy("area_key", "part", "ring", "total", "o_part", "o_ring").agg(
+        F.count_if(~F.col("on_edge") & F.col("odd")).alias("inside"), within.alias("within")
+    )
+    shell, hole = F.col("o_ring") == 0, F.col("o_ring") > 0
+    sides = pairs.groupBy("area_key", "part", "ring", "total", "o_part").agg(
+        F.max(F.when(shell, F.col("within"))).alias("within_shell"),
+        F.max(F.when(shell, F.col("inside"))).alias("inside_shell"),
+        F.coalesce(F.max(F.when(hole, F.col("within"))), F.lit(0)).alias("within_hole"),
+        F.coalesce(F.max(F.when(hole, F.col("inside"))), F.lit(0)).alias("inside_hole"),
+    )
+    own = F.col("o_part") == F.col("part")
+    good_hole = own & (F.col("within_shell") == F.col("total")) & (F.col("inside_hole") == 0)
+    bad_part = (
+        (F.col("ring") == 0)
+        & ~own
+        & (F.col("inside_shell") > 0)
+        & (F.col("within_hole") < F.col("total"))
     )
-    parts = by_part.where(
-        (F.col("in_shell") > 0) & (F.coalesce("in_hole", F.lit(0)) < F.col("total"))
-    ).select("area_key")
-    return holes.unionByName(parts).distinct()
+    verdict = sides.groupBy("area_key", "part", "ring").agg(
+        F.coalesce(F.bool_or(good_hole), F.lit(False)).alias("good_hole"),
+        F.coalesce(F.bool_or(bad_part), F.lit(False)).alias("bad_part"),
+    )
+    bad = F.col("bad_part") | ((F.col("ring") > 0) & ~F.col("good_hole"))
+    return verdict.where(bad).select("area_key").distinct()
 
 
 def assess_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
@@ -214,15 +222,16 @@ def assess_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
     the checks read them several times.
     """
     spread = raw.select(f"`{area}`", f"`{wkt}`").repartition(raw.sparkSession.sparkContext.defaultParallelism)
-    polygons = staged(read_polygons(spread, area, wkt), "polygons")
-    sound = polygons.where(F.col("reason").isNull())
-    faults = (
-        crossing_areas(sound)
-        .withColumn("fault", F.lit("edges cross"))
-        .unionByName(misplaced_areas(sound).withColumn("fault", F.lit("rings badly nested")))
-        .groupBy("area_key")
-        .agg(F.min("fault").alias("fault"))
+    seen = Observation()
+    parsed = read_polygons(spread, area, wkt).observe(
+        seen, F.count_if(F.size("rings") > 1).alias("with_several_rings")
     )
+    polygons = staged(parsed, "polygons")
+    sound = polygons.where(F.col("reason").isNull())
+    faults = crossing_areas(sound).withColumn("fault", F.lit("edges cross"))
+    if seen.get["with_several_rings"]:
+        misplaced = misplaced_areas(sound).withColumn("fault", F.lit("rings badly nested"))
+        faults = faults.unionByName(misplaced).groupBy("area_key").agg(F.min("fault").alias("fault"))
     return polygons.join(faults, "area_key", "left").withColumn(
         "reason", F.coalesce("reason", "fault")
     )
