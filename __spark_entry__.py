@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areapanel import analogues as an
-from areapanel import settings
 from areapanel.operators import checks, lags, panel, reshape, spatial
 from areapanel.operators.dedupe import dedupe_by_key
-from areapanel.plans import clean, pipeline, views
-from areapanel.session import new_stage
-from areapanel.sources import contracts, csv_files, population, tables
+from areapanel.plans import clean, views
+from areapanel.session import new_stage, spread
+from areapanel.sources import contracts, csv_files, population
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -287,7 +286,7 @@ def q_csv_nulls(spark, sf):
 
 
 def q_infer_types(spark, sf):
-    lines = an.table(spark, sf, "lineitem")
+    lines = spread(an.table(spark, sf, "lineitem"))
     text = lines.select(
         *[F.col(c).cast("string").alias(c) for c in lines.columns],
         F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("padded"),

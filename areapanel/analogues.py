@@ -45,7 +45,7 @@ def raw_events(spark, folder) -> DataFrame:
     )
     latitude = 41.25 + F.col("l_partkey") * 61 % 1024 / 1024
     longitude = -88.125 + (F.col("l_partkey") * 37 + F.col("l_suppkey") * 13 + F.col("l_orderkey") * 7) % 768 / 1024
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         F.col("l_orderkey").cast("string").alias("ID"),
         date.alias("Date"),
         F.when(F.col("l_quantity") != 13, by_line(LINE_TYPES)).alias("Primary Type"),
@@ -83,10 +83,6 @@ def diamond(cx, cy, r):
     return _ring(east, north, west, south, east)
 
 
-def _wkt(kind, *rings):
-    return F.concat(F.lit(f"{kind} "), *rings)
-
-
 def nation_areas(spark, folder) -> DataFrame:
     """Raw areas: per nation a diamond with a diamond hole and a second, smaller diamond."""
     cx = -87.96875 + F.col("n_nationkey") % 5 * 0.09375
@@ -110,29 +106,42 @@ def customer_areas(spark, folder) -> DataFrame:
     cx = -88.0 + F.col("c_custkey") % 4096 / 8192
     cy = 41.5 + F.floor(F.col("c_custkey") / 4096) % 4096 / 8192
     r, small = 0.0078125, 0.001953125
-    segment = F.col("c_mktsegment")
     open_ring = _ring((cx + r, cy), (cx, cy + r), (cx - r, cy), (cx, cy - r))
     bow_tie = _ring((cx, cy), (cx + r, cy + r), (cx + r, cy), (cx, cy + r + r), (cx, cy))
-    with_hole = F.concat(F.lit("POLYGON ("), diamond(cx, cy, r), F.lit(", "), diamond(cx, cy, small), F.lit(")"))
-    outside = F.concat(F.lit("POLYGON ("), diamond(cx, cy, r), F.lit(", "), diamond(cx + 1, cy, small), F.lit(")"))
-    two = F.concat(
-        F.lit("multipolygon((("), F.substring_index(diamond(cx, cy, r), "(", -1), F.lit("),(("),
-        F.substring_index(diamond(cx + 1, cy, small), "(", -1), F.lit("))")
+    shapes = table(spark, folder, "customer").select(
+        "c_custkey",
+        "c_nationkey",
+        "c_acctbal",
+        "c_mktsegment",
+        diamond(cx, cy, r).alias("outer"),
+        diamond(cx, cy, small).alias("hole"),
+        diamond(cx + 1, cy, small).alias("far"),
+        open_ring.alias("open_ring"),
+        bow_tie.alias("bow_tie"),
     )
+
+    def polygon(*rings):
+        return F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *rings), F.lit(")"))
+
+    segment = F.col("c_mktsegment")
     text = (
         F.when(F.col("c_nationkey") == 7, F.lit("POINT (1 1)"))
-        .when((segment == "BUILDING") & (F.col("c_acctbal") < 0), outside)
-        .when(segment == "BUILDING", with_hole)
-        .when(segment == "MACHINERY", F.concat(F.lit("POLYGON ("), bow_tie, F.lit(")")))
-        .when(segment == "HOUSEHOLD", F.concat(F.lit("POLYGON ("), open_ring, F.lit(")")))
-        .when(segment == "AUTOMOBILE", two)
-        .otherwise(F.concat(F.lit("POLYGON("), diamond(cx, cy, r), F.lit(")")))
-    )
-    return table(spark, folder, "customer").select(
+        .when((segment == "BUILDING") & (F.col("c_acctbal") < 0), polygon("outer", "far"))
+        .when(segment == "BUILDING", polygon("outer", "hole"))
+        .when(segment == "MACHINERY", polygon("bow_tie"))
+        .when(segment == "HOUSEHOLD", polygon("open_ring"))
+        .when(
+            segment == "AUTOMOBILE",
+            F.concat(F.lit("multipolygon(("), "outer", F.lit("),("), "far", F.lit("))")),
+        )
+        .otherwise(polygon("outer"))
+    )
+    raw = shapes.select(
         F.col("c_custkey").cast("string").alias("ZIP"),
         F.lit("12.5").alias("SHAPE_AREA"),
         F.when(F.col("c_nationkey") != 3, text).alias("the_geom"),
     )
+    return staged(raw, "raw-areas")
 
 
 def price_sum():

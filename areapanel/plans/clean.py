@@ -23,7 +23,8 @@ def clean_points(
 
     One row per ID is kept before any window is applied. Incomplete rows never survive, so they
     are dropped first and do not cross the shuffle; among complete rows of an ID the first by
-    (Date, Primary Type, Latitude, Longitude) stays.
+    (Date, Primary Type, Latitude, Longitude) stays. Dates are parsed before the grouping: behind
+    it the year filter would make Spark parse each date twice.
     """
     order = ["Date", "Primary Type", "Latitude", "Longitude"]
     complete = raw.select(
@@ -32,13 +33,13 @@ def clean_points(
         "Primary Type",
         v.number(F.col("Latitude")).alias("Latitude"),
         v.number(F.col("Longitude")).alias("Longitude"),
+        v.month_start(v.event_time(F.col("Date"))).alias("Month_Date"),
     ).dropna(subset=order)
     located = dedupe_by_key(complete, ["ID"], order).where(
         F.col("Latitude").between(*latitudes) & F.col("Longitude").between(*longitudes)
     )
-    dated = located.withColumn("Month_Date", v.month_start(v.event_time(F.col("Date"))))
     return (
-        dated.withColumn("Year", F.year("Month_Date"))
+        located.withColumn("Year", F.year("Month_Date"))
         .where(v.in_years(F.col("Year"), years))
         .select(
             "ID",

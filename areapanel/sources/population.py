@@ -11,7 +11,7 @@ def read_responses(spark: SparkSession, path) -> DataFrame:
     """(year, body): one landed response per file; the year is the first 4-digit run of 20xx in
     the file name."""
     name = F.col("_metadata.file_name")
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(name, r"(20\d{2})", 1).try_cast("int").alias("year"),
         F.col("value").alias("body"),
     )
