@@ -24,6 +24,18 @@ class Paths:
     values: str
     responses: str
 
+    @classmethod
+    def under(
+        cls,
+        root: str,
+        events="chicago_crime.csv",
+        values="chicago_zillow_home_values.csv",
+        areas="chicago_zip_boundaries.csv",
+        responses="population",
+    ) -> "Paths":
+        """Objects below one bucket or folder, by their usual names."""
+        return cls(*[f"{root.rstrip('/')}/{name}" for name in (events, areas, values, responses)])
+
 
 @dataclass
 class Run:

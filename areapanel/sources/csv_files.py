@@ -1,15 +1,15 @@
 """CSV files: plain string scans, loads by column name, file skipping, type probing."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areapanel import settings
 from areapanel.functions import values as v
+from areapanel.operators.reshape import append_all
 
 CORRUPT = "_corrupt_record"
+BROADCAST_FILES = 100_000
 PROBED_TYPES = ("bigint", "double", "date", "timestamp", "boolean")
 
 
@@ -82,24 +82,21 @@ def read_csv_by_name(
 ) -> DataFrame:
     """Load CSV files whose headers may differ in order and letter case.
 
-    Files are grouped by header line (one read per distinct header, however many files), names
-    are matched without regard to case, missing columns are null. With a ``schema`` values are
-    cast to it and other columns ignored. A file with a row of the wrong width or a value
-    that cannot be cast is left out as a whole when ``skip_bad_files`` is set, else it raises.
+    Names are matched without regard to case, missing columns are null. There is one read per
+    distinct header, however many files; only file names and headers come to the driver, which
+    lists the files anyway. With a ``schema`` values are cast to it and other columns ignored. A
+    file with a row of the wrong width or a value that cannot be cast is left out as a whole
+    when ``skip_bad_files`` is set, else it raises.
     """
-    groups = (
-        file_headers(spark, path, glob)
-        .groupBy("header")
-        .agg(F.collect_list("file").alias("files"))
-        .orderBy("header")
-        .collect()
-    )
+    groups = {}
+    for row in file_headers(spark, path, glob).toLocalIterator():
+        groups.setdefault(row["header"], []).append(row["file"])
     if not groups:
         raise FileNotFoundError(f"no file matches {glob} below {path}")
     frames = [
-        _read_one_header(spark, g["files"], schema, glob, skip_bad_files, tokens) for g in groups
+        _read_one_header(spark, groups[h], schema, glob, skip_bad_files, tokens) for h in sorted(groups)
     ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return append_all(frames)
 
 
 def _read_one_header(spark, files, schema, glob, skip_bad_files, tokens):
@@ -127,6 +124,8 @@ def _read_one_header(spark, files, schema, glob, skip_bad_files, tokens):
         fail = F.raise_error(F.concat(F.lit("bad row in "), F.col("_file"))).cast("boolean")
         return raw.where(F.when(broken, fail).otherwise(True)).select(*casts)
     bad = raw.where(broken).select("_file").distinct()
+    if len(files) <= BROADCAST_FILES:  # no more names than files
+        bad = F.broadcast(bad)
     return raw.join(bad, "_file", "left_anti").select(*casts)
 
 

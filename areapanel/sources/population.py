@@ -42,11 +42,10 @@ def load_population(
 
     The area id is taken from the name, not from the id column of the response.
     """
-    row = F.explode(F.slice("rows", F.lit(2), F.size("rows")))
-    cells = (
-        _opened(responses, column)
-        .where(_usable() & v.in_years(F.col("year"), years))
-        .select("year", "at_name", "at_count", row.alias("row"))
+    # Unusable documents explode to nothing: a filter here would be pushed down and parse again.
+    row = F.explode(F.when(_usable(), F.slice("rows", F.lit(2), F.size("rows"))))
+    cells = _opened(responses.where(v.in_years(F.col("year"), years)), column).select(
+        "year", "at_name", "at_count", row.alias("row")
     )
     count = F.try_element_at("row", F.col("at_count"))
     # Java reads a trailing d or f as part of a number; the source format has none.
