@@ -116,7 +116,7 @@ def covers_point(edges: Column, odd: Column, x: Column, y: Column) -> Column:
             .otherwise(acc)
         )
 
-    return F.aggregate(edges, odd, step) != 0
+    return F.when(F.size(edges) == 0, odd != 0).otherwise(F.aggregate(edges, odd, step) != 0)
 
 
 def cell(value: Column, grid: Column) -> Column:

@@ -7,6 +7,8 @@ exactly one cell per grid, so a (point, area) pair appears once, and an area row
 with another row of the same id.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -142,24 +144,40 @@ def _runs(band: Column) -> Column:
     return F.aggregate(band, F.array().cast(kind), add)
 
 
-def measure_cells(cells: DataFrame) -> tuple[int, list[int]]:
-    """Size of the prepared cells in bytes and the grid levels in use (one small job)."""
+@dataclass(frozen=True)
+class Measure:
+    """Size of prepared cells in bytes, the grid levels in use, and the type a cell index needs."""
+
+    size: int
+    levels: tuple
+    index: str
+
+
+def measure_cells(cells: DataFrame) -> Measure:
+    """One small job over the areas' cells."""
+    indexes = [F.abs("cx"), F.abs("cy")]
     row = cells.agg(
         F.sum(F.lit(ROW_BYTES) + F.length("ZIP_Code") + F.size("edges") * EDGE_BYTES).alias("bytes"),
         F.collect_set("level").alias("levels"),
+        F.max(F.greatest(*indexes)).alias("largest"),
     ).first()
-    return row["bytes"] or 0, sorted(row["levels"])
+    small = (row["largest"] or 0) < 2**31
+    return Measure(row["bytes"] or 0, tuple(sorted(row["levels"])), "int" if small else "bigint")
+
 
+def _with_cell(points: DataFrame, levels, grid: float, index="bigint") -> DataFrame:
+    """Add the point's cell for every grid level in use (one in the usual case).
 
-def _with_cell(points: DataFrame, levels, grid: float) -> DataFrame:
-    """Add the point's cell for every grid level in use (one in the usual case)."""
+    Two int indexes make one long join key. A point beyond the range of an index type that holds
+    all cells of the areas has no cell there and drops out.
+    """
     each = [F.lit(level).cast("int") for level in levels]
     level = each[0] if len(each) == 1 else F.explode(F.array(*each))
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     levelled = points.where(finite).withColumn("level", level)
     size = _grid(F.col("level"), grid)
-    return levelled.withColumn("cx", geo.cell(F.col("x"), size)).withColumn(
-        "cy", geo.cell(F.col("y"), size)
+    return levelled.withColumn("cx", geo.cell(F.col("x"), size).try_cast(index)).withColumn(
+        "cy", geo.cell(F.col("y"), size).try_cast(index)
     )
 
 
@@ -177,8 +195,8 @@ def hot_cells(placed: DataFrame, hot_rows: int, share: int = settings.HOT_SHARE)
 
 def _salted(placed: DataFrame, cells: DataFrame, hot) -> tuple[DataFrame, DataFrame]:
     """Spread the points of hot cells over salts and repeat those cells once per salt."""
-    spark = placed.sparkSession
-    table = F.broadcast(spark.createDataFrame(hot, "level int, cx bigint, cy bigint, salts bigint"))
+    spark, kind = placed.sparkSession, dict(placed.dtypes)["cx"]
+    table = F.broadcast(spark.createDataFrame(hot, f"level int, cx {kind}, cy {kind}, salts bigint"))
     salts = F.coalesce("salts", F.lit(1))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns]), salts)
     placed = placed.join(table, CELL, "left").withColumn("salt", spread).drop("salts")
@@ -208,18 +226,20 @@ def assign_area(
     both sides are shuffled by cell with the hot cells salted.
     """
     cells = area_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
-    size, levels = measure_cells(cells)
-    if not levels:
+    measure = measure_cells(cells)
+    if not measure.levels:
         return points.withColumn("ZIP_Code", F.lit("")).where(F.lit(False))
-    return _join_cells(points, cells, size, levels, grid, broadcast_bytes, hot_rows)
+    return _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows)
 
 
-def _join_cells(points, cells, size, levels, grid, broadcast_bytes, hot_rows):
-    if size > broadcast_bytes:
+def _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows):
+    small = measure.size <= broadcast_bytes
+    if not small:
         points = staged(points, "points")
-    placed = _with_cell(points, levels, grid)
+    placed = _with_cell(points, measure.levels, grid, measure.index)
+    cells = cells.withColumns({c: F.col(c).cast(measure.index) for c in ("cx", "cy")})
     keys = list(CELL)
-    if size <= broadcast_bytes:
+    if small:
         cells = F.broadcast(cells)
     else:
         hot = hot_cells(placed, hot_rows)
@@ -252,12 +272,12 @@ def count_by_area(
     copies of a point cross the shuffle once.
     """
     cells = area_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
-    size, levels = measure_cells(cells)
+    measure = measure_cells(cells)
     slim = points.select("x", "y", "Month_Date", "Year", "Crime_Category")
-    if not levels:
+    if not measure.levels:
         joined = slim.withColumn("ZIP_Code", F.lit("")).where(F.lit(False))
         return aggregate_categories(joined, categories)
-    if size > broadcast_bytes:
+    if measure.size > broadcast_bytes:
         slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("n"))
-    joined = _join_cells(slim, cells, size, levels, grid, broadcast_bytes, hot_rows)
+    joined = _join_cells(slim, cells, measure, grid, broadcast_bytes, hot_rows)
     return aggregate_categories(joined, categories)

@@ -18,13 +18,18 @@ def strings(columns) -> T.StructType:
 
 
 def read_csv_strings(spark: SparkSession, path, columns=None) -> DataFrame:
-    """Header CSV, every column a string; without ``columns`` the names come from the header."""
-    reader = spark.read.option("header", True).option("escape", '"')
-    if columns:
-        reader = reader.schema(strings(columns)).option("enforceSchema", False)
-    else:
-        reader = reader.option("inferSchema", False)
-    return reader.csv(path)
+    """Header CSV, every column a string; without ``columns`` the names come from the header.
+
+    Spark binds columns by position. Files whose header differs raise instead of mixing columns;
+    ``read_csv_by_name`` loads those.
+    """
+    reader = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("inferSchema", False)
+        .option("enforceSchema", False)
+    )
+    return (reader.schema(strings(columns)) if columns else reader).csv(path)
 
 
 def file_headers(spark: SparkSession, path, glob="*.csv") -> DataFrame:

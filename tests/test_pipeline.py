@@ -84,3 +84,10 @@ def test_wrong_header_fails(spark, sources):
     (folder / "events.csv").write_text("ID,Date\n1,2\n")
     with pytest.raises(ValueError, match="missing required columns: Latitude, Longitude, Primary Type"):
         pipeline.run(spark, paths, str(folder / "out"))
+
+
+def test_paths_below_a_root():
+    paths = pipeline.Paths.under("gs://bucket/", areas="a.csv")
+    assert paths.events == "gs://bucket/chicago_crime.csv"
+    assert paths.values == "gs://bucket/chicago_zillow_home_values.csv"
+    assert paths.areas == "gs://bucket/a.csv"

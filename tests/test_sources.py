@@ -151,3 +151,13 @@ def test_classify_sources(spark, tmp_path):
     assert found == {"crime": ("events1.csv", 5), "zillow": ("values.csv", 4), "boundary": ("areas.csv", 2)}
     without = contracts.classify_sources(headers.where("not endswith(file, '/values.csv')"))
     assert "zillow" not in {r["kind"] for r in without.collect()}
+
+
+def test_string_scan_refuses_mixed_headers(spark, tmp_path):
+    path = put(tmp_path, a_dot_csv="a,b\n1,2\n", b_dot_csv="b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_files.read_csv_strings(spark, path).collect()
+    got = csv_files.read_csv_strings(spark, path + "/a.csv", ["a", "b"])
+    assert rows(got.select("b")) == [("2",)]
+    same = put(tmp_path, c_dot_csv="a,b\n5,6\n")
+    assert rows(csv_files.read_csv_strings(spark, [same + "/a.csv", same + "/c.csv"]).select("b")) == [("2",), ("6",)]

@@ -138,6 +138,15 @@ def test_points_that_are_nowhere(spark):
     assert no_areas.columns == ["k", "x", "y", "ZIP_Code"] and no_areas.count() == 0
 
 
+def test_far_coordinates_need_wide_indexes(spark):
+    shifted = [("far", "POLYGON ((100000000 0, 100000004 0, 100000004 4, 100000000 4, 100000000 0))"), ("near", SQUARE)]
+    points = [(100000001, 1), (100000004, 2), (100000005, 2), (1, 1), (-90000000, 1)]
+    for options in ({}, {"broadcast_bytes": 0, "hot_rows": 1}):
+        assert place(spark, shifted, points, **options) == [
+            ("(1, 1)", "near"), ("(100000001, 1)", "far"), ("(100000004, 2)", "far"),
+        ]
+
+
 def star(rng, cx, cy, r, n):
     angle = np.linspace(0, 2 * np.pi, n, endpoint=False) + rng.uniform(-0.3, 0.3, n) / n
     radius = r * (0.8 + 0.15 * np.sin(3 * angle) + 0.04 * np.sin(7 * angle))
