@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from areapanel.functions import values as v
 
+SLICES_PER_DOUBLING = 64
+ABOVE_ALL_SIZES = 1 << 20  # more than any logarithm of a double in slices
+
 
 def _previous(column: str, order_by, partition_by=()):
     order = [F.col(c).asc_nulls_last() for c in order_by]
@@ -25,40 +28,52 @@ def relative_change_by_row(df: DataFrame, value: str, order_by, partition_by=(),
     )
 
 
+def _slice(value):
+    """Coarse position of a number, never falling as the number rises; null for null."""
+    size = F.floor(F.log2(F.abs(value)) * SLICES_PER_DOUBLING) + ABOVE_ALL_SIZES
+    return F.when(value > 0, size).when(value < 0, -size).when(value == 0, 0)
+
+
 def average_growth(df: DataFrame, area="ZIP_CODE", month="Month_Date", value="ZHVI_Value", carried=()):
     """Per area: average percent change of ``value`` from row to row in month order, and the
     plain averages of the ``carried`` columns.
 
-    Rows of one month are taken in value order. No task needs all rows of an area: equal rows are
-    first counted together, changes inside a month are found per (area, month), and only one row
-    per month goes through the window over the area. A change between equal values is 0 (null
-    when the value is 0), so ``n`` equal rows add ``n - 1`` such changes.
+    Rows of one month are taken in value order. No task needs all rows of an area or month: equal
+    rows are first counted together, changes are found inside slices of a month (values of
+    similar size), and only one row per slice goes through the window over the area. A change
+    between equal values is 0 (null when the value is 0), so ``n`` equal rows add ``n - 1`` such
+    changes.
     """
-    sums = {c: (F.sum(c), F.count(c)) for c in carried}
-    level = df.groupBy(area, month, value).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[a.alias(f"sum_{c}") for c, (a, _) in sums.items()],
-        *[a.alias(f"cnt_{c}") for c, (_, a) in sums.items()],
+    number = F.col(value)
+    level = (
+        df.withColumn("slice", _slice(number))
+        .groupBy(area, month, "slice", value)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum(c).alias(f"sum_{c}") for c in carried],
+            *[F.count(c).alias(f"cnt_{c}") for c in carried],
+        )
     )
-    step = v.percent_change(F.col(value), _previous(value, [value], [area, month]))
-    flat = F.when(F.col(value) != 0, F.col("n") - 1).otherwise(0)
-    months = (
+    step = v.percent_change(number, _previous(value, [value], [area, month, "slice"]))
+    flat = F.when(number != 0, F.col("n") - 1).otherwise(0)
+    slices = (
         level.withColumn("step", step)
         .withColumn("flat", flat)
-        .groupBy(area, month)
+        .groupBy(area, month, "slice")
         .agg(
             F.min(value).alias("first_value"),
-            F.when(F.count(value) == F.count(F.lit(1)), F.max(value)).alias("last_value"),
+            F.max(value).alias("last_value"),
             F.sum("step").alias("step_sum"),
             (F.count("step") + F.sum("flat")).alias("step_count"),
             *[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in carried for k in ("sum", "cnt")],
         )
     )
-    across = v.percent_change(F.col("first_value"), _previous("last_value", [month], [area]))
+    before = _previous("last_value", [month, "slice"], [area])
+    across = v.percent_change(F.col("first_value"), before)
     total = F.coalesce(F.sum("step_sum"), F.lit(0.0)) + F.coalesce(F.sum("across"), F.lit(0.0))
     count = F.sum("step_count") + F.count("across")
     return (
-        months.withColumn("across", across)
+        slices.withColumn("across", across)
         .groupBy(area)
         .agg(
             (total / F.nullif(count, F.lit(0))).alias("growth"),
