@@ -26,13 +26,6 @@ def event_time(text: Column) -> Column:
     ).otherwise(F.try_to_timestamp(text, F.lit(EVENT_FORMAT_24H)))
 
 
-def month_label_time(label: Column) -> Column:
-    """Time of a month column name, its form chosen by content."""
-    return F.when(label.contains("/"), F.try_to_timestamp(label, F.lit("MM/dd/yyyy"))).otherwise(
-        F.try_to_timestamp(label, F.lit("yyyy-MM-dd"))
-    )
-
-
 def month_start(time: Column) -> Column:
     return F.trunc(time, "month")
 

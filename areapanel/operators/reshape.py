@@ -27,8 +27,8 @@ def month_of_label(label: str) -> dt.date | None:
         return None
 
 
-def month_columns(columns, years=None) -> list[str]:
-    """Names that stand for a month; with ``years`` only those inside the window.
+def month_columns(columns, years=None) -> dict[str, dt.date]:
+    """Column names that stand for a month, with that month; with ``years`` only inside the window.
 
     Raises when the table has no month column at all.
     """
@@ -36,14 +36,19 @@ def month_columns(columns, years=None) -> list[str]:
     found = {c: m for c, m in found.items() if m}
     if not found:
         raise ValueError("no month columns found; check the header of the value source")
-    return [c for c, m in found.items() if years is None or years[0] <= m.year <= years[1]]
+    return {c: m for c, m in found.items() if years is None or years[0] <= m.year <= years[1]}
 
 
-def melt(df: DataFrame, ids, columns, name: str, value: str) -> DataFrame:
-    """One row per (row, column); nulls are kept. An empty column list gives no rows."""
-    if not columns:
-        return df.select(*ids, F.lit("").alias(name), F.lit("").alias(value)).where(F.lit(False))
-    return df.unpivot(list(ids), list(columns), name, value)
+def melt_months(df: DataFrame, ids, months: dict, name: str, value: str) -> DataFrame:
+    """One row per (row, month column); nulls are kept.
+
+    The month comes from the column name once, as a date literal, so no row parses a date.
+    """
+    if not months:
+        none = F.lit(None)
+        return df.select(*ids, none.cast("date").alias(name), none.cast("string").alias(value)).where("false")
+    pairs = [p for label, month in months.items() for p in (F.lit(month), F.col(f"`{label}`"))]
+    return df.select(*ids, F.stack(F.lit(len(months)), *pairs).alias(name, value))
 
 
 def measures_to_rows(df: DataFrame, ids, labels: dict, name: str, value: str) -> DataFrame:

@@ -98,12 +98,10 @@ def clean_wide_series(
         rows = rows.where(F.col(column) == value)
     if region_type:
         rows = rows.where(F.lower(F.trim("RegionType")) == region_type.lower())
-    rows = rows.select(v.area_text(F.col("RegionName")).alias("ZIP_Code"), *[f"`{m}`" for m in months])
-    long = reshape.melt(rows, ["ZIP_Code"], months, "Raw_Date", "ZHVI_Value_Str")
-    return (
-        long.withColumn("ZHVI_Value", v.number(F.col("ZHVI_Value_Str")))
-        .where("ZHVI_Value > 0")
-        .withColumn("Month_Date", v.month_start(v.month_label_time(F.col("Raw_Date"))))
-        .where(v.in_years(F.year("Month_Date"), years))
-        .select("ZIP_Code", "Month_Date", "ZHVI_Value")
+    area = v.area_text(F.col("RegionName")).alias("ZIP_Code")
+    long = reshape.melt_months(
+        rows.select(area, *[f"`{m}`" for m in months]), ["ZIP_Code"], months, "Month_Date", "text"
+    )
+    return long.select("ZIP_Code", "Month_Date", v.number(F.col("text")).alias("ZHVI_Value")).where(
+        "ZHVI_Value > 0"
     )

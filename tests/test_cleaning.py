@@ -132,8 +132,8 @@ def test_wide_series(spark):
 
 def test_month_columns():
     names = ["RegionName", "2020-01-31", "01/31/2020", "2020-13-01", "a-b", "20th", "1/1/2020"]
-    assert reshape.month_columns(names) == ["2020-01-31", "01/31/2020"]
-    assert reshape.month_columns(names, (2021, 2022)) == []
+    assert reshape.month_columns(names) == {"2020-01-31": D(2020, 1, 1), "01/31/2020": D(2020, 1, 1)}
+    assert reshape.month_columns(names, (2021, 2022)) == {}
     with pytest.raises(ValueError, match="no month columns"):
         reshape.month_columns(["RegionName", "a-b"])
 
