@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from areapanel import analogues as an
 from areapanel.operators import checks, lags, panel, reshape, spatial
 from areapanel.operators.dedupe import dedupe_by_key
-from areapanel.plans import clean, views
+from areapanel.plans import clean, pipeline, views
 from areapanel.session import new_stage, spread
 from areapanel.sources import contracts, csv_files, population
 
@@ -107,6 +107,17 @@ def q_final_table(spark, sf):
     return an.final(spark, sf)
 
 
+def q_whole_run(spark, sf):
+    """The whole run on text sources: events, areas, wide values and landed JSON responses."""
+    landed = new_stage(spark, "responses")
+    an.responses(spark, sf).withColumnRenamed("body", "value").write.partitionBy("year").text(landed)
+    people = population.load_population(population.read_responses(spark, landed, whole_files=False))
+    analytical, _ = pipeline.analytical_table(
+        spark, an.raw_events(spark, sf), an.nation_areas(spark, sf), an.wide_values(spark, sf)
+    )
+    return pipeline.final_table(analytical, people)
+
+
 def q_key_overlap(spark, sf):
     late = an.people(spark, sf).where("Population > 1200")
     return checks.key_overlap(an.counts(spark, sf), late)
@@ -549,6 +560,16 @@ def oracle_sql() -> dict[str, str]:
         "final_table": f"""WITH {_PANEL}
             SELECT zip AS "ZIP_CODE", m AS "Month_Date", y AS "Year", pc AS "Property_Crime_Count",
               vc AS "Violent_Crime_Count", z AS "ZHVI_Value", pop AS "Population" FROM final""",
+        "whole_run": f"""WITH {_EVENTS}, {_AREAS}, {_PANEL}, {_RESPONSES},
+            counted AS (SELECT a.zip, "Month_Date", "Year", {_COUNT_COLUMNS}
+              FROM events_clean p JOIN areas a ON {_HIT} GROUP BY 1, 2, 3)
+            SELECT c.zip AS "ZIP_CODE", c."Month_Date", c."Year", "Property_Crime_Count", "Violent_Crime_Count",
+              v."ZHVI_Value", CAST(q AS DOUBLE) AS "Population"
+            FROM counted c JOIN vals v ON c.zip = v."ZIP_Code" AND c."Month_Date" = v."Month_Date"
+            JOIN supplier s ON s.s_suppkey = v.l_suppkey
+            JOIN yearly y ON y.zip = c.zip AND y.y = c."Year"
+            WHERE v.n > 3 AND s_acctbal >= 0 AND s_nationkey <> 11 AND year(c."Month_Date") BETWEEN 2014 AND 2020
+              AND y.n % 11 <> 0 AND y.n % 5 <> 0 AND y.n % 7 <> 0 AND q > 0""",
         "key_overlap": f"""WITH {_PANEL},
             a AS (SELECT DISTINCT "ZIP_Code", "Year" FROM counts WHERE "Year" BETWEEN 2014 AND 2024),
             p AS (SELECT DISTINCT "ZIP_Code", "Year" FROM people

@@ -7,12 +7,16 @@ from areapanel import settings
 from areapanel.functions import values as v
 
 
-def read_responses(spark: SparkSession, path) -> DataFrame:
-    """(year, body): one landed response per file; the year is the first 4-digit run of 20xx in
-    the file name."""
-    name = F.col("_metadata.file_name")
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(name, r"(20\d{2})", 1).try_cast("int").alias("year"),
+def read_responses(spark: SparkSession, path, whole_files=True) -> DataFrame:
+    """(year, body): landed responses, one per file, or one per line without ``whole_files``.
+
+    The year comes from a ``year=2014`` folder, else from the first 20xx in the file name.
+    """
+    folder = F.regexp_extract("_metadata.file_path", r"(?i)year=(\d{4})/", 1)
+    name = F.regexp_extract("_metadata.file_name", r"(20\d{2})", 1)
+    responses = spark.read.option("recursiveFileLookup", True).text(path, wholetext=whole_files)
+    return responses.select(
+        F.coalesce(folder.try_cast("int"), name.try_cast("int")).alias("year"),
         F.col("value").alias("body"),
     )
 

@@ -182,3 +182,12 @@ def test_population_files(spark, tmp_path):
     (tmp_path / "acs_2015.json").write_text("not json")
     responses = population.read_responses(spark, str(tmp_path))
     assert rows(population.load_population(responses)) == [("00601", 2014, 7.0)]
+
+
+def test_population_lines_below_year_folders(spark, tmp_path):
+    for year in (2014, 2015):
+        folder = tmp_path / f"Year={year}"
+        folder.mkdir()
+        (folder / "part-2020.txt").write_text('[["NAME","B01003_001E"],["ZCTA5 1","7"]]\n<html>\n')
+    responses = population.read_responses(spark, str(tmp_path), whole_files=False)
+    assert rows(population.load_population(responses)) == [("1", 2014, 7.0), ("1", 2015, 7.0)]
