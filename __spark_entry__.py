@@ -18,6 +18,13 @@ from areapanel.plans import clean, pipeline, views
 from areapanel.session import new_stage, spread
 from areapanel.sources import contracts, csv_files, population
 
+try:
+    import areapanel.llm.queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("areapanel.llm", "areapanel.llm.queries"):
+        raise
+    corpus = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -317,9 +324,12 @@ def entry(spark: SparkSession) -> DataFrame:
     return views.property_crime_distribution(counts.withColumnRenamed("ZIP_Code", "ZIP_CODE"))
 
 
+def panel_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name[2:]: call for name, call in globals().items() if name.startswith("q_")}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name[2:]: call for name, call in globals().items() if name.startswith("q_")}
-    return found
+    return panel_queries() | (corpus.queries() if corpus else {})
 
 
 # --- SQL twins ----------------------------------------------------------------------------
@@ -505,6 +515,10 @@ def _probe_sql():
 
 
 def oracle_sql() -> dict[str, str]:
+    return panel_sql() | (corpus.oracle_sql() if corpus else {})
+
+
+def panel_sql() -> dict[str, str]:
     return {
         "clean_points": f"WITH {_EVENTS} SELECT * FROM events_clean",
         "dedupe_by_key": """

@@ -31,15 +31,15 @@ def plain(value):
 
 
 def test_every_query_has_a_twin():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.panel_queries()) == set(registry.panel_sql())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.panel_queries()))
 def test_query(spark, oracle, name):
-    df = registry.queries()[name](spark, FOLDER)
+    df = registry.panel_queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
-    found = oracle.execute(registry.oracle_sql()[name])
+    found = oracle.execute(registry.panel_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
