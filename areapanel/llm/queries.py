@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import jaccard, packing, token_files
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op7_token_files(spark, sf):
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_jaccard_join(spark, sf):
+    return jaccard.similar_documents(table(spark, sf, "documents"), width=4, percent=85)
+
+
 def queries():
     return {name: call for name, call in globals().items() if name.startswith("op")}
 
