@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, token_files
+from . import cover_tree, jaccard, packing, token_files
 from .common import table
 
 
+def op1_cover_tree(spark, sf):
+    return cover_tree.near_duplicates(table(spark, sf, "embeddings"), cosine=0.98)
+
+
 def op2_best_fit_packing(spark, sf):
     docs = table(spark, sf, "documents")
     return packing.pack(
@@ -28,5 +32,50 @@ def queries():
     return {name: call for name, call in globals().items() if name.startswith("op")}
 
 
+_NEAR_VECTORS = """
+    WITH RECURSIVE good AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND list_count(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_count(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+        AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+    ),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+      e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+    FROM embeddings e LEFT JOIN low l ON l.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
+_JACCARD = r"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+    ),
+    shingles AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [list_aggregate(w, 'string_agg', ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i+3], 'string_agg', ' ')) END) AS s FROM split
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2
+    ),
+    links AS (
+      SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+    ),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN low ON a = d.doc_id
+"""
+
+
 def oracle_sql():
-    return {}
+    """DuckDB SQL of the queries that SQL can express; the others are tested against direct code."""
+    return {"op1_cover_tree": _NEAR_VECTORS, "op10_jaccard_join": _JACCARD}
