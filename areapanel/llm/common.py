@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ def crc_rest(column, modulus):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+def mapped(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` whose workers can import this library, also where it runs from a source folder."""
     places = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
@@ -57,3 +58,42 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def usual_label(labels: DataFrame, column: str) -> DataFrame:
+    """One label per id: (doc_id, y, held_out); null labels are left out, of several the largest counts."""
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    return known.withColumn("held_out", crc_rest("doc_id", 4) == 2)
+
+
+def class_sample(labels: DataFrame, sizes: dict, seed: int) -> DataFrame:
+    """(doc_id, y) of the training rows whose hashed ids are smallest, at most ``sizes[y]`` per class."""
+    parts = []
+    for y, n in sizes.items():
+        own = labels.where((F.col("y") == y) & ~F.col("held_out"))
+        parts.append(own.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).select("doc_id", "y"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
+
+
+def label_share(labels: DataFrame) -> float:
+    """The share of label 1 among the training rows, 0 without any."""
+    row = labels.where(~F.col("held_out")).agg(F.avg((F.col("y") == 1).cast("double"))).first()
+    return float(row[0] or 0.0)
+
+
+def rows_where(docs: DataFrame, test) -> DataFrame:
+    """The rows of ``docs`` for which ``test`` holds, a function of the Arrow column of texts."""
+    import pyarrow as pa
+
+    place = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(np.asarray(test(batch.column(place)), bool)))
+
+    return mapped(docs, keep, docs.schema)

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard, packing, token_files
+from . import compression, cover_tree, factorization, jaccard, packing, token_files
 from .common import table
 
 
@@ -18,12 +18,22 @@ def op2_best_fit_packing(spark, sf):
     )
 
 
+def op3_compression_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return compression.score(docs, compression.train(docs, table(spark, sf, "labels")), threshold=0.7)
+
+
 def op7_token_files(spark, sf):
     path = token_files.new_file(spark)
     token_files.write(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_factorization_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return factorization.score(docs, factorization.train(docs, table(spark, sf, "labels")), threshold=0.3)
+
+
 def op10_jaccard_join(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents"), width=4, percent=85)
 
