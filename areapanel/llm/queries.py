@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import compression, cover_tree, factorization, jaccard, packing, token_files
+from . import compression, context_tree, cover_tree, factorization, jaccard, packing, ratio_rules, token_files
 from .common import table
 
 
@@ -23,12 +23,20 @@ def op3_compression_quality(spark, sf):
     return compression.score(docs, compression.train(docs, table(spark, sf, "labels")), threshold=0.7)
 
 
+def op5_ratio_rules(spark, sf):
+    return ratio_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("score")
+
+
 def op7_token_files(spark, sf):
     path = token_files.new_file(spark)
     token_files.write(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_context_tree(spark, sf):
+    return context_tree.score(table(spark, sf, "documents"))
+
+
 def op9_factorization_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     return factorization.score(docs, factorization.train(docs, table(spark, sf, "labels")), threshold=0.3)
