@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import compression, context_tree, cover_tree, factorization, jaccard, packing, ratio_rules, token_files
+from . import compression, context_tree, cover_tree, factorization, jaccard, packing, ratio_rules, secrets, token_files
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_ratio_rules(spark, sf):
     return ratio_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("score")
 
 
+def op6_ownership_secrets(spark, sf):
+    return secrets.digests(secrets.scan(table(spark, sf, "documents")))
+
+
 def op7_token_files(spark, sf):
     path = token_files.new_file(spark)
     token_files.write(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
