@@ -97,3 +97,16 @@ def rows_where(docs: DataFrame, test) -> DataFrame:
                 yield batch.filter(pa.array(np.asarray(test(batch.column(place)), bool)))
 
     return mapped(docs, keep, docs.schema)
+
+
+def common_words(words: DataFrame, limit: int) -> int:
+    """The least count from which on there are at most ``limit`` words."""
+    octave = F.floor(F.log2("n") * 8)
+    rows = words.groupBy(octave.alias("o")).agg(F.count("*").alias("k"), F.min("n").alias("low")).orderBy(F.desc("o")).collect()
+    total, least = 0, rows[0]["low"] * 2 if rows else 1
+    for _, k, low in rows:  # a few hundred rows: eight per doubling of the count
+        total += k
+        if total > limit:
+            break
+        least = low
+    return least

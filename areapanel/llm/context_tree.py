@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from areapanel.session import staged
 
 from . import textscan
-from .common import crc_rest, mapped
+from .common import common_words, crc_rest, mapped
 
 BEFORE, END = 0xFE, 0xFF  # no UTF-8 text holds these bytes
 ROWS = 1 << 17
@@ -303,19 +303,6 @@ def scorers(tree_rows: DataFrame, above, limit: int = ROWS):
         yield Scorer(own["depth"].to_numpy(), own["context"].to_numpy(), rows, seen, above if k == 0 else None)
 
 
-def common_words(words: DataFrame, limit: int = COMMON) -> int:
-    """The least count from which on there are at most ``limit`` words."""
-    octave = F.floor(F.log2("n") * 8)
-    rows = words.groupBy(octave.alias("o")).agg(F.count("*").alias("k"), F.min("n").alias("low")).orderBy(F.desc("o")).collect()
-    total, least = 0, rows[0]["low"] * 2 if rows else 1
-    for _, k, low in rows:  # a few hundred rows: eight per doubling of the count
-        total += k
-        if total > limit:
-            break
-        least = low
-    return least
-
-
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int = ROWS, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 

@@ -1,9 +1,11 @@
 """The registered queries of this package: each derives the contracted columns from its operator."""
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import compression, context_tree, cover_tree, factorization, jaccard, packing, ratio_rules, secrets, token_files
+from . import byte_bpe, compression, context_tree, cover_tree, factorization, jaccard, packing, ratio_rules, secrets, token_files
 from .common import table
 
 
@@ -23,6 +25,21 @@ def op3_compression_quality(spark, sf):
     return compression.score(docs, compression.train(docs, table(spark, sf, "labels")), threshold=0.7)
 
 
+def _digests(ids, decoded):
+    text = ",".join(map(str, ids.tolist()))
+    return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+def op4_byte_bpe(spark, sf):
+    return byte_bpe.encode(
+        table(spark, sf, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        finish=_digests,
+        fields="n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
+
+
 def op5_ratio_rules(spark, sf):
     return ratio_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("score")
 

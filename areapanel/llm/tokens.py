@@ -1,7 +1,7 @@
 """Whole texts to ids with the tokenizers library, each distinct stretch of text encoded once.
 
 The vocabularies split a text before they merge. A text is cut only where such a split is certain
-(see ``_cuts``), every distinct stretch goes through the library once per worker, and the ids are put
+(see ``cuts``), every distinct stretch goes through the library once per worker, and the ids are put
 together as arrays. Stretches are told apart by 64-bit hashes. Equality with one library call per
 text is tested, on odd texts too.
 """
@@ -29,7 +29,30 @@ _SAFE = np.zeros(256, bool)  # certainly no white space begins with this byte
 _SAFE[33:127] = _SAFE[0xC3:0xE1] = _SAFE[0xE4:] = True
 
 
-class _Known:
+def cuts(data, offsets, drops_space):
+    """Where a stretch begins. The first rule depends on whether spaces survive.
+
+    * Spaces dropped: at every space or line feed. Spaces kept: at a space before a character
+      that is certainly no white space, and around a single line feed between ASCII characters.
+    * At a comma or full stop after an ASCII letter.
+    """
+    n = len(data)
+    before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    before[1:], after[:-1] = data[:-1], data[1:]
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    before[inner], after[inner - 1] = 0, 0
+    cut = ((data == 44) | (data == 46)) & _LETTER[before]
+    if drops_space:
+        cut |= (data == 32) | (data == 10)
+    else:
+        cut |= (data == 32) & _SAFE[after]
+        line = np.flatnonzero((data == 10) & _PLAIN[before] & _PLAIN[after])
+        cut[line] = cut[line + 1] = True
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
+class Known:
     """Hashes in order with the place of their ids; a short recent part is merged now and then."""
 
     def __init__(self):
@@ -65,7 +88,7 @@ class Encoder:
         self.mark = self.marks[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.symbols = self._symbols()
-        self.known = _Known()
+        self.known = Known()
 
     def _symbols(self):
         """The printable symbol that stands for each byte in the vocabulary."""
@@ -73,28 +96,6 @@ class Encoder:
         rest = [b for b in range(256) if b not in own]
         return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def _cuts(self, data, offsets):
-        """Where a stretch begins. The first rule depends on whether spaces survive.
-
-        * Spaces dropped: at every space or line feed. Spaces kept: at a space before a character
-          that is certainly no white space, and around a single line feed between ASCII characters.
-        * At a comma or full stop after an ASCII letter.
-        """
-        n = len(data)
-        before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-        before[1:], after[:-1] = data[:-1], data[1:]
-        inner = offsets[(offsets > 0) & (offsets < n)]
-        before[inner], after[inner - 1] = 0, 0
-        cut = ((data == 44) | (data == 46)) & _LETTER[before]
-        if self.drops_space:
-            cut |= (data == 32) | (data == 10)
-        else:
-            cut |= (data == 32) & _SAFE[after]
-            line = np.flatnonzero((data == 10) & _PLAIN[before] & _PLAIN[after])
-            cut[line] = cut[line + 1] = True
-        cut[offsets[:-1][offsets[:-1] < n]] = True
-        return np.flatnonzero(cut)
-
     def _library(self, stretches):
         """Ids of many stretches (bytes) and their numbers of ids.
 
@@ -129,7 +130,7 @@ class Encoder:
     def encode(self, data, offsets):
         """Ids of the texts one after another, and where each text's ids begin and end."""
         n = len(offsets) - 1
-        starts = self._cuts(data, offsets)
+        starts = cuts(data, offsets, self.drops_space)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         ends = np.append(starts[1:], len(data))
@@ -139,7 +140,7 @@ class Encoder:
         fresh = np.flatnonzero(places < 0)
         if len(fresh):
             if len(self.known.hashes) + len(fresh) > KNOWN_STRETCHES:
-                self.known = _Known()
+                self.known = Known()
                 fresh = np.arange(len(values))
             at = first[fresh]
             raw = data.tobytes()
