@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Machine:
                     names=["y", "terms"],
                 )
 
-    sample = mapped(docs.join(picked, "doc_id").select("y", "text"), rows, "y int, terms binary").collect()
+    sample = mapped(docs.select("doc_id", "text").join(picked, "doc_id").select("y", "text"), rows, "y int, terms binary").collect()
     terms = [np.frombuffer(bytes(r["terms"]), "<i4").astype(np.int64) for r in sample]
     return fit(terms, [r["y"] for r in sample], label_share(known))
 
@@ -175,7 +175,8 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def clean(column):
-        found = [shared.value.scores(*features(data, offsets), len(offsets) - 1) for _, data, offsets in textscan.slices(column)]
+        own = shared.value
+        found = [own.scores(*features(data, offsets), len(offsets) - 1) for _, data, offsets in textscan.slices(column)]
         return np.concatenate(found) < threshold
 
     return rows_where(docs, clean)

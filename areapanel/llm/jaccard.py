@@ -271,3 +271,17 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group: the rows whose id is their component's; of rows with equal ids one.
+
+    Rows with a null id are not compared and stay.
+    """
+    found = staged(similar_documents(docs, width, percent), "classes")
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = staged(repeated, "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    single = kept.join(repeated, "doc_id", "left_anti")
+    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)

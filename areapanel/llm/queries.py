@@ -5,6 +5,8 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import byte_bpe, compression, context_tree, cover_tree, factorization, jaccard, packing, ratio_rules, secrets, token_files
 from .common import table
 
@@ -68,7 +70,8 @@ def op10_jaccard_join(spark, sf):
 
 
 def queries():
-    return {name: call for name, call in globals().items() if name.startswith("op")}
+    found = {name: call for name, call in globals().items() if name.startswith("op")}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 _NEAR_VECTORS = """
