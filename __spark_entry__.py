@@ -458,7 +458,7 @@ shaped AS (
          WHEN c_mktsegment = 'MACHINERY' THEN 'edges cross'
          WHEN c_mktsegment = 'HOUSEHOLD' THEN 'ring not closed' END AS reason,
     c_mktsegment AS segment
-  FROM customer WHERE c_nationkey <> 3
+  FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 5 = 0) WHERE c_nationkey <> 3
 )"""
 
 _RESPONSES = f"""

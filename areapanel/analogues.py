@@ -102,7 +102,10 @@ def nation_areas(spark, folder) -> DataFrame:
 
 
 def customer_areas(spark, folder) -> DataFrame:
-    """Raw areas, one per customer: the market segment decides the shape, some shapes are faulty."""
+    """Raw areas, one per customer: the market segment decides the shape, some shapes are faulty.
+
+    Every fifth row comes twice, and furniture is written with 70 more digits.
+    """
     cx = -88.0 + F.col("c_custkey") % 4096 / 8192
     cy = 41.5 + F.floor(F.col("c_custkey") / 4096) % 4096 / 8192
     r, small = 0.0078125, 0.001953125
@@ -134,9 +137,11 @@ def customer_areas(spark, folder) -> DataFrame:
             segment == "AUTOMOBILE",
             F.concat(F.lit("multipolygon(("), "outer", F.lit("),("), "far", F.lit("))")),
         )
+        .when(segment == "FURNITURE", F.regexp_replace(polygon("outer"), r"(\.\d+)", f"$1{'0' * 70}"))
         .otherwise(polygon("outer"))
     )
-    raw = shapes.select(
+    times = F.when(F.col("c_custkey") % 5 == 0, 2).otherwise(1)
+    raw = shapes.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(
         F.col("c_custkey").cast("string").alias("ZIP"),
         F.lit("12.5").alias("SHAPE_AREA"),
         F.when(F.col("c_nationkey") != 3, text).alias("the_geom"),

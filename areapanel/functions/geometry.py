@@ -7,7 +7,8 @@ then compute the same number for a point near it, whatever way their rings run.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"[+-]?(?:\d{1,60}\.?\d{0,60}|\.\d{1,60})(?:E[+-]?\d{1,2})?"
+#: Any plain or scientific number; possessive, so a long text is read once.
+NUMBER = r"[+-]?(?:\d++\.?\d*+|\.\d++)(?:E[+-]?\d++)?"
 PAIR = f"^{NUMBER} {NUMBER}$"
 SLACK = 1e-3  # share of a grid cell that covers the rounding of ``x_range``
 EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -25,14 +26,11 @@ def looks_like_polygon(text: Column) -> Column:
 
 
 def _point(pair: Column) -> Column:
-    """One coordinate pair; null unless it is exactly two plain numbers."""
-    return F.when(
-        pair.rlike(PAIR),
-        F.struct(
-            F.substring_index(pair, " ", 1).try_cast("double").alias("x"),
-            F.substring_index(pair, " ", -1).try_cast("double").alias("y"),
-        ),
-    )
+    """One coordinate pair; null unless it is exactly two numbers that are finite doubles."""
+    x = F.substring_index(pair, " ", 1).try_cast("double")
+    y = F.substring_index(pair, " ", -1).try_cast("double")
+    finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    return F.when(pair.rlike(PAIR) & finite, F.struct(x.alias("x"), y.alias("y")))
 
 
 def polygon_parts(wkt: Column) -> Column:

@@ -3,9 +3,10 @@
 Structure is decided with array expressions on the row. Crossings and nesting are equi-joins of a
 polygon's edges on a grid fitted to that polygon (about one edge per cell), so a polygon that
 holds most of all edges is spread over many cells. A semi join keeps offending edges only;
-candidate pairs are never written out.
+candidate pairs are never written out. Whether holes cut the interior in two is decided on the
+points where rings of one part touch, which are few.
 
-Not detected: an interior cut in two by holes that touch each other.
+Equal rows (same area, same text) are checked once and returned as often as they came.
 """
 
 from pyspark.sql import DataFrame, Observation
@@ -18,15 +19,25 @@ MAX_SIDE = 2048  # grid rows of one polygon
 
 
 def read_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
-    """Parsed rows and the first structural fault, if any.
+    """Parsed distinct rows and the first structural fault, if any.
 
-    Columns: ZIP_Code, area_key, reason, and for rows without a fault ``rings`` (part, ring,
-    edges) and the box. Rows without an area id or a geometry text are dropped.
+    Columns: ZIP_Code, area_key, copies (how often the row came), reason, and for rows without a
+    fault ``rings`` (part, ring, edges) and the box. Rows without an area id or a geometry text are
+    dropped.
     """
-    text = F.col(f"`{wkt}`")
-    parsed = raw.dropna(subset=[area, wkt]).select(
-        F.col(f"`{area}`").cast("string").alias("ZIP_Code"),
-        F.md5(F.concat_ws("\x01", F.col(f"`{area}`"), text)).alias("area_key"),
+    text = F.col("wkt")
+    # One deal of the texts both finds equal rows and spreads the parsing; explicit partitions are
+    # not merged again, so a few large texts still reach many tasks.
+    spark = raw.sparkSession
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    named = raw.dropna(subset=[area, wkt]).select(
+        F.col(f"`{area}`").cast("string").alias("ZIP_Code"), F.col(f"`{wkt}`").alias("wkt")
+    )
+    counted = named.repartition(pieces, "ZIP_Code", "wkt").groupBy("ZIP_Code", "wkt").agg(F.count(F.lit(1)).alias("copies"))
+    parsed = counted.select(
+        "ZIP_Code",
+        "copies",
+        F.md5(F.concat_ws("\x01", "ZIP_Code", text)).alias("area_key"),
         geo.looks_like_polygon(text).alias("named_polygon"),
         F.when(geo.is_polygon_text(text), geo.polygon_parts(text)).alias("read_parts"),
     )
@@ -57,9 +68,9 @@ def read_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
     )
     return (
         readable.withColumn("reason", fault)
-        .select("ZIP_Code", "area_key", "reason", F.when(F.col("reason").isNull(), rings).alias("rings"))
+        .select("ZIP_Code", "area_key", "copies", "reason", F.when(F.col("reason").isNull(), rings).alias("rings"))
         .withColumn("box", geo.edge_box(all_edges()))
-        .select("ZIP_Code", "area_key", "reason", "rings", "box.*")
+        .select("ZIP_Code", "area_key", "copies", "reason", "rings", "box.*")
     )
 
 
@@ -82,7 +93,7 @@ def _rings(polygons: DataFrame) -> DataFrame:
     return (
         sized.select("area_key", grid.alias("g"), "rings")
         .select("area_key", "g", F.explode("rings").alias("r"))
-        .select("area_key", "g", "r.*", F.size("r.edges").alias("n"))
+        .select("area_key", "g", "r.*", F.size("r.edges").alias("n"), geo.edge_box(F.col("r.edges")).alias("around"))
     )
 
 
@@ -94,7 +105,7 @@ def _edge_rows(polygons: DataFrame) -> DataFrame:
     """One row per edge and grid row it passes."""
     return (
         _rings(polygons)
-        .select("area_key", "g", "part", "ring", "n", F.posexplode("edges").alias("i", "e"))
+        .select("area_key", "g", "part", "ring", "n", "around", F.posexplode("edges").alias("i", "e"))
         .withColumn("cy", F.explode(F.sequence(_row(F.col("e.y1")), _row(F.col("e.y2")))))
     )
 
@@ -111,6 +122,11 @@ def _edge_cells(polygons: DataFrame) -> DataFrame:
     return _edge_rows(polygons).withColumn("cx", F.explode(columns))
 
 
+def _on(s, edge, x, y):
+    """Whether a point with side ``s`` lies on the edge."""
+    return (s == 0) & geo.between_x(edge, x) & y.between(edge.y1, edge.y2)
+
+
 def _clash(a, b):
     """Edges that may not meet the way they do: a proper crossing, a common stretch, or a touch
     of two edges of one ring that are not neighbours."""
@@ -121,12 +137,8 @@ def _clash(a, b):
         a.y1 == a.y2, F.greatest(a.x1, b.x1) < F.least(a.x2, b.x2)
     ).otherwise(F.greatest(a.y1, b.y1) < F.least(a.y2, b.y2))
     along = (b1 == 0) & (b2 == 0) & stretch
-
-    def on(s, edge, x, y):
-        return (s == 0) & geo.between_x(edge, x) & y.between(edge.y1, edge.y2)
-
     touch = (
-        on(b1, a, b.x1, b.y1) | on(b2, a, b.x2, b.y2) | on(a1, b, a.x1, a.y1) | on(a2, b, a.x2, a.y2)
+        _on(b1, a, b.x1, b.y1) | _on(b2, a, b.x2, b.y2) | _on(a1, b, a.x1, a.y1) | _on(a2, b, a.x2, a.y2)
     )
     apart = F.abs(F.col("a.i") - F.col("b.i"))
     neighbours = (apart == 1) | (apart == F.col("a.n") - 1)
@@ -134,6 +146,45 @@ def _clash(a, b):
     return crossing | along | (same_ring & ~neighbours & touch)
 
 
+def cut_areas(polygons: DataFrame) -> DataFrame:
+    """Keys of polygons with a part whose holes cut its interior in two.
+
+    Rings that do not cross meet in single points. Take the rings of a part and these points as
+    the nodes of a graph, joined where a ring passes a point: the interior is in one piece exactly
+    when the graph has no cycle. The touches of one part are folded in one row, like the part itself.
+    """
+    cells = _edge_cells(polygons.where(F.size("rings") > 1)).select("area_key", "cy", "cx", "part", "ring", "e")
+    left, right = cells.alias("a"), cells.alias("b")
+    place = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("area_key", "part", "cy", "cx")]
+    a, b = F.col("a.e"), F.col("b.e")
+
+    def end(edge, x, y):
+        return F.when(_on(geo.side(edge, x, y), edge, x, y), F.struct(x.alias("x"), y.alias("y")))
+
+    ends = F.array(end(a, b.x1, b.y1), end(a, b.x2, b.y2), end(b, a.x1, a.y1), end(b, a.x2, a.y2))
+    met = left.join(right.hint("merge"), [*place, F.col("a.ring") < F.col("b.ring"), F.exists(ends, lambda p: p.isNotNull())])
+    touches = (
+        met.select("a.area_key", "a.part", F.explode(F.array("a.ring", "b.ring")).alias("ring"), F.filter(ends, lambda p: p.isNotNull()).alias("ends"))
+        .select("area_key", "part", "ring", F.explode("ends").alias("p"))
+        .distinct()
+    )
+    node = F.struct(
+        F.concat(F.lit("ring "), F.col("ring")).alias("u"), F.concat_ws(" ", F.lit("point"), "p.x", "p.y").alias("v")
+    )
+    start = F.struct(F.array().cast("array<array<string>>").alias("groups"), F.lit(False).alias("cycle"))
+
+    def add(state, edge):
+        has = lambda g: F.array_contains(g, edge.u) | F.array_contains(g, edge.v)
+        both = F.exists(state.groups, lambda g: F.array_contains(g, edge.u) & F.array_contains(g, edge.v))
+        mine = F.array_union(F.flatten(F.filter(state.groups, has)), F.array(edge.u, edge.v))
+        rest = F.filter(state.groups, lambda g: ~has(g))
+        return F.struct(F.concat(rest, F.array(mine)).alias("groups"), (state.cycle | both).alias("cycle"))
+
+    parts = touches.groupBy("area_key", "part").agg(F.sort_array(F.collect_list(node)).alias("edges"))
+    cyclic = F.aggregate("edges", start, add, lambda state: state.cycle)
+    return parts.where(cyclic).select("area_key").distinct()
+
+
 def crossing_areas(polygons: DataFrame) -> DataFrame:
     """Keys of polygons whose edges cross, overlap, or touch inside one ring."""
     cells = _edge_cells(polygons).select("area_key", "cy", "cx", "part", "ring", "i", "n", "e")
@@ -175,13 +226,16 @@ def misplaced_areas(polygons: DataFrame) -> DataFrame:
     )
     edges = (
         _edge_rows(several)
-        .select("area_key", "cy", F.col("part").alias("o_part"), F.col("ring").alias("o_ring"), "e")
+        .select("area_key", "cy", F.col("part").alias("o_part"), F.col("ring").alias("o_ring"), "around", "e")
         .alias("e")
     )
     e, x, y = F.col("e.e"), F.col("p.x"), F.col("p.y")
     place = (F.col("p.area_key") == F.col("e.area_key")) & (F.col("p.cy") == F.col("e.cy"))
     other = (F.col("part") != F.col("o_part")) | (F.col("ring") != F.col("o_ring"))
     reach = y.between(e.y1, e.y2) & (F.greatest(e.x1, e.x2) >= x)
+    # A place beyond a ring's box is outside that ring whatever its edges: islands never meet.
+    box = F.col("e.around")
+    reach &= x.between(box.xmin, box.xmax) & y.between(box.ymin, box.ymax)
     met = probes.join(edges.hint("merge"), place & other & reach, "left")
     s = geo.side(e, x, y)
     placed = met.groupBy("p.area_key", "p.cy", "part", "ring", "total", "place", "o_part", "o_ring").agg(
@@ -218,12 +272,11 @@ def misplaced_areas(polygons: DataFrame) -> DataFrame:
 def assess_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
     """Every polygon row with its fault; a null reason means valid.
 
-    The parsed rows are spread over the cluster and written once to the shared folder, because
-    the checks read them several times.
+    The parsed rows are written once to the shared folder, because the checks read them several
+    times. Checks see every distinct row once; the verdict goes back to all of its copies.
     """
-    spread = raw.select(f"`{area}`", f"`{wkt}`").repartition(raw.sparkSession.sparkContext.defaultParallelism)
     seen = Observation()
-    parsed = read_polygons(spread, area, wkt).observe(
+    parsed = read_polygons(raw, area, wkt).observe(
         seen, F.count_if(F.size("rings") > 1).alias("with_several_rings")
     )
     polygons = staged(parsed, "polygons")
@@ -231,7 +284,10 @@ def assess_polygons(raw: DataFrame, area: str, wkt: str) -> DataFrame:
     faults = crossing_areas(sound).withColumn("fault", F.lit("edges cross"))
     if seen.get["with_several_rings"]:
         misplaced = misplaced_areas(sound).withColumn("fault", F.lit("rings badly nested"))
-        faults = faults.unionByName(misplaced).groupBy("area_key").agg(F.min("fault").alias("fault"))
-    return polygons.join(faults, "area_key", "left").withColumn(
-        "reason", F.coalesce("reason", "fault")
-    )
+        cut = cut_areas(sound).withColumn("fault", F.lit("interior cut in two"))
+        faults = faults.unionByName(misplaced).unionByName(cut)
+        rank = F.when(F.col("fault") == "edges cross", 0).when(F.col("fault") == "rings badly nested", 1).otherwise(2)
+        faults = faults.groupBy("area_key").agg(F.min_by("fault", rank).alias("fault"))
+    judged = polygons.join(faults, "area_key", "left").withColumn("reason", F.coalesce("reason", "fault"))
+    every = judged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return every.drop("copies", "copy")

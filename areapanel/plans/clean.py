@@ -8,6 +8,7 @@ from areapanel.functions import geometry as geo
 from areapanel.functions import values as v
 from areapanel.operators import reshape, validity
 from areapanel.operators.dedupe import dedupe_by_key
+from areapanel.sources import contracts
 
 
 def clean_points(
@@ -54,9 +55,9 @@ def clean_points(
 
 def find_geometry_column(raw: DataFrame) -> str:
     """The geometry column by name; if several names qualify, the first that holds polygons."""
-    named = [c for c in raw.columns if "geom" in c.lower() or "shape" in c.lower()]
+    named = contracts.geometry_columns(raw.columns)
     if len(named) < 2:
-        return reshape.geometry_column(raw.columns)
+        return named[0] if named else settings.GEOMETRY_COLUMN
     hits = raw.agg(
         *[F.bool_or(geo.looks_like_polygon(F.col(f"`{c}`"))).alias(f"h{i}") for i, c in enumerate(named)]
     ).first()

@@ -29,6 +29,7 @@ NULL_TOKENS = ("", "NULL", "null")
 POPULATION_COLUMN = "B01003_001E"
 POPULATION_NAME_PREFIX = "ZCTA5 "
 HYPOTHESIS = "H1"
+GEOMETRY_COLUMN = "the_geom"
 
 # Own tuning values of the spatial join.
 GRID = 200  # cells per coordinate unit

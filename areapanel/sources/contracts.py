@@ -30,15 +30,20 @@ RULES = (
 )
 
 
+def geometry_columns(columns, parts=GEOMETRY_PARTS) -> list[str]:
+    """The names that contain any of ``parts``, in any letter case."""
+    return [c for c in columns if any(part in c.lower() for part in parts)]
+
+
 def require_columns(df: DataFrame, names, label="source") -> DataFrame:
-    missing = sorted(set(names) - set(df.columns))
-    if missing:
-        raise ValueError(f"{label}: missing required columns: {', '.join(missing)}")
+    lacking = sorted(set(names) - set(df.columns))
+    if lacking:
+        raise ValueError(f"{label} has no column {', '.join(lacking)}")
     return df
 
 
 def require_any_matching(df: DataFrame, parts, label="source") -> DataFrame:
-    if not any(part in c.lower() for c in df.columns for part in parts):
+    if not geometry_columns(df.columns, parts):
         raise ValueError(f"{label}: no column name contains {' or '.join(parts)}")
     return df
 

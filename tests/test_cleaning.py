@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from conftest import rows
 
-from areapanel.operators import reshape
+from areapanel.operators import reshape, validity
 from areapanel.operators.dedupe import dedupe_by_key
 from areapanel.plans import clean
 from areapanel.sources import population
@@ -191,3 +191,47 @@ def test_population_lines_below_year_folders(spark, tmp_path):
         (folder / "part-2020.txt").write_text('[["NAME","B01003_001E"],["ZCTA5 1","7"]]\n<html>\n')
     responses = population.read_responses(spark, str(tmp_path), whole_files=False)
     assert rows(population.load_population(responses)) == [("1", 2014, 7.0), ("1", 2015, 7.0)]
+
+
+def verdicts(spark, *texts, copies=1):
+    data = [(str(i), t) for i, t in enumerate(texts) for _ in range(copies)]
+    raw = spark.createDataFrame(data, "ZIP string, the_geom string")
+    found = {str(i): [] for i in range(len(texts))}
+    for r in validity.assess_polygons(raw, "ZIP", "the_geom").collect():
+        found[r["ZIP_Code"]].append(r["reason"])
+    assert all(len(v) == copies for v in found.values())
+    return [found[str(i)][0] for i in range(len(texts))]
+
+
+SQUARE = "(0 0, 10 0, 10 10, 0 10, 0 0)"
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+def test_equal_rows_are_judged_alike(spark, copies):
+    hole = f"POLYGON ({SQUARE}, (2 2, 4 2, 4 4, 2 4, 2 2))"
+    part_in_part = f"MULTIPOLYGON (({SQUARE}), ((2 2, 4 2, 4 4, 2 4, 2 2)))"
+    assert verdicts(spark, hole, part_in_part, copies=copies) == [None, "rings badly nested"]
+
+
+def test_numbers_of_any_length(spark):
+    long = "0." + "1" * 61
+    texts = [f"POLYGON (({a} 0, 10 0, 10 10, 0 10, {a} 0))" for a in (long, "1e-100", "-1" + "0" * 80, "1e400", "0x1")]
+    assert verdicts(spark, *texts) == [None, None, None, "malformed text", "malformed text"]
+
+
+def test_holes_that_cut_the_interior(spark):
+    once = f"POLYGON ({SQUARE}, (0 5, 4 4, 4 6, 0 5))"
+    twice = f"POLYGON ({SQUARE}, (0 5, 5 4, 10 5, 5 6, 0 5))"
+    chain = f"POLYGON ({SQUARE}, (0 5, 3 4, 5 5, 3 6, 0 5), (5 5, 7 4, 10 5, 7 6, 5 5))"
+    apart = f"POLYGON ({SQUARE}, (0 5, 3 4, 4 5, 3 6, 0 5), (5 5, 7 4, 10 5, 7 6, 5 5))"
+    ring_of_holes = (
+        f"POLYGON ({SQUARE}, (2 2, 8 2, 8 3, 2 3, 2 2), (2 3, 3 5, 2 7, 1 5, 2 3), (2 7, 8 7, 8 8, 2 8, 2 7), (8 7, 9 5, 8 3, 7 5, 8 7))"
+    )
+    same_point = f"POLYGON ({SQUARE}, (5 5, 3 4, 3 6, 5 5), (5 5, 7 4, 7 6, 5 5))"
+    cut = "interior cut in two"
+    assert verdicts(spark, once, twice, chain, apart, ring_of_holes, same_point) == [None, cut, cut, None, cut, None]
+
+
+def test_many_islands(spark):
+    boxes = [f"(({x} {y}, {x + 1} {y}, {x + 1} {y + 1}, {x} {y + 1}, {x} {y}))" for x in range(0, 80, 2) for y in range(0, 100, 2)]
+    assert verdicts(spark, f"MULTIPOLYGON ({', '.join(boxes)})") == [None]

@@ -82,7 +82,7 @@ def test_population_of_other_years_fails(spark, sources):
 def test_wrong_header_fails(spark, sources):
     folder, paths = sources
     (folder / "events.csv").write_text("ID,Date\n1,2\n")
-    with pytest.raises(ValueError, match="missing required columns: Latitude, Longitude, Primary Type"):
+    with pytest.raises(ValueError, match="events has no column Latitude, Longitude, Primary Type"):
         pipeline.run(spark, paths, str(folder / "out"))
 
 
