@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areapanel import analogues as an
+from areapanel import settings
 from areapanel.operators import checks, lags, panel, reshape, spatial
 from areapanel.operators.dedupe import dedupe_by_key
 from areapanel.plans import clean, pipeline, views
@@ -125,6 +126,58 @@ def q_whole_run(spark, sf):
     return pipeline.final_table(analytical, people)
 
 
+_RUNS = {}
+
+
+def _run_from_files(spark, sf):
+    """One run per session and folder on landed files; returns the run and its output folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        landed, out = new_stage(spark, "landed"), new_stage(spark, "published")
+        csv_files.write_csv(an.raw_events(spark, sf), f"{landed}/events.csv")
+        csv_files.write_csv(an.nation_areas(spark, sf), f"{landed}/areas.csv")
+        csv_files.write_csv(an.wide_values(spark, sf), f"{landed}/values.csv")
+        an.responses(spark, sf).withColumnRenamed("body", "value").write.partitionBy("year").text(f"{landed}/responses")
+        paths = pipeline.Paths.under(landed, "events.csv", "values.csv", "areas.csv", "responses")
+        tag = out.rpartition("-")[2]
+        done = pipeline.run(
+            spark, paths, out, final_name=f"final_{tag}", slope_name=f"slopes_{tag}", whole_responses=False
+        )
+        _RUNS[key] = done, out
+    return _RUNS[key]
+
+
+def q_run_from_files(spark, sf):
+    """The final table that a run on CSV and JSON files stores."""
+    return _run_from_files(spark, sf)[0].final
+
+
+def q_run_csv_sinks(spark, sf):
+    """The CSV folder with the analytical table, read back as text and typed."""
+    text = csv_files.read_csv_strings(spark, f"{_run_from_files(spark, sf)[1]}/analytical.csv")
+    kinds = {"Month_Date": "date", "Year": "int", "ZHVI_Value": "double"}
+    kinds |= {f"{c}_Crime_Count": "bigint" for c in settings.CATEGORIES}
+    return text.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
+def q_run_counts(spark, sf):
+    """The row counts of the run."""
+    counts = _run_from_files(spark, sf)[0].counts
+    return spark.createDataFrame(sorted(counts.items()), "step string, rows long")
+
+
+def q_run_stored_view(spark, sf):
+    """A stored view, read by its SQL name from another session."""
+    _run_from_files(spark, sf)
+    return _rounded(spark.newSession().sql("SELECT * FROM vw_crime_seasonality"), avg_property_crime_count=6, avg_zhvi_value=4)
+
+
+def q_population_files(spark, sf):
+    """One landed document per year, whole files whose names hold a load date and the year."""
+    landed = an.land_yearly_documents(spark, sf, new_stage(spark, "population"))
+    return population.load_population(population.read_responses(spark, landed))
+
+
 def q_key_overlap(spark, sf):
     late = an.people(spark, sf).where("Population > 1200")
     return checks.key_overlap(an.counts(spark, sf), late)
@@ -467,6 +520,23 @@ yearly AS (
   FROM lineitem GROUP BY ALL
 )"""
 
+_RUN = f"""WITH {_EVENTS}, {_AREAS}, {_PANEL}, {_RESPONSES},
+counted AS (
+  SELECT a.zip AS "ZIP_Code", "Month_Date", "Year", {_COUNT_COLUMNS}
+  FROM events_clean p JOIN areas a ON {_HIT} GROUP BY 1, 2, 3
+),
+run_values AS (
+  SELECT v."ZIP_Code", v."Month_Date", v."ZHVI_Value" FROM vals v JOIN supplier s ON s.s_suppkey = v.l_suppkey
+  WHERE v.n > 3 AND s_acctbal >= 0 AND s_nationkey <> 11 AND year("Month_Date") BETWEEN 2014 AND 2020 AND "ZHVI_Value" > 0
+),
+run_master AS (SELECT c.*, v."ZHVI_Value" FROM counted c JOIN run_values v USING ("ZIP_Code", "Month_Date")),
+run_final AS (
+  SELECT m."ZIP_Code" AS "ZIP_CODE", "Month_Date", "Year", "Property_Crime_Count", "Violent_Crime_Count", "ZHVI_Value",
+    CAST(q AS DOUBLE) AS "Population"
+  FROM run_master m JOIN yearly y ON y.zip = m."ZIP_Code" AND y.y = m."Year"
+  WHERE y.n % 11 <> 0 AND y.n % 5 <> 0 AND y.n % 7 <> 0 AND q > 0
+)"""
+
 _HEADERS = """
 headers AS (
   SELECT 'order-' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '.csv' AS file,
@@ -574,16 +644,23 @@ def panel_sql() -> dict[str, str]:
         "final_table": f"""WITH {_PANEL}
             SELECT zip AS "ZIP_CODE", m AS "Month_Date", y AS "Year", pc AS "Property_Crime_Count",
               vc AS "Violent_Crime_Count", z AS "ZHVI_Value", pop AS "Population" FROM final""",
-        "whole_run": f"""WITH {_EVENTS}, {_AREAS}, {_PANEL}, {_RESPONSES},
-            counted AS (SELECT a.zip, "Month_Date", "Year", {_COUNT_COLUMNS}
-              FROM events_clean p JOIN areas a ON {_HIT} GROUP BY 1, 2, 3)
-            SELECT c.zip AS "ZIP_CODE", c."Month_Date", c."Year", "Property_Crime_Count", "Violent_Crime_Count",
-              v."ZHVI_Value", CAST(q AS DOUBLE) AS "Population"
-            FROM counted c JOIN vals v ON c.zip = v."ZIP_Code" AND c."Month_Date" = v."Month_Date"
-            JOIN supplier s ON s.s_suppkey = v.l_suppkey
-            JOIN yearly y ON y.zip = c.zip AND y.y = c."Year"
-            WHERE v.n > 3 AND s_acctbal >= 0 AND s_nationkey <> 11 AND year(c."Month_Date") BETWEEN 2014 AND 2020
-              AND y.n % 11 <> 0 AND y.n % 5 <> 0 AND y.n % 7 <> 0 AND q > 0""",
+        "whole_run": f"{_RUN} SELECT * FROM run_final",
+        "run_from_files": f"{_RUN} SELECT * FROM run_final",
+        "run_csv_sinks": f"{_RUN} SELECT * FROM run_master",
+        "run_counts": f"""{_RUN}
+            SELECT 'areas' AS step, (SELECT count(*) FROM nation) AS rows
+            UNION ALL SELECT 'events', (SELECT count(*) FROM events_clean)
+            UNION ALL SELECT 'values', (SELECT count(*) FROM run_values)
+            UNION ALL SELECT 'counts', (SELECT count(*) FROM counted)
+            UNION ALL SELECT 'master', (SELECT count(*) FROM run_master)""",
+        "run_stored_view": f"""{_RUN}
+            SELECT CAST(month("Month_Date") AS INTEGER) AS month_num,
+              round(avg("Property_Crime_Count"), 6) AS avg_property_crime_count,
+              round(avg("ZHVI_Value"), 4) AS avg_zhvi_value, month("Month_Date") BETWEEN 6 AND 8 AS peak_season
+            FROM run_final GROUP BY 1, 4""",
+        "population_files": f"""WITH {_RESPONSES}
+            SELECT zip AS "ZIP_Code", y AS "Year", CAST(q AS DOUBLE) AS "Population" FROM yearly
+            WHERE n % 5 <> 0 AND n % 7 <> 0 AND y BETWEEN 2014 AND 2024 AND q > 0""",
         "key_overlap": f"""WITH {_PANEL},
             a AS (SELECT DISTINCT "ZIP_Code", "Year" FROM counts WHERE "Year" BETWEEN 2014 AND 2024),
             p AS (SELECT DISTINCT "ZIP_Code", "Year" FROM people

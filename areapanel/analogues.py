@@ -153,9 +153,12 @@ def price_sum():
     return F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))
 
 
-def month_labels() -> dict[str, str]:
-    """Wide column names by month, 2013 to 2020, in both accepted forms."""
-    months = [dt.date(y, m, 1) for y in range(2013, 2021) for m in range(1, 13)]
+def month_labels(spark, folder) -> dict[str, str]:
+    """Wide column names by month, over all years of the table, in both accepted forms."""
+    first, last = table(spark, folder, "lineitem").agg(
+        F.min(F.year(F.expr(SHIPPED))), F.max(F.year(F.expr(SHIPPED)))
+    ).first()
+    months = [dt.date(y, m, 1) for y in range(first or 2014, (last or 2014) + 1) for m in range(1, 13)]
     return {d.isoformat(): d.isoformat() if d.month % 2 else d.strftime("%m/28/%Y") for d in months}
 
 
@@ -168,7 +171,7 @@ def wide_values(spark, folder) -> DataFrame:
         .when(lines == 3, "n/a")
         .otherwise(price_sum().cast("string"))
     )
-    labels = month_labels()
+    labels = month_labels(spark, folder)
     monthly = (
         table(spark, folder, "lineitem")
         .groupBy("l_suppkey", F.trunc(F.expr(SHIPPED), "month").cast("string").alias("month"))
@@ -227,24 +230,52 @@ def final(spark, folder) -> DataFrame:
     return panel.build_final(analytical(spark, folder), people(spark, folder))
 
 
-def responses(spark, folder) -> DataFrame:
-    """(year, body): one JSON response per area and year; column order and dirt vary."""
+def _yearly_people(spark, folder) -> DataFrame:
+    """Per area and year the cells of a response row: id, name, count as text (some are unreadable)."""
     yearly = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_suppkey"), F.year(F.expr(SHIPPED)).alias("year"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("q"))
     )
-    area = (F.lit(60600) + F.col("l_suppkey")).cast("string")
-    name = F.concat(F.lit("ZCTA5 "), area)
+    area = supplier_area()
     count = F.when(F.col("n") % 5 == 0, "N/A").when(F.col("n") % 7 != 0, F.col("q").cast("string"))
-    head = [F.lit("NAME"), F.lit(settings.POPULATION_COLUMN), F.lit("zip code tabulation area")]
-    row = [name, count, area]
-    plain = F.array(F.array(*head), F.array(*row))
-    turned = F.array(F.array(*head[::-1]), F.array(*row[::-1]))
+    name = F.concat(F.lit(settings.POPULATION_NAME_PREFIX), area)
+    return yearly.select("year", "n", area.alias("area"), name.alias("name"), count.alias("count"))
+
+
+def _head():
+    return F.array(F.lit("NAME"), F.lit(settings.POPULATION_COLUMN), F.lit("zip code tabulation area"))
+
+
+def responses(spark, folder) -> DataFrame:
+    """(year, body): one JSON response per area and year; column order and dirt vary."""
+    row = F.array("name", "count", "area")
+    plain = F.array(_head(), row)
+    turned = F.array(F.reverse(_head()), F.reverse(row))
     body = F.when(F.col("n") % 11 == 0, F.lit("<html>busy</html>")).otherwise(
         F.to_json(F.when(F.col("year") % 2 == 0, plain).otherwise(turned))
     )
-    return yearly.select("year", body.alias("body"))
+    return _yearly_people(spark, folder).select("year", body.alias("body"))
+
+
+def land_yearly_documents(spark, folder, path) -> str:
+    """One document per year below ``path``, in files such as ``20250105 acs_2014.json``.
+
+    A yearly response is one document by its nature, so its rows meet in one file here as well.
+    """
+    rows = F.sort_array(F.collect_list(F.array("name", "count", "area")))
+    documents = _yearly_people(spark, folder).groupBy("year").agg(
+        F.to_json(F.concat(F.array(_head()), rows)).alias("value")
+    )
+    documents.write.partitionBy("year").text(f"{path}/parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(root, "landed"))
+    for part in files.globStatus(hadoop.Path(root, "parts/year=*/part-*")):
+        year = part.getPath().getParent().getName().rpartition("=")[2]
+        files.rename(part.getPath(), hadoop.Path(root, f"landed/20250105 acs_{year}.json"))
+    return f"{path}/landed"
 
 
 def header_rows(spark, folder) -> DataFrame:

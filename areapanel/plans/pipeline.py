@@ -44,17 +44,6 @@ class Run:
     counts: dict = field(default_factory=dict)
 
 
-def build_master(
-    events: DataFrame, areas: DataFrame, values: DataFrame, people: DataFrame | None = None
-) -> DataFrame:
-    """Cleaned events, areas and values to the analytical table; densities when ``people`` is given.
-
-    The only job this starts is the one that measures the prepared cells of ``areas``.
-    """
-    counted = spatial.count_by_area(events, areas, bounds=BOUNDS)
-    return panel.merge_master(counted, values, people)
-
-
 def analytical_table(spark: SparkSession, events_raw, areas_raw, values_raw, years=settings.YEARS):
     """Check, clean, count, merge and guard; returns the staged table and the row counts."""
     contracts.check_events(events_raw)
@@ -89,8 +78,21 @@ def final_table(analytical: DataFrame, people: DataFrame, years=settings.YEARS)
     return panel.build_final(analytical, people, years)
 
 
-def run(spark: SparkSession, paths: Paths, out: str, years=settings.YEARS) -> Run:
-    """Read the four sources, publish CSV, population, final table and views below ``out``."""
+def run(
+    spark: SparkSession,
+    paths: Paths,
+    out: str,
+    years=settings.YEARS,
+    *,
+    final_name="final_table",
+    slope_name="slope_table",
+    whole_responses=True,
+) -> Run:
+    """Read the four sources and publish: two CSV folders below ``out``, two tables, eight views.
+
+    Everything is computed and every guard has passed before the first output is touched. Tables
+    and views are stored in the session catalog, so other sessions of it see them by name.
+    """
     analytical, counts = analytical_table(
         spark,
         csv_files.read_csv_strings(spark, paths.events),
@@ -98,11 +100,14 @@ def run(spark: SparkSession, paths: Paths, out: str, years=settings.YEARS) -> Ru
         csv_files.read_csv_strings(spark, paths.values),
         years,
     )
+    responses = population.read_responses(spark, paths.responses, whole_files=whole_responses)
+    people = staged(population.load_population(responses, years), "people")
+    final = staged(final_table(analytical, people, years), "final")
+    slopes = staged(views.slope_table(final), "slopes")
+
     csv_files.write_csv(analytical, f"{out}/analytical.csv")
-    people = staged(population.load_population(population.read_responses(spark, paths.responses), years), "people")
     csv_files.write_csv(people, f"{out}/population.csv")
-    tables.write_parquet(final_table(analytical, people, years), f"{out}/final_table", ["Year"])
-    final = spark.read.parquet(f"{out}/final_table")
-    views.create_views(final)
-    tables.write_parquet(views.slope_table(final), f"{out}/slope_table")
-    return Run(analytical, final, counts)
+    tables.save_table(final, final_name, ["Year"])
+    tables.save_table(slopes, slope_name)
+    views.store_views(spark, final_name, slope_name)
+    return Run(analytical, spark.table(final_name), counts)

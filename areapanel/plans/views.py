@@ -4,7 +4,7 @@ Input columns: ZIP_CODE, Month_Date, Year, Property_Crime_Count, Violent_Crime_C
 ZHVI_Value, Population.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areapanel import settings
@@ -139,6 +139,58 @@ VIEWS = {
 
 
 def create_views(final: DataFrame) -> list[str]:
-    """Create or replace all eight views on ``final``; returns their names."""
+    """Create or replace all eight views on ``final`` for this session; returns their names."""
     register_views({name: build(final) for name, build in VIEWS.items()})
     return list(VIEWS)
+
+
+def stored_definitions(final: str, slopes: str) -> dict[str, str]:
+    """The eight views as SQL over the stored final table and the stored slope table."""
+    first, last = settings.LAG_RANGE
+    low, high = settings.PEAK_MONTHS
+    cells = " OR ".join(
+        f"(ZIP_CODE = '{area}' AND year(Month_Date) = {year} AND month(Month_Date) = {month})"
+        for area, year, month in settings.EXCLUDED_MONTHS
+    )
+    change = "(total_zhvi_value - lag(total_zhvi_value) OVER w) / nullif(abs(lag(total_zhvi_value) OVER w), 0)"
+    totals = "sum(Property_Crime_Count) AS total_property_crime_count"
+    base = f"""
+        SELECT *, total_property_crime_count / nullif(total_population / 1000.0D, 0) AS property_crime_rate_per_1000
+        FROM (SELECT ZIP_CODE AS zip_code, year(Month_Date) AS year_num, month(Month_Date) AS month_num, {totals},
+                sum(Population) AS total_population, sum(ZHVI_Value) AS total_zhvi_value
+              FROM {final} WHERE NOT ({cells}) GROUP BY 1, 2, 3)"""
+    return {
+        "vw_property_crime_distribution": f"""
+            SELECT ZIP_CODE AS zip_code, avg(Property_Crime_Count) AS avg_property_crime_count FROM {final} GROUP BY 1""",
+        "vw_violent_crime_distribution": f"""
+            SELECT ZIP_CODE AS zip_code, avg(Violent_Crime_Count) AS avg_violent_crime_count FROM {final} GROUP BY 1""",
+        "vw_investment_efficiency_property": f"""
+            SELECT ZIP_CODE AS zip_code, {totals}, sum(ZHVI_Value) AS total_zhvi_value FROM {final} GROUP BY 1""",
+        "vw_crime_seasonality": f"""
+            SELECT month(Month_Date) AS month_num, avg(Property_Crime_Count) AS avg_property_crime_count,
+              avg(ZHVI_Value) AS avg_zhvi_value, coalesce(month(Month_Date) BETWEEN {low} AND {high}, false) AS peak_season
+            FROM {final} GROUP BY 1, 4""",
+        "vw_lag_effect_property_crime": f"""
+            SELECT *, {change} AS monthly_appreciation_rate
+            FROM (SELECT month(Month_Date) AS month_num, {totals}, sum(ZHVI_Value) AS total_zhvi_value FROM {final}
+                  WHERE Month_Date BETWEEN DATE '{first}' AND DATE '{last}' GROUP BY 1)
+            WINDOW w AS (ORDER BY month_num NULLS LAST)""",
+        "vw_crime_rate_housing_appreciation_base": base,
+        "vw_crime_rate_housing_appreciation": f"""
+            SELECT *, {change} AS monthly_appreciation_rate FROM ({base})
+            WINDOW w AS (PARTITION BY zip_code ORDER BY year_num NULLS LAST, month_num NULLS LAST)""",
+        "vw_crime_slope_compare_tableau": f"""
+            SELECT ZIP_CODE, CRIME_TYPE AS crime_type, CRIME_RATE AS crime_rate, HOUSING_GROWTH_PCT AS housing_growth_pct,
+              AVG_POPULATION AS avg_population, HYPOTHESIS AS hypothesis FROM {slopes}""",
+    }
+
+
+def store_views(spark: SparkSession, final: str, slopes: str) -> list[str]:
+    """Create or replace the eight views in the catalog, on two stored tables; returns their names.
+
+    Session views of these names are dropped, because they would hide the stored ones.
+    """
+    for name, query in stored_definitions(final, slopes).items():
+        spark.catalog.dropTempView(name)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+    return list(VIEWS)

@@ -7,18 +7,27 @@ from areapanel import settings
 from areapanel.functions import values as v
 
 
-def read_responses(spark: SparkSession, path, whole_files=True) -> DataFrame:
+#: A number of four digits from 1900 to 2099 that stands alone.
+YEAR_IN_NAME = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+
+
+def read_responses(spark: SparkSession, path, whole_files=True, year_pattern=YEAR_IN_NAME, years_by_name=None) -> DataFrame:
     """(year, body): landed responses, one per file, or one per line without ``whole_files``.
 
-    The year comes from a ``year=2014`` folder, else from the first 20xx in the file name.
+    The year comes from ``years_by_name`` (file name to year, for the names it holds), else from a
+    ``year=2014`` folder, else from the file name: the first group of ``year_pattern``, which must match
+    exactly one value. A name with none or several raises.
     """
-    folder = F.regexp_extract("_metadata.file_path", r"(?i)year=(\d{4})/", 1)
-    name = F.regexp_extract("_metadata.file_name", r"(20\d{2})", 1)
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\+", "%2B"))
+    folder = F.regexp_extract("_metadata.file_path", r"(?i)year=(\d{4})/", 1).try_cast("int")
+    found = F.array_distinct(F.regexp_extract_all(name, F.lit(year_pattern), F.lit(1)))
+    unclear = F.raise_error(F.concat(F.lit("no single year in the file name "), name)).cast("int")
+    year = F.coalesce(folder, F.when(F.size(found) == 1, found[0].try_cast("int")).otherwise(unclear))
+    if years_by_name:
+        given = F.create_map(*[F.lit(x) for pair in years_by_name.items() for x in pair])
+        year = F.coalesce(F.element_at(given, name), year)
     responses = spark.read.option("recursiveFileLookup", True).text(path, wholetext=whole_files)
-    return responses.select(
-        F.coalesce(folder.try_cast("int"), name.try_cast("int")).alias("year"),
-        F.col("value").alias("body"),
-    )
+    return responses.select(year.alias("year"), F.col("value").alias("body"))
 
 
 def _opened(responses: DataFrame, column: str) -> DataFrame:

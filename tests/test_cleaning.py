@@ -184,6 +184,20 @@ def test_population_files(spark, tmp_path):
     assert rows(population.load_population(responses)) == [("00601", 2014, 7.0)]
 
 
+def test_year_of_a_file_name(spark, tmp_path):
+    body = '[["NAME","B01003_001E"],["ZCTA5 00601","7"]]'
+    (tmp_path / "20250105_acs 2014.json").write_text(body)
+    assert rows(population.load_population(population.read_responses(spark, str(tmp_path)))) == [("00601", 2014, 7.0)]
+    (tmp_path / "old 1999.json").write_text(body)
+    assert {r[0] for r in population.read_responses(spark, str(tmp_path)).collect()} == {1999, 2014}
+    for name in ("acs.json", "2015 to 2016.json"):
+        (tmp_path / name).write_text(body)
+        with pytest.raises(Exception, match="no single year"):
+            population.read_responses(spark, str(tmp_path)).collect()
+        given = population.read_responses(spark, str(tmp_path), years_by_name={"acs.json": 2017, "2015 to 2016.json": 2016})
+        assert {r[0] for r in given.collect()} >= {1999, 2014, 2017}
+
+
 def test_population_lines_below_year_folders(spark, tmp_path):
     for year in (2014, 2015):
         folder = tmp_path / f"Year={year}"

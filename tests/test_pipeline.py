@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from conftest import rows
 
-from areapanel.plans import pipeline
+from areapanel.plans import pipeline, views
 
 D = dt.date
 
@@ -50,8 +50,12 @@ def test_run(spark, sources):
     back = spark.read.option("header", True).csv(f"{out}/analytical.csv")
     assert back.count() == 12
     assert spark.read.option("header", True).csv(f"{out}/population.csv").columns == ["ZIP_Code", "Year", "Population"]
-    assert spark.read.parquet(f"{out}/slope_table").count() == 4
-    assert spark.table("vw_crime_rate_housing_appreciation").count() == 12
+    other = spark.newSession()
+    assert other.table("slope_table").count() == 4 and other.table("final_table").count() == 12
+    for name, build in views.VIEWS.items():
+        assert not spark.catalog.getTable(name).isTemporary
+        seen, expected = other.table(name), build(spark.table("final_table"))
+        assert seen.columns == expected.columns and rows(seen) == rows(expected)
 
 
 def test_nothing_is_published_when_the_result_is_empty(spark, sources):
@@ -77,6 +81,20 @@ def test_population_of_other_years_fails(spark, sources):
     (folder / "responses" / "2019.json").write_text(body)
     with pytest.raises(RuntimeError, match="pair"):
         pipeline.run(spark, paths, str(folder / "out"))
+    assert not (folder / "out").exists()
+
+
+def test_a_failing_guard_leaves_the_old_output(spark, sources):
+    folder, paths = sources
+    pipeline.run(spark, paths, str(folder / "out"))
+    files = lambda: {p: p.read_bytes() for p in (folder / "out").rglob("*") if p.is_file()}
+    before, table = files(), rows(spark.table("final_table"))
+    body = (folder / "responses" / "2020.json").read_text()
+    (folder / "responses" / "2020.json").write_text("[]")
+    (folder / "responses" / "2019.json").write_text(body)
+    with pytest.raises(RuntimeError, match="pair"):
+        pipeline.run(spark, paths, str(folder / "out"))
+    assert files() == before and rows(spark.table("final_table")) == table
 
 
 def test_wrong_header_fails(spark, sources):
