@@ -14,14 +14,19 @@ def crc_rest(column, modulus):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this library, also where it runs from a source folder."""
+def importable(df: DataFrame) -> DataFrame:
+    """``df``, with workers that can import this library, also where it runs from a source folder."""
     places = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     known = [p for p in places.get("PYTHONPATH", "").split(":") if p]
     if root not in known:
         places["PYTHONPATH"] = ":".join([*known, root])
-    return df.mapInArrow(function, schema)
+    return df
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with workers that can import this library."""
+    return importable(df).mapInArrow(function, schema)
 
 
 def table(spark, folder, name):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from areapanel.session import staged
 
-from .common import components, mapped
+from .common import components, importable, mapped
 
 LEAF = 4096
 #: Sampled points of a node among which its children's centres are picked, and centres at most.
@@ -224,7 +224,7 @@ def _centres(sample: DataFrame) -> DataFrame:
         picked = cover(points, min(CENTRES, 2 * -(-int(rows["n"].iloc[0]) // LEAF)))
         return pd.DataFrame({"node": [rows["node"].iloc[0]] * len(picked), "child": np.arange(len(picked)), "centre": [points[i] for i in picked]})
 
-    return sample.groupBy("node").applyInPandas(pick, "node string, child int, centre array<double>")
+    return importable(sample).groupBy("node").applyInPandas(pick, "node string, child int, centre array<double>")
 
 
 def _split(points: DataFrame):
@@ -293,7 +293,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         edges["other"] = edges["other"].astype("Int64")
         return pd.concat([found, edges[["vec_id", "n", "other"]]])
 
-    found = staged(left.union(right).groupBy("a", "b").applyInPandas(compare, "vec_id long, n long, other long"), "links")
+    found = staged(importable(left.union(right)).groupBy("a", "b").applyInPandas(compare, "vec_id long, n long, other long"), "links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "first")
     roots = components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     known = (

@@ -9,10 +9,13 @@ a pair probes; it takes the budgets that cost least. An empty or small subset is
 subset of many shingles is cheap; where small ones would be needed, segments that also index their
 one-deletion neighbourhood take a budget of 1 instead.
 
-Documents that share an index entry are compared with the smallest probing document of that entry.
-That finds most components. Entries whose documents are not yet in one component are then compared
-pair by pair across components, so no link between components is missed while groups of
-near copies cost one comparison per document. All comparisons are exact.
+Documents that meet in an index entry belong to the group of the entry's smallest probing document,
+its pivot; two similar documents share a group. A group is cut into blocks of ``BLOCK`` documents, each
+with the pivot, and all pairs inside a block are compared exactly in one task, which returns a
+spanning forest of the links. A group of several blocks that is not yet one component has its
+largest component set against the rest, block by block, and the rest against itself. So no link
+between components is missed, no pairs are written out, and a group of near copies that the blocks
+already join costs one comparison per block.
 
 Shingles are told apart by 64-bit hashes, sets of equal shingles by 128-bit digests.
 
@@ -31,10 +34,13 @@ from pyspark.sql import functions as F
 from areapanel.session import staged
 
 from . import textscan
-from .common import components, mapped
+from .common import components, importable, mapped
 
 #: So many candidate ids (8 bytes each) are sent to the tasks that read their texts; more are joined.
 BROADCAST_IDS = 1 << 20
+#: Documents of a group that are compared in one task, and columns of a matrix of shingles.
+BLOCK = 512
+COLUMNS = 4096
 
 
 class Bands:
@@ -188,31 +194,77 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), rows, f"doc_id {kind}, digest binary, set binary")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; texts are read for documents in pairs only."""
+def similar_pairs(left, right, percent):
+    """Mask of the pairs (row of ``left``, row of ``right``) that reach the similarity.
+
+    Both are lists of sets (sorted arrays of distinct 64-bit hashes). Intersections are counted by
+    products of 0/1 matrices over the shingles that occur on both sides, a few thousand at a time.
+    """
+    sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in (left, right)]
+    flat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    shared = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    places = []
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(shared, flat[k]), max(len(shared) - 1, 0))
+        hit = shared[at] == flat[k] if len(shared) else np.zeros(len(flat[k]), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], owners[k][hit][order]))
+    inner = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(shared), COLUMNS):
+        sides = []
+        for (at, owner), n in zip(places, (len(left), len(right))):
+            part = slice(*np.searchsorted(at, [begin, begin + COLUMNS]))
+            matrix = np.zeros((n, min(COLUMNS, len(shared) - begin)), np.float32)
+            matrix[owner[part], at[part] - begin] = 1
+            sides.append(matrix)
+        inner += sides[0] @ sides[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - inner
+    return (100 * inner >= percent * union) & (sizes[0] > 0)[:, None] & (sizes[1] > 0)[None, :]
+
+
+def forest(near, ids_left, ids_right):
+    """Edges (id, id) that join what a mask of pairs joins, at most one for each document."""
+    ids = np.concatenate([ids_left, ids_right])
+    root, cut, edges = np.arange(len(ids)), len(ids_left), []
+    while True:
+        apart = near & (root[:cut][:, None] != root[cut:][None, :])
+        hit = np.flatnonzero(apart.any(axis=1))
+        if not len(hit):
+            return edges
+        for x, y in zip(hit.tolist(), (apart[hit].argmax(axis=1) + cut).tolist()):
+            p, q = x, y
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                edges.append((int(ids[x]), int(ids[y])))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _links(blocks: DataFrame, sets: DataFrame, keys: list, percent: int) -> DataFrame:
+    """Spanning links (a, b) inside every block: rows (keys, doc_id, side), side 0 against side 1.
+
+    Rows of side 2 stand on both sides.
+    """
     import pyarrow as pa
 
-    wanted = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = staged(_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "digest"]), "sets")
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-        .select("a", "b", "set_a", "set_b")
-    )
+    ready = importable(blocks.join(sets, "doc_id").select(*keys, "doc_id", "side", "set"))
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                inner = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * inner >= percent * (len(x) + len(y) - inner))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(table):
+        side = table.column("side").to_numpy()
+        ids = table.column("doc_id").to_numpy()
+        values = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        pick = [np.flatnonzero(side != other) for other in (1, 0)]
+        near = similar_pairs(*[[values[i] for i in rows] for rows in pick], percent)
+        edges = forest(near, ids[pick[0]], ids[pick[1]])
+        found = [(x, y) for x, y in edges if x != y]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(both, check, f"a {kind}, b {kind}")
+    return ready.groupBy(*keys).applyInArrow(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -225,46 +277,66 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         "copies",
     )
     probe = F.col("entry").bitwiseAND(F.lit(1)) == 1
-    entry = real.join(copies, "doc_id", "left_anti").select("doc_id", "n_shingles", F.explode("entries").alias("entry"))
-    entry = entry.select("doc_id", "n_shingles", F.shiftright("entry", 1).alias("place"), probe.alias("probes"))
+    entry = real.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("entries").alias("entry"))
+    entry = entry.select("doc_id", F.shiftright("entry", 1).alias("place"), probe.alias("probes"))
     shared = (
         entry.groupBy("place")
-        .agg(F.min(F.when(F.col("probes"), F.struct("doc_id", "n_shingles"))).alias("pivot"), F.count("*").alias("n"))
+        .agg(F.min(F.when(F.col("probes"), F.col("doc_id"))).alias("pivot"), F.count("*").alias("n"))
         .where("n > 1 AND pivot IS NOT NULL")
+        .select("place", "pivot")
     )
-    met = staged(
-        entry.join(shared, "place").select(
-            "place", "doc_id", "n_shingles", "probes", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.n_shingles").alias("pivot_n")
-        ),
-        "met",
+    members = entry.select("place", "doc_id").join(shared, "place").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
+    members = staged(members, "members")
+    many = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    many = staged(many, "blocks")
+    wanted = staged(members.select("doc_id").union(members.select("pivot")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = staged(_sets(texts, width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "sets")
+
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    own = members.join(many, "pivot").select("pivot", block.alias("block"), "doc_id", F.lit(2).alias("side"))
+    heads = many.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.lit(2).alias("side"))
+    found = staged(_links(own.union(heads), sets, ["pivot", "block"], percent), "links")
+    copied = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    roots = staged(components(copied.union(found)), "roots")
+
+    large = members.join(many.where("blocks > 1").select("pivot"), "pivot")
+    large = large.join(roots, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    large = staged(large, "large")
+    per_root = large.groupBy("pivot", "root").agg(F.count("*").alias("n"))
+    totals = per_root.groupBy("pivot").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")
     )
-    fits = F.least("n_shingles", "pivot_n") * 100 >= F.greatest("n_shingles", "pivot_n") * percent
-    pairs = staged(
-        met.where((F.col("doc_id") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(),
-        "pairs",
+    open_groups = totals.where("roots > 1").select(
+        "pivot",
+        F.col("main.root").alias("main"),
+        F.ceil(F.col("main.n") / F.lit(BLOCK)).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("main.n")) / F.lit(BLOCK)).cast("int").alias("others"),
     )
-    links = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = links.union(verify(docs, pairs, width, percent))
-    roots = staged(components(links), "roots")
-
-    own = met.join(roots, F.col("doc_id") == F.col("node"), "left").select(
-        "place", "doc_id", "n_shingles", "probes", F.coalesce("root", "doc_id").alias("root")
+    large = large.join(open_groups, "pivot")
+    is_main, spread = F.col("root") == F.col("main"), F.xxhash64("doc_id")
+    other = F.pmod(spread, F.col("others")).cast("int")
+    through = lambda n: F.sequence(F.lit(0), n - 1)
+    # Blocks: m<i>:<j> is main block i against other block j, o<i>:<j> (i <= j) others against others.
+    main_names = F.transform(
+        through(F.col("others")), lambda j: F.struct(F.concat(F.lit("m"), F.pmod(spread, F.col("mains")), F.lit(":"), j).alias("block"), F.lit(0).alias("side"))
+    )
+    against_main = F.transform(
+        through(F.col("mains")), lambda i: F.struct(F.concat(F.lit("m"), i, F.lit(":"), other).alias("block"), F.lit(1).alias("side"))
     )
-    own = staged(own, "rooted")
-    open_places = own.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = own.join(open_places.select("place"), "place")
-    right = left.select("place", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n_shingles", "probes", "root")])
-    fits = F.least("n_shingles", "n_shingles_2") * 100 >= F.greatest("n_shingles", "n_shingles_2") * percent
-    across = (
-        left.join(right, "place")
-        .where((F.col("root") < F.col("root_2")) & (F.col("probes") | F.col("probes_2")) & fits)
-        .select(F.least("doc_id", "doc_id_2").alias("a"), F.greatest("doc_id", "doc_id_2").alias("b"))
-        .distinct()
+    among = F.transform(
+        through(F.col("others")),
+        lambda j: F.struct(
+            F.concat(F.lit("o"), F.least(j, other), F.lit(":"), F.greatest(j, other)).alias("block"),
+            F.when(j == other, 2).when(other < j, 0).otherwise(1).alias("side"),
+        ),
     )
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = staged(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = verify(docs, across, width, percent)
+    placed = F.when(is_main, main_names).otherwise(F.concat(against_main, among))
+    across = large.select("pivot", "doc_id", F.explode(placed).alias("at")).select("pivot", "at.block", "doc_id", "at.side")
+    more = staged(_links(across, sets, ["pivot", "block"], percent), "links")
+    if not more.isEmpty():
         joined = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
         roots = staged(components(joined), "roots")
     named = roots.select(F.col("node").alias("doc_id"), "root")

@@ -514,8 +514,9 @@ def copies(spark):
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80), (1, 60)])
-def test_jaccard(copies, docs, empty, width, percent):
+@pytest.mark.parametrize("width, percent, block", [(4, 85, 512), (5, 80, 3), (1, 60, 4)])
+def test_jaccard(copies, docs, empty, monkeypatch, width, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     for table in (copies, docs):
         got = {tuple(r) for r in jaccard.similar_documents(table, width, percent).collect()}
         assert got == brute_components(listed(table), width, percent)
