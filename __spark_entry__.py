@@ -312,10 +312,11 @@ def _line_text(spark, sf):
     )
 
 
-def _write_lines(df, path, columns):
+def _write_lines(df, path, columns, *folders):
     (
-        df.select(*columns)
+        df.select(*columns, *folders)
         .write.mode("append")
+        .partitionBy(*folders)
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -325,29 +326,38 @@ def _write_lines(df, path, columns):
 
 
 def q_csv_by_name(spark, sf):
-    """Two groups of files, the second with other column order and letter case."""
-    text, path = _line_text(spark, sf), new_stage(spark, "lines")
-    _write_lines(text.where("l_linestatus = 'F'"), path, ["Order_Key", "Line", "Quantity", "Flag"])
+    """Two groups of files in folders with odd names, the second with other column order and letter
+    case, and a text file beside them."""
+    path = new_stage(spark, "lines")
+    odd = F.concat(F.lit("50% [of] a "), F.col("l_linestatus")).alias("folder")
+    text = _line_text(spark, sf).withColumn("folder", odd)
+    _write_lines(text.where("l_linestatus = 'F'"), path, ["Order_Key", "Line", "Quantity", "Flag"], "folder")
     turned = text.where("l_linestatus <> 'F'").select(
         F.col("Flag").alias("FLAG"), F.col("Quantity").alias("quantity"), F.col("Line").alias("LINE"),
-        F.col("Order_Key").alias("order_key"),
+        F.col("Order_Key").alias("order_key"), "folder",
     )
-    _write_lines(turned, path, turned.columns)
+    _write_lines(turned, path, turned.columns[:-1], "folder")
+    an.table(spark, sf, "region").select(F.lit('a " quote').alias("value")).write.mode("append").text(path)
     schema = "order_key bigint, line int, quantity double, flag string"
-    return csv_files.read_csv_by_name(spark, path, _schema(spark, schema))
+    return csv_files.read_csv_by_name(spark, f"{path}/*", _schema(spark, schema))
+
+
+def q_csv_multi_line(spark, sf):
+    """Customers whose name and segment stand on two lines of one quoted field."""
+    path = new_stage(spark, "customers")
+    note = F.concat(F.lit('"'), "c_name", F.lit('",\n'), "c_mktsegment").alias("note")
+    _write_lines(an.table(spark, sf, "customer"), path, ["c_custkey", note, "c_nationkey"])
+    schema = _schema(spark, "c_nationkey int, note string, c_custkey bigint")
+    return csv_files.read_csv_by_name(spark, path, schema, multi_line=True)
 
 
 def q_csv_skip_bad_files(spark, sf):
     """Files of seventh lines hold a quantity that is no number and are left out whole."""
     path = new_stage(spark, "lines")
     quantity = F.when(F.col("l_linenumber") == 7, "oops").otherwise(F.col("l_quantity").cast("string"))
-    (
-        an.table(spark, sf, "lineitem")
-        .select("l_orderkey", "l_linenumber", quantity.alias("quantity"), F.col("l_linenumber").alias("part"))
-        .write.partitionBy("part")
-        .option("header", True)
-        .csv(path)
-    )
+    lines = an.table(spark, sf, "lineitem").withColumn("quantity", quantity)
+    lines = lines.withColumn("part", F.concat(F.lit("line "), F.col("l_linenumber")))
+    _write_lines(lines, path, ["l_orderkey", "l_linenumber", "quantity"], "part")
     schema = _schema(spark, "l_orderkey bigint, l_linenumber int, quantity double")
     return csv_files.read_csv_by_name(spark, f"{path}/*", schema)
 
@@ -739,6 +749,8 @@ def panel_sql() -> dict[str, str]:
         "csv_by_name": """
             SELECT l_orderkey AS order_key, l_linenumber AS line, l_quantity AS quantity,
               CASE WHEN l_returnflag = 'R' THEN 'R, "so"' END AS flag FROM lineitem""",
+        "csv_multi_line": """
+            SELECT c_custkey, '"' || c_name || '",' || chr(10) || c_mktsegment AS note, c_nationkey FROM customer""",
         "csv_skip_bad_files": """
             SELECT l_orderkey, l_linenumber, l_quantity AS quantity FROM lineitem WHERE l_linenumber <> 7""",
         "csv_nulls": """

@@ -6,10 +6,9 @@ from pyspark.sql import types as T
 
 from areapanel import settings
 from areapanel.functions import values as v
-from areapanel.operators.reshape import append_all
+from areapanel.session import staged
 
 CORRUPT = "_corrupt_record"
-BROADCAST_FILES = 100_000
 PROBED_TYPES = ("bigint", "double", "date", "timestamp", "boolean")
 
 
@@ -32,44 +31,50 @@ def read_csv_strings(spark: SparkSession, path, columns=None) -> DataFrame:
     return (reader.schema(strings(columns)) if columns else reader).csv(path)
 
 
-def file_headers(spark: SparkSession, path, glob="*.csv") -> DataFrame:
-    """(file, header): the first line of every file, found in one distributed scan."""
-    lines = spark.read.option("pathGlobFilter", glob).text(path)
-    return (
-        lines.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            "value",
-            F.monotonically_increasing_id().alias("line"),
-        )
-        .where("start = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "line").alias("header"))
-    )
+#: Stands for a line break inside quotes while a file is cut into records.
+BREAK = "\x01"
 
 
-def header_columns(headers: DataFrame) -> DataFrame:
-    """(file, column) rows of header lines."""
-    name = F.explode(F.split(F.regexp_replace("header", r"^\x{FEFF}", ""), ","))
-    return headers.select("file", name.alias("column")).select(
-        "file", F.regexp_replace(F.trim("column"), '^"|"$', "").alias("column")
+def _records(spark: SparkSession, path, glob, multi_line=False) -> DataFrame:
+    """(file, line, record): every line of every file; ``line`` orders the lines of one file.
+
+    With ``multi_line`` a file is read whole (one task a file) and line breaks inside quotes stay part
+    of their record. Files are named as the scan names them; no name passes through the driver.
+    """
+    scan = spark.read.option("pathGlobFilter", glob).text(path, wholetext=multi_line)
+    named = scan.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line"))
+    if not multi_line:
+        return named.select("file", "line", F.rtrim(F.col("value"), F.lit("\r")).alias("record"))
+    # Every second piece between quotes is inside a field; doubled quotes keep the count even.
+    pieces = F.transform(F.split("value", '"'), lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, "\r?\n", BREAK)).otherwise(x))
+    lines = F.posexplode(F.split(F.array_join(pieces, '"'), "\r?\n"))
+    return named.select("file", lines.alias("line", "record")).withColumn("line", F.col("line").cast("bigint"))
+
+
+def _first_lines(records: DataFrame) -> DataFrame:
+    return records.groupBy("file").agg(F.min(F.struct("line", "record")).alias("first")).select(
+        "file", F.col("first.line").alias("first_line"), F.regexp_replace("first.record", r"^\x{FEFF}", "").alias("header")
     )
 
 
-def _dialect(spark: SparkSession, glob: str):
-    return (
-        spark.read.option("header", True)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("pathGlobFilter", glob)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
+def file_headers(spark: SparkSession, path, glob="*.csv", multi_line=False) -> DataFrame:
+    """(file, header): the first line of every file, found in one distributed scan."""
+    return _first_lines(_records(spark, path, glob, multi_line)).select("file", "header")
+
+
+def _fields(text):
+    """The fields of one CSV line: quotes may hold commas, and two quotes are one."""
+    return F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1)),
+        lambda x: F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')),
     )
 
 
+def header_columns(headers: DataFrame) -> DataFrame:
+    """(file, column) rows of header lines; a comma inside quotes does not end a name."""
+    return headers.select("file", F.explode(_fields(F.col("header"))).alias("column")).withColumn("column", F.trim("column"))
+
+
 def normalise_nulls(df: DataFrame, columns=None, tokens=settings.NULL_TOKENS) -> DataFrame:
     """Trim text columns and turn every null spelling into null."""
     columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -84,66 +89,92 @@ def read_csv_by_name(
     glob="*.csv",
     skip_bad_files=True,
     tokens=settings.NULL_TOKENS,
+    multi_line=False,
 ) -> DataFrame:
     """Load CSV files whose headers may differ in order and letter case.
 
-    Names are matched without regard to case, missing columns are null. There is one read per
-    distinct header, however many files; only file names and headers come to the driver, which
-    lists the files anyway. With a ``schema`` values are cast to it and other columns ignored. A
-    file with a row of the wrong width or a value that cannot be cast is left out as a whole
-    when ``skip_bad_files`` is set, else it raises.
+    Names are matched without regard to case, missing columns are null. The text is read twice: once
+    for the first lines, once for all records, which then meet their file's header. Only the
+    distinct headers come to the driver. With a ``schema`` values are cast to it and other columns
+    ignored. A file with a row of the wrong width or a value that cannot be cast is left out as a
+    whole when ``skip_bad_files`` is set, else it raises.
+
+    Fields with line breaks need ``multi_line``, which reads a file in one task (for small files such as
+    areas). Without it a quote that is still open at the end of its line raises, whatever
+    ``skip_bad_files`` says, because no part of such a file can be trusted.
     """
-    groups = {}
-    for row in file_headers(spark, path, glob).toLocalIterator():
-        groups.setdefault(row["header"], []).append(row["file"])
-    if not groups:
+    first = staged(_first_lines(_records(spark, path, glob, multi_line)), "headers")
+    headers = sorted(r[0] for r in first.select("header").distinct().collect())
+    if not headers:
         raise FileNotFoundError(f"no file matches {glob} below {path}")
-    frames = [
-        _read_one_header(spark, groups[h], schema, glob, skip_bad_files, tokens) for h in sorted(groups)
-    ]
-    return append_all(frames)
-
-
-def _read_one_header(spark, files, schema, glob, skip_bad_files, tokens):
-    names = spark.read.option("header", True).option("escape", '"').csv(files[0]).columns
-    names = [n.strip().lower() for n in names]
-    wanted = {f.name.lower(): f for f in (schema or strings(names)).fields}
-    raw = (
-        _dialect(spark, glob)
-        .schema(T.StructType(strings(names).fields + [T.StructField(CORRUPT, T.StringType())]))
-        .csv(files)
-        .select("*", F.col("_metadata.file_path").alias("_file"))
-    )
-    raw = normalise_nulls(raw, names, tokens)
-    casts, broken = [], F.col(CORRUPT).isNotNull()
-    for name, field in wanted.items():
-        if name not in names:
-            casts.append(F.lit(None).cast(field.dataType).alias(field.name))
-            continue
-        cast = F.col(f"`{name}`").try_cast(field.dataType)
-        broken = broken | (F.col(f"`{name}`").isNotNull() & cast.isNull())
-        casts.append(cast.alias(field.name))
-    # The width of a row is only checked when the row is read in full.
-    broken = broken & (F.concat_ws("", *[F.col(f"`{n}`") for n in names]) >= "")
+    names = _header_names(spark, headers)
+    wanted = schema or strings(list(dict.fromkeys(n for h in headers for n in names[h])))
+    record = F.col("record")
+    if not multi_line:
+        quotes = F.length(record) - F.length(F.replace(record, F.lit('"'), F.lit("")))
+        fail = F.raise_error(F.concat(F.lit("a quote is open at the end of a line in "), F.col("file"))).cast("string")
+        record = F.when(quotes % 2 == 1, fail).otherwise(record)
+    read = F.lit(None).cast(_row_type(wanted))
+    for header in headers:
+        read = F.when(F.col("header") == header, _read_record(record, names[header], wanted, tokens)).otherwise(read)
+    records = _records(spark, path, glob, multi_line).join(first, "file")
+    records = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != ""))
+    rows = staged(records.select("file", read.alias("r")).select("file", "r.*"), "rows")
+    columns = [F.col(f"`{f.name}`") for f in wanted.fields]
     if not skip_bad_files:
-        fail = F.raise_error(F.concat(F.lit("bad row in "), F.col("_file"))).cast("boolean")
-        return raw.where(F.when(broken, fail).otherwise(True)).select(*casts)
-    bad = raw.where(broken).select("_file").distinct()
-    if len(files) <= BROADCAST_FILES:  # no more names than files
-        bad = F.broadcast(bad)
-    return raw.join(bad, "_file", "left_anti").select(*casts)
-
-
-def bad_files(spark: SparkSession, path, columns, *, glob="*.csv") -> DataFrame:
-    """Files with at least one row whose width differs from the header's, and their bad rows."""
-    schema = T.StructType(strings(columns).fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = _dialect(spark, glob).schema(schema).csv(path)
-    broken = F.col(CORRUPT).isNotNull() & (F.concat_ws("", *[F.col(f"`{c}`") for c in columns]) >= "")
-    return (
-        raw.where(broken)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.count(F.lit(1)).alias("bad_rows"))
-    )
+        fail = F.raise_error(F.concat(F.lit("bad row in "), F.col("file"))).cast("boolean")
+        return rows.where(F.when(F.col(BROKEN), fail).otherwise(True)).select(*columns)
+    return rows.join(rows.where(BROKEN).select("file").distinct(), "file", "left_anti").select(*columns)
+
+
+def _header_names(spark, headers) -> dict:
+    """Lower-case names of every distinct header line."""
+    table = spark.createDataFrame([(h,) for h in headers], "header string")
+    found = table.select("header", _fields(F.col("header")).alias("names")).collect()
+    return {r["header"]: [n.strip().lower() for n in r["names"]] for r in found}
+
+
+BROKEN = "_broken"
+
+
+def _row_type(wanted):
+    return T.StructType([*wanted.fields, T.StructField(BROKEN, T.BooleanType())])
+
+
+def _read_record(record, names, wanted, tokens):
+    """One record under one header as the wanted columns and whether it is broken."""
+    plain = [f"c{i}" for i in range(len(names))]  # names may repeat or hold any character
+    kinds = ", ".join([*[f"{c} string" for c in plain], f"{CORRUPT} string"])
+    options = {
+        "sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxCharsPerColumn": "-1",
+    }
+
+    def row(parsed):
+        broken, casts = parsed[CORRUPT].isNotNull(), []
+        for field in wanted.fields:
+            if field.name.lower() not in names:
+                casts.append(F.lit(None).cast(field.dataType).alias(field.name))
+                continue
+            text = parsed[plain[names.index(field.name.lower())]]
+            text = v.null_tokens(F.replace(text, F.lit(BREAK), F.lit("\n")), tokens)
+            cast = text.try_cast(field.dataType)
+            broken = broken | (text.isNotNull() & cast.isNull())
+            casts.append(cast.alias(field.name))
+        return F.struct(*casts, broken.alias(BROKEN))
+
+    return F.get(F.transform(F.array(F.from_csv(record, F.lit(kinds), options)), row), F.lit(0)).cast(_row_type(wanted))
+
+
+def bad_files(spark: SparkSession, path, columns, *, glob="*.csv", multi_line=False) -> DataFrame:
+    """Files with at least one row whose width differs from ``columns``, and their bad rows."""
+    records = _records(spark, path, glob, multi_line)
+    records = records.join(_first_lines(records).select("file", "first_line"), "file")
+    wanted = strings(columns)
+    read = _read_record(F.col("record"), [c.lower() for c in columns], wanted, ())
+    rows = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != ""))
+    rows = rows.select("file", read.alias("r")).where(f"r.{BROKEN}")
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"))
 
 
 def _readable_as(text, keep_leading_zeros):

@@ -36,6 +36,42 @@ def test_load_by_name(spark, tmp_path):
     ]
 
 
+def test_names_that_need_encoding(spark, tmp_path):
+    for i, name in enumerate(("part a.csv", "x[1].csv", "50%.csv", "ü+b.csv")):
+        (tmp_path / name).write_text(f"ZIP_Code,Value\n{i},{i}.5\n" + ("bad\n" if name == "50%.csv" else ""))
+    (tmp_path / "notes.txt").write_text('an open " quote\n')
+    got = csv_files.read_csv_by_name(spark, str(tmp_path), LOAD)
+    assert rows(got) == [("0", None, 0.5), ("1", None, 1.5), ("3", None, 3.5)]
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = put(tmp_path, a_dot_csv='ZIP_Code,"Year",Value\r\n"a ""b""\nc",2014,1\r\nd,2015,"2"\n', b_dot_csv="value,zip_code\n3,e\n")
+    got = csv_files.read_csv_by_name(spark, path, LOAD, multi_line=True)
+    assert rows(got) == [('a "b"\nc', 2014, 1.0), ("d", 2015, 2.0), ("e", None, 3.0)]
+    with pytest.raises(Exception, match="a quote is open"):
+        csv_files.read_csv_by_name(spark, path, LOAD)
+
+
+def test_header_with_comma_in_quotes(spark, tmp_path):
+    path = put(tmp_path, a_dot_csv='"a,b", c ,"d ""e"""\n1,2,3\n')
+    headers = csv_files.header_columns(csv_files.file_headers(spark, path))
+    assert rows(headers, "column") == [("a,b",), ("c",), ('d "e"',)]
+    assert rows(csv_files.read_csv_by_name(spark, path)) == [("1", "2", "3")]
+
+
+def test_load_reads_the_text_twice(spark, tmp_path):
+    from areapanel.sources import csv_files as module
+
+    path, seen = put(tmp_path, a_dot_csv="A,b\n1,2\n", b_dot_csv="b,A\n3,4\n", c_dot_csv="b\n4\n"), []
+    original = module._records
+    module._records = lambda *a: seen.append(a) or original(*a)
+    try:
+        csv_files.read_csv_by_name(spark, path)
+    finally:
+        module._records = original
+    assert len(seen) == 2
+
+
 def test_load_without_schema_takes_all_columns(spark, tmp_path):
     path = put(tmp_path, a_dot_csv="A,b\n1,2\n", b_dot_csv="B,C\n3,4\n")
     got = csv_files.read_csv_by_name(spark, path)
@@ -115,10 +151,10 @@ def frame(spark, *names):
 
 
 def test_contracts(spark):
-    with pytest.raises(ValueError, match="missing required columns: Date, Latitude"):
+    with pytest.raises(ValueError, match="events has no column Date, Latitude"):
         contracts.check_events(frame(spark, "ID", "Primary Type", "Longitude"))
     contracts.check_events(frame(spark, *contracts.EVENT_COLUMNS, "more"))
-    with pytest.raises(ValueError, match="missing required columns: ZIP"):
+    with pytest.raises(ValueError, match="has no column ZIP"):
         contracts.check_areas(frame(spark, "zip", "the_geom"))
     with pytest.raises(ValueError, match="geom or shape"):
         contracts.check_areas(frame(spark, "ZIP"))
