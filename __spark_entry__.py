@@ -82,7 +82,7 @@ def q_spatial_assign_shuffled(spark, sf):
     """The same join as if the areas were too many to broadcast: by cell, hot cells salted."""
     areas = an.cleaned_nation_areas(spark, sf)
     joined = spatial.assign_area(
-        an.points(spark, sf), areas, bounds=an.BOUNDS, broadcast_bytes=0, hot_rows=1
+        an.points(spark, sf), areas, bounds=an.BOUNDS, broadcast_bytes=0, hot_rows=8
     )
     return joined.select("l_orderkey", "l_linenumber", "x", "y", "ZIP_Code")
 

@@ -9,7 +9,7 @@ with another row of the same id.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from areapanel import settings
@@ -56,7 +56,10 @@ def area_cells(
             "ymax": F.least("ymax", F.lit(float(by1))),
         }
     cells = ((box["xmax"] - box["xmin"]) * grid + 1) * ((box["ymax"] - box["ymin"]) * grid + 1)
-    levelled = areas.select(
+    # Rows are told apart by their place in a written table, which a lost executor does not change.
+    numbered = staged(areas.select("ZIP_Code", "edges", "xmin", "ymin", "xmax", "ymax"), "area_rows")
+    levelled = numbered.select(
+        F.monotonically_increasing_id().alias("row"),
         "ZIP_Code",
         "edges",
         *[column.alias(name) for name, column in box.items()],
@@ -68,52 +71,55 @@ def area_cells(
     def index(value):
         return geo.cell(value, g)
 
-    rows = levelled.withColumn("cy", F.explode(F.sequence(index(F.col("ymin")), index(F.col("ymax")))))
+    # Edges first, then grid rows: a large area is spread over (area row, grid row) groups.
+    e, middle = F.col("e"), (F.col("cy") + 0.5) / g
+    top, bottom = F.least(index(e.y2), index(F.col("ymax"))), F.greatest(index(e.y1), index(F.col("ymin")))
     low, high = (F.col("cy") - geo.SLACK) / g, (F.col("cy") + 1 + geo.SLACK) / g
-
-    def span(e):
-        left, right = geo.x_range(e, low, high)
-        return F.struct(
-            F.floor(left * g - geo.SLACK).alias("left"),
-            F.floor(right * g + geo.SLACK).alias("right"),
-            e.alias("e"),
-        )
-
-    spans = F.transform(
-        F.filter("edges", lambda e: (index(e.y1) <= F.col("cy")) & (index(e.y2) >= F.col("cy"))), span
-    )
-    banded = rows.select(
-        "ZIP_Code",
-        "level",
-        "cy",
-        index(F.col("xmin")).alias("first"),
-        index(F.col("xmax")).alias("last"),
-        ((F.col("cy") + 0.5) / g).alias("middle"),
-        F.sort_array(spans).alias("band"),
-    ).withColumn("runs", _runs(F.col("band")))
-    a, b, band, middle = F.col("run.a"), F.col("run.b"), F.col("band"), F.col("middle")
-    beyond = F.filter(band, lambda s: (s.left > b) & (s.e.y1 <= middle) & (middle < s.e.y2))
-    following = F.try_element_at("runs", F.col("at") + 2)
-    runs = (
-        banded.select("*", F.posexplode("runs").alias("at", "run"))
+    left, right = geo.x_range(e, low, high)
+    spans = (
+        levelled.select("*", F.explode("edges").alias("e"))
+        .drop("edges")
+        .select("*", F.explode(F.when(bottom <= top, F.sequence(bottom, top))).alias("cy"))
         .select(
+            "row",
             "ZIP_Code",
             "level",
             "cy",
-            F.greatest(a, "first").alias("from"),
-            "last",
-            b.alias("b"),
-            following["a"].alias("next"),
-            F.pmod(F.size(beyond), F.lit(2)).alias("odd"),
-            F.filter(band, lambda s: (s.left >= a) & (s.right <= b)).alias("near"),
+            index(F.col("xmin")).alias("first"),
+            index(F.col("xmax")).alias("last"),
+            F.floor(left * g - geo.SLACK).alias("left"),
+            F.floor(right * g + geo.SLACK).alias("right"),
+            ((e.y1 <= middle) & (middle < e.y2)).cast("int").alias("crosses"),
+            "e",
         )
-        .withColumn(
-            "to", F.least(F.when(F.col("odd") == 1, F.col("next") - 1).otherwise(F.col("b")), "last")
+    )
+    # Stretches of neighbouring columns that edges enter. Between two of them no edge passes: a ray that
+    # starts in one can end behind it, and the cells up to the next all have the state found there.
+    band = Window.partitionBy("row", "cy").orderBy("left", "right")
+    reached = F.max("right").over(band.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (reached.isNull() | (F.col("left") > reached + 1)).cast("int")
+    runs = (
+        spans.withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(band.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy("row", "ZIP_Code", "level", "cy", "first", "last", "run")
+        .agg(
+            F.min("left").alias("a"),
+            F.max("right").alias("b"),
+            F.sum("crosses").alias("crossing"),
+            F.collect_list(F.struct("right", "e")).alias("near"),
         )
+    )
+    later = Window.partitionBy("row", "cy").orderBy("run")
+    beyond = F.sum("crossing").over(later.rowsBetween(1, Window.unboundedFollowing))
+    placed = (
+        runs.withColumn("odd", F.pmod(F.coalesce(beyond, F.lit(0)), F.lit(2)).cast("int"))
+        .withColumn("next", F.lead("a").over(later))
+        .withColumn("from", F.greatest("a", "first"))
+        .withColumn("to", F.least(F.when(F.col("odd") == 1, F.col("next") - 1).otherwise(F.col("b")), "last"))
         .select("*", F.explode(F.when(F.col("from") <= F.col("to"), F.sequence("from", "to"))).alias("cx"))
     )
     reachable = F.filter("near", lambda s: s.right >= F.col("cx"))
-    return runs.select(
+    return placed.select(
         "ZIP_Code",
         "level",
         "cx",
@@ -125,25 +131,6 @@ def area_cells(
     )
 
 
-def _runs(band: Column) -> Column:
-    """Stretches of neighbouring columns that edges enter, from spans sorted by left column.
-
-    Between two runs no edge passes: a ray that starts in a run can end behind it, and the cells
-    up to the next run all have the state found there.
-    """
-    kind = "array<struct<a:bigint,b:bigint>>"
-
-    def add(runs, s):
-        last = F.try_element_at(runs, F.lit(-1))
-        grown = F.struct(last.a.alias("a"), F.greatest(last.b, s.right).alias("b"))
-        return F.when(
-            s.left <= last.b + 1,
-            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown)),
-        ).otherwise(F.concat(runs, F.array(F.struct(s.left.alias("a"), s.right.alias("b"))))).cast(kind)
-
-    return F.aggregate(band, F.array().cast(kind), add)
-
-
 @dataclass(frozen=True)
 class Measure:
     """Size of prepared cells in bytes, the grid levels in use, and the type a cell index needs."""
@@ -153,16 +140,20 @@ class Measure:
     index: str
 
 
-def measure_cells(cells: DataFrame) -> Measure:
-    """One small job over the areas' cells."""
+def measured_cells(areas: DataFrame, **options) -> tuple[DataFrame, Measure]:
+    """The areas' cells, prepared and written once, and their measure, observed while writing."""
+    seen = Observation()
     indexes = [F.abs("cx"), F.abs("cy")]
-    row = cells.agg(
+    cells = area_cells(areas, **options).observe(
+        seen,
         F.sum(F.lit(ROW_BYTES) + F.length("ZIP_Code") + F.size("edges") * EDGE_BYTES).alias("bytes"),
-        F.collect_set("level").alias("levels"),
+        F.bit_or(F.expr("shiftleft(1L, level)")).alias("levels"),
         F.max(F.greatest(*indexes)).alias("largest"),
-    ).first()
-    small = (row["largest"] or 0) < 2**31
-    return Measure(row["bytes"] or 0, tuple(sorted(row["levels"])), "int" if small else "bigint")
+    )
+    cells = staged(cells, "cells")
+    row = seen.get
+    levels = tuple(i for i in range(63) if (row["levels"] or 0) >> i & 1)
+    return cells, Measure(row["bytes"] or 0, levels, "int" if (row["largest"] or 0) < 2**31 else "bigint")
 
 
 def _with_cell(points: DataFrame, levels, grid: float, index="bigint") -> DataFrame:
@@ -181,27 +172,22 @@ def _with_cell(points: DataFrame, levels, grid: float, index="bigint") -> DataFr
     )
 
 
-def hot_cells(placed: DataFrame, hot_rows: int, share: int = settings.HOT_SHARE):
-    """Cells that hold more than ``hot_rows`` points and more than 1/``share`` of all points.
+def hot_cells(placed: DataFrame, hot_rows: int) -> DataFrame:
+    """(cell, salts) of every cell with more than ``hot_rows`` points: one salt per ``hot_rows`` points."""
+    load = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    return staged(load.select(*CELL, F.ceil(F.col("n") / F.lit(hot_rows)).cast("bigint").alias("salts")), "hot_cells")
+
+
+def _salted(placed: DataFrame, cells: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spread the points of hot cells over salts and repeat those cells once per salt.
 
-    At most ``share`` cells can do so; they and the total come from one job over the cell columns.
+    The salt follows a point's ``position`` in the written table, so equal points are spread as well
+    and a repeated task deals them out the same way.
     """
-    total = Observation()
-    load = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
-    top = load.observe(total, F.sum("n").alias("n")).orderBy(F.desc("n")).limit(share).collect()
-    limit = max(hot_rows, (total.get["n"] or 0) // share)
-    return [(r["level"], r["cx"], r["cy"], -(-r["n"] // limit)) for r in top if r["n"] > limit]
-
-
-def _salted(placed: DataFrame, cells: DataFrame, hot) -> tuple[DataFrame, DataFrame]:
-    """Spread the points of hot cells over salts and repeat those cells once per salt."""
-    spark, kind = placed.sparkSession, dict(placed.dtypes)["cx"]
-    table = F.broadcast(spark.createDataFrame(hot, f"level int, cx {kind}, cy {kind}, salts bigint"))
-    salts = F.coalesce("salts", F.lit(1))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns]), salts)
-    placed = placed.join(table, CELL, "left").withColumn("salt", spread).drop("salts")
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    placed = placed.join(hot, CELL, "left").withColumn("salt", F.pmod("position", salts)).drop("salts")
     cells = (
-        cells.join(table, CELL, "left")
+        cells.join(hot, CELL, "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
         .drop("salts")
     )
@@ -225,32 +211,30 @@ def assign_area(
     beyond that the points are written once to the shared folder, hot cells are found there, and
     both sides are shuffled by cell with the hot cells salted.
     """
-    cells = area_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
-    measure = measure_cells(cells)
+    cells, measure = measured_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
     if not measure.levels:
         return points.withColumn("ZIP_Code", F.lit("")).where(F.lit(False))
     return _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows)
 
 
 def _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows):
+    columns = [F.col(f"`{c}`") for c in points.columns]
     small = measure.size <= broadcast_bytes
     if not small:
-        points = staged(points, "points")
+        points = staged(points, "points").withColumn("position", F.monotonically_increasing_id())
     placed = _with_cell(points, measure.levels, grid, measure.index)
     cells = cells.withColumns({c: F.col(c).cast(measure.index) for c in ("cx", "cy")})
     keys = list(CELL)
     if small:
         cells = F.broadcast(cells)
     else:
-        hot = hot_cells(placed, hot_rows)
-        if hot:
-            placed, cells = _salted(placed, cells, hot)
-            keys.append("salt")
+        placed, cells = _salted(placed, cells, hot_cells(placed, hot_rows))
+        keys.append("salt")
         cells = cells.hint("merge")
     return (
         placed.join(cells, keys)
         .where(geo.covers_point(F.col("edges"), F.col("odd"), F.col("x"), F.col("y")))
-        .select(*[F.col(f"`{c}`") for c in points.columns], "ZIP_Code")
+        .select(*columns, "ZIP_Code")
     )
 
 
@@ -271,8 +255,7 @@ def count_by_area(
     are too large, points of equal place, month and category are first counted together, so
     copies of a point cross the shuffle once.
     """
-    cells = area_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
-    measure = measure_cells(cells)
+    cells, measure = measured_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
     slim = points.select("x", "y", "Month_Date", "Year", "Crime_Category")
     if not measure.levels:
         joined = slim.withColumn("ZIP_Code", F.lit("")).where(F.lit(False))

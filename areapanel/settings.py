@@ -35,5 +35,4 @@ GEOMETRY_COLUMN = "the_geom"
 GRID = 200  # cells per coordinate unit
 MAX_CELLS = 65_536  # per area; a larger area moves to a coarser grid
 BROADCAST_BYTES = 128 << 20
-HOT_SHARE = 4096  # a cell is hot above 1/HOT_SHARE of all points
-HOT_ROWS = 1_000_000
+HOT_ROWS = 1_000_000  # points of a cell that go to one task of a shuffled join

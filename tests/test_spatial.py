@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from conftest import plan_of, rows
 
 from areapanel.operators import spatial
@@ -225,7 +226,7 @@ def test_counts_agree_between_broadcast_and_shuffle(spark, random_case):
 def test_hot_cell_is_salted(spark):
     areas = clean.clean_boundaries(raw_areas(spark, [("a", SQUARE), ("b", SQUARE)]))
     points = spark.range(3000).selectExpr("id", "if(id < 1000, 1.5, 3 * rand(1)) as x", "1.5 as y")
-    hot = spatial.hot_cells(spatial._with_cell(points, [0], 200), 100)
+    hot = rows(spatial.hot_cells(spatial._with_cell(points, [0], 200), 100))
     assert len(hot) == 1 and hot[0][3] >= 10
     joined = spatial.assign_area(points, areas, broadcast_bytes=0, hot_rows=100)
     assert "SortMergeJoin" in plan_of(joined) and "salt" in plan_of(joined)
@@ -238,3 +239,29 @@ def test_plan_has_no_nested_loop_and_no_python(random_case):
         plan = plan_of(spatial.assign_area(points, areas, **options))
         for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "EvalPython", "InPandas"):
             assert bad not in plan
+
+
+def test_equal_points_go_to_several_salts(spark):
+    points = staged(spark.range(1000).select(F.lit(-87.7).alias("x"), F.lit(41.8).alias("y")), "points")
+    placed = spatial._with_cell(points.withColumn("position", F.monotonically_increasing_id()), [0], 200)
+    hot = spatial.hot_cells(placed, 100)
+    cells = placed.select(*spatial.CELL).distinct()
+    placed, repeated = spatial._salted(placed, cells, hot)
+    per_salt = {r["salt"]: r["count"] for r in placed.groupBy("salt").count().collect()}
+    assert len(per_salt) == 10 and max(per_salt.values()) <= 200
+    assert {r["salt"] for r in repeated.collect()} == set(range(10))
+
+
+def test_any_number_of_cells_may_be_hot(spark):
+    points = spark.range(6000 * 3).select((F.col("id") % 6000 / 200 + 0.001).alias("x"), F.lit(0.001).alias("y"))
+    hot = spatial.hot_cells(spatial._with_cell(points, [0], 200), 2)
+    assert hot.count() == 6000 and {r["salts"] for r in hot.collect()} == {2}
+
+
+def test_cells_are_prepared_once(spark, monkeypatch):
+    calls, original = [], spatial.area_cells
+    monkeypatch.setattr(spatial, "area_cells", lambda *a, **k: calls.append(1) or original(*a, **k))
+    areas = clean.clean_boundaries(spark.createDataFrame([("1", "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))")], "ZIP string, the_geom string"))
+    points = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0)], "x double, y double")
+    joined = spatial.assign_area(points, areas)
+    assert "Window" not in plan_of(joined) and rows(joined) == [(0.5, 0.5, "1")] and len(calls) == 1
