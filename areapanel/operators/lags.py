@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from areapanel.functions import values as v
 
-SLICES_PER_DOUBLING = 64
-ABOVE_ALL_SIZES = 1 << 20  # more than any logarithm of a double in slices
+#: Distinct values of one area and month that a task takes; beyond it the month is cut into slices.
+GROUP_ROWS = 100_000
+SLICES = 1024
 
 
 def _previous(column: str, order_by, partition_by=()):
@@ -28,32 +29,43 @@ def relative_change_by_row(df: DataFrame, value: str, order_by, partition_by=(),
     )
 
 
-def _slice(value):
-    """Coarse position of a number, never falling as the number rises; null for null."""
-    size = F.floor(F.log2(F.abs(value)) * SLICES_PER_DOUBLING) + ABOVE_ALL_SIZES
-    return F.when(value > 0, size).when(value < 0, -size).when(value == 0, 0)
+def _sliced(level: DataFrame, keys, value: str, group_rows: int) -> DataFrame:
+    """Adds ``slice``: 0 for most months, ranges of about equal size for months of very many values.
 
+    The ranges follow the values' own quantiles, so values that lie close together are cut as well.
+    Slices never fall as the value rises; nulls, which sort last, are a slice of their own.
+    """
+    large = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_rows).drop("rows")
+    shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cuts = level.join(large, keys).groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(value, shares, F.lit(8 * SLICES))).alias("cuts")
+    )
+    number = F.col(value)
+    below = F.size(F.filter("cuts", lambda c: c <= number))
+    place = F.when(number.isNull(), SLICES).when(F.col("cuts").isNull(), 0).otherwise(below)
+    return level.join(cuts, keys, "left").withColumn("slice", place).drop("cuts")
 
-def average_growth(df: DataFrame, area="ZIP_CODE", month="Month_Date", value="ZHVI_Value", carried=()):
+
+def average_growth(
+    df: DataFrame, area="ZIP_CODE", month="Month_Date", value="ZHVI_Value", carried=(), *, group_rows=GROUP_ROWS
+):
     """Per area: average percent change of ``value`` from row to row in month order, and the
     plain averages of the ``carried`` columns.
 
     Rows of one month are taken in value order. No task needs all rows of an area or month: equal
-    rows are first counted together, changes are found inside slices of a month (values of
-    similar size), and only one row per slice goes through the window over the area. A change
+    rows are first counted together, changes are found inside slices of a month (the whole month, or
+    quantile ranges where it holds more than ``group_rows`` distinct values), and only one row per
+    slice goes through the window over the area. A change
     between equal values is 0 (null when the value is 0), so ``n`` equal rows add ``n - 1`` such
     changes.
     """
     number = F.col(value)
-    level = (
-        df.withColumn("slice", _slice(number))
-        .groupBy(area, month, "slice", value)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(c).alias(f"sum_{c}") for c in carried],
-            *[F.count(c).alias(f"cnt_{c}") for c in carried],
-        )
+    level = df.groupBy(area, month, value).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"sum_{c}") for c in carried],
+        *[F.count(c).alias(f"cnt_{c}") for c in carried],
     )
+    level = _sliced(level, [area, month], value, group_rows)
     step = v.percent_change(number, _previous(value, [value], [area, month, "slice"]))
     flat = F.when(number != 0, F.col("n") - 1).otherwise(0)
     slices = (

@@ -101,7 +101,8 @@ def test_views_are_registered(spark, sample):
     assert got == 10
 
 
-def test_average_growth_against_pandas(spark):
+@pytest.mark.parametrize("group_rows", [lags.GROUP_ROWS, 7])
+def test_average_growth_against_pandas(spark, group_rows):
     rng = np.random.default_rng(3)
     n = 3000
     pdf = pd.DataFrame(
@@ -116,7 +117,7 @@ def test_average_growth_against_pandas(spark):
     )
     pdf.loc[rng.random(n) < 0.1, "w"] = np.nan
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "ZIP_CODE string, Month_Date date, ZHVI_Value double, w double")
-    got = {r["ZIP_CODE"]: r for r in lags.average_growth(df, carried=["w"]).collect()}
+    got = {r["ZIP_CODE"]: r for r in lags.average_growth(df, carried=["w"], group_rows=group_rows).collect()}
     ordered = pdf.sort_values(["ZIP_CODE", "Month_Date", "ZHVI_Value"])
     before = ordered.groupby("ZIP_CODE")["ZHVI_Value"].shift(1)
     ordered["g"] = (ordered["ZHVI_Value"] - before) / before.replace(0, np.nan) * 100
@@ -125,6 +126,17 @@ def test_average_growth_against_pandas(spark):
         assert got[area]["avg_w"] == pytest.approx(group["w"].mean())
 
 
+def test_a_month_of_many_close_values_is_cut(spark):
+    level = spark.range(50_000).selectExpr("'a' as ZIP_CODE", "date'2020-01-01' as Month_Date", "1000 + id * 1e-6 as ZHVI_Value")
+    sliced = lags._sliced(level, ["ZIP_CODE", "Month_Date"], "ZHVI_Value", 10_000)
+    sizes = [r["count"] for r in sliced.groupBy("slice").count().collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 500
+    order = sliced.selectExpr("slice < lag(slice) over (order by ZHVI_Value) as falls").where("falls")
+    assert order.isEmpty()
+    few = lags._sliced(level, ["ZIP_CODE", "Month_Date"], "ZHVI_Value", 50_000)
+    assert few.select("slice").distinct().count() == 1
+
+
 def test_average_growth_with_missing_values(spark):
     df = spark.createDataFrame(
         [("a", D(2020, 1, 1), 1.0), ("a", D(2020, 2, 1), None), ("a", D(2020, 3, 1), 2.0), ("a", D(2020, 4, 1), 3.0),
