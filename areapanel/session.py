@@ -41,9 +41,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWNED = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the driver's JVM ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _OWNED:
+        path = f"{shared_folder(spark).rstrip('/')}/areapanel-{key}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _OWNED[key] = path
+    return _OWNED[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables now; frames that read them are of no use then."""
+    path = _OWNED.pop(spark.sparkContext.applicationId, None)
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_stage(spark: SparkSession, name: str) -> str:
-    """A path for one intermediate table below the shared folder; never reused."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path for one intermediate table below the run's folder; never reused."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df, name: str, partition_by=()):
