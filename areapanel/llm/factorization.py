@@ -27,7 +27,7 @@ FACTORS = 8
 BEGINNINGS = (4, 5)
 SAMPLE = {1: 4000, 0: 8000}
 KEPT = 8192
-LEAST = 8.0
+LEAST = 15.0
 EPOCHS = 8
 THRESHOLD = 0.3
 
@@ -61,7 +61,7 @@ class Machine:
     def margins(self, values, owners, n):
         live = np.flatnonzero(self.linear[values])
         values, owners = values[live], owners[live]
-        total = np.bincount(owners, self.linear[values], n)
+        total = np.zeros(n) + np.bincount(owners, self.linear[values], n)
         for k in range(FACTORS):
             v = self.factors[values, k].astype(np.float64)
             total += (np.bincount(owners, v, n) ** 2 - np.bincount(owners, v * v, n)) / 2
