@@ -34,7 +34,7 @@ from .common import common_words, crc_rest, mapped
 
 BEFORE, END = 0xFE, 0xFF  # no UTF-8 text holds these bytes
 ROWS = 1 << 17
-COMMON = 1 << 20
+COMMON = 1 << 19
 _HALF = math.log(2)
 _X = np.arange(256)
 #: For every byte the eight nodes of its decisions, and the decisions.
@@ -295,12 +295,21 @@ def scorers(tree_rows: DataFrame, above, limit: int = ROWS):
     """One scorer per slice of at most about ``limit`` rows; the first also counts the rows above."""
     n = tree_rows.count()
     passes = max(1, -(-n // limit))
-    seen = tree_rows.select("depth", "context").toPandas()  # two small numbers per context, 2^24 contexts at most
-    seen = tuple(np.sort(seen["context"][seen["depth"] == d].to_numpy()) for d in (2, 3))
+    seen = []  # one small number per context, 2^24 contexts at most
+    for depth in (2, 3):
+        own = tree_rows.where(F.col("depth") == depth).select(F.col("context").cast("int")).toArrow()
+        seen.append(np.sort(own.column(0).to_numpy()))
     for k in range(passes):
-        own = tree_rows.where(F.pmod(F.xxhash64("depth", "context"), F.lit(passes)) == k).toPandas()
-        rows = np.frombuffer(b"".join(own["row"]), np.float32).reshape(-1, 256)
-        yield Scorer(own["depth"].to_numpy(), own["context"].to_numpy(), rows, seen, above if k == 0 else None)
+        own = tree_rows.where(F.pmod(F.xxhash64("depth", "context"), F.lit(passes)) == k).toArrow()
+        rows = np.empty((own.num_rows, 256), np.float32)
+        at = 0
+        for chunk in own.column("row").chunks:  # every value is 1024 bytes long
+            first, data = chunk.offset, chunk.buffers()[2]
+            if len(chunk):
+                part = np.frombuffer(data, np.float32, 256 * (first + len(chunk)))[256 * first :]
+                rows[at : at + len(chunk)] = part.reshape(-1, 256)
+                at += len(chunk)
+        yield Scorer(own.column("depth").to_numpy(), own.column("context").to_numpy(), rows, seen, above if k == 0 else None)
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int = ROWS, common: int = COMMON) -> DataFrame:
@@ -317,10 +326,10 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int =
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (total or 0) + texts, distinct + (texts > 0)
     least = common_words(words, common)
-    known = words.where(F.col("n") >= least).toPandas()  # at most ``common`` rows
-    order = np.argsort(known["key"].to_numpy().view(np.uint64))
-    keys = known["key"].to_numpy().view(np.uint64)[order]
-    gain = np.log10(known["n"].to_numpy()[order] + 1.0)
+    known = words.where(F.col("n") >= least).toArrow()  # at most ``common`` rows
+    keys = known.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, gain = keys[order], np.log10(known.column("n").to_numpy()[order] + 1.0)
     unit, end_gain = math.log10(total + distinct + 1), math.log10(texts + 1.0)
     lexicon = spark.sparkContext.broadcast((keys, gain))
 
