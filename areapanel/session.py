@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -61,13 +62,37 @@ def release(spark: SparkSession) -> None:
     """Delete this application's intermediate tables now; frames that read them are of no use then."""
     path = _OWNED.pop(spark.sparkContext.applicationId, None)
     if path:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, path)
+
+
+_STEPS = {}
+_TARGET = []
+
+
+@contextmanager
+def step_folder(spark: SparkSession, chain: str):
+    """Intermediate tables made inside go to a folder of their own, which the next step of the same
+    ``chain`` deletes when it begins. For chains whose steps write their result before the next begins.
+    """
+    key = (spark.sparkContext.applicationId, chain)
+    if key in _STEPS:
+        _delete(spark, _STEPS.pop(key))
+    _STEPS[key] = f"{run_folder(spark)}/{chain}-{uuid.uuid4().hex}"
+    _TARGET.append(_STEPS[key])
+    try:
+        yield
+    finally:
+        _TARGET.pop()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def new_stage(spark: SparkSession, name: str) -> str:
-    """A path for one intermediate table below the run's folder; never reused."""
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for one intermediate table below the run's or the step's folder; never reused."""
+    return f"{_TARGET[-1] if _TARGET else run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df, name: str, partition_by=()):
