@@ -7,7 +7,8 @@ a group weighs more than both alone.
 
 The machine is fitted on a bounded sample of labelled rows: per class the ``SAMPLE`` rows whose hashed ids
 are smallest. Only their distinct features reach the driver. Of these the ``KEPT`` with the strongest
-association with the label are used (chi square of ``LEAST`` at least). Class shares of the sample are corrected
+association with the label are used: chi square of ``LEAST`` at least, or ``LEAST_OF_FEW`` where one
+label has fewer than ``FEW`` rows and no term can reach more. Class shares of the sample are corrected
 by the true shares. Every text is scored whole, in the tasks that read it.
 
 Defined results: a null text is empty; an empty text scores the bias; a null label is ignored; ids
@@ -27,7 +28,7 @@ FACTORS = 8
 BEGINNINGS = (4, 5)
 SAMPLE = {1: 4000, 0: 8000}
 KEPT = 8192
-LEAST = 15.0
+LEAST, LEAST_OF_FEW, FEW = 15.0, 8.0, 100
 EPOCHS = 8
 THRESHOLD = 0.3
 
@@ -82,7 +83,8 @@ def fit(rows, labels, share, epochs=EPOCHS, seed=7):
     hits = np.bincount(np.concatenate(rows), np.repeat(labels, [len(r) for r in rows]), BUCKETS)
     expected = seen * labels.mean()
     square = (hits - expected) ** 2 / np.maximum(expected * (1 - labels.mean()) * (1 - seen / len(rows)), 1e-9)
-    square[(seen < 4) | (square < LEAST)] = 0
+    least = LEAST_OF_FEW if min(labels.sum(), (1 - labels).sum()) < FEW else LEAST
+    square[(seen < 4) | (square < least)] = 0
     kept = np.argsort(-square, kind="stable")[:KEPT]
     kept = np.sort(kept[square[kept] > 0])
     place = np.full(BUCKETS, -1)
