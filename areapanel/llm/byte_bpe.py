@@ -97,11 +97,12 @@ def pair_table(path: str):
 
 
 def _literal(values, kind):
+    """A literal array; the optimiser reads the text once."""
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def folder(path: str):
-    """A function from a column of words (one character per byte's token) to a column of their tokens."""
+    """A function from arrays of words (one character per byte's token) to arrays of their tokens."""
     shift, owner, value = pair_table(path)
     codes = lambda ids: [ord(c) for c in symbol(ids)]
     # Slots are addressed by character codes, so displacements absorb the two offsets.
@@ -109,42 +110,45 @@ def folder(path: str):
     by_code[codes(np.arange(len(shift)))] = shift
     if len(by_code) > SURROGATES:
         raise ValueError("vocabularies beyond the basic plane need a gap in the slots")
-    shifts = _literal((by_code - FIRST).tolist(), "array<int>")
-    owners = _literal(np.where(owner < 0, -1, owner + FIRST).tolist(), "array<int>")
-    merged = _literal(list(symbol(value)), "array<string>")
+    table = F.struct(
+        _literal((by_code - FIRST).tolist(), "array<int>").alias("shifts"),
+        _literal(np.where(owner < 0, -1, owner + FIRST).tolist(), "array<int>").alias("owners"),
+        _literal(list(symbol(value)), "array<string>").alias("merged"),
+    )
 
-    def rank(left: Column, right: Column) -> Column:
-        code = F.ascii(left)
-        slot = F.get(shifts, code) + F.ascii(right)
-        return F.when(F.get(owners, slot) == code, F.get(merged, slot)).otherwise(F.lit(NONE))
+    def let(value, function):
+        return F.get(F.transform(F.array(value), function), F.lit(0))
+
+    one, rest = F.lit(1), F.lit(1 << 30)
 
     def lowest(state):
         at = F.call_function("locate", F.array_min(F.split(state["ranks"], "")), state["ranks"])
         return F.struct(state["pieces"].alias("pieces"), state["ranks"].alias("ranks"), at.alias("at"))
 
-    def let(value, function):
-        return F.get(F.transform(F.array(value), function), F.lit(0))
-
-    one, rest = F.lit(1), F.lit(1 << 30)
+    def fold_with(word: Column, ranked: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            code = F.ascii(left)
+            slot = F.get(ranked["shifts"], code) + F.ascii(right)
+            return F.when(F.get(ranked["owners"], slot) == code, F.get(ranked["merged"], slot)).otherwise(F.lit(NONE))
+
+        def merge(state, _):
+            pieces, ranks, at = state["pieces"], state["ranks"], state["at"]
+            new = F.substring(ranks, at, one)
+            left = F.when(at > 1, rank(F.substring(pieces, at - 1, one), new)).otherwise("")
+            right = F.when(at < F.length(ranks), rank(new, F.substring(pieces, at + 2, one))).otherwise("")
+            after = F.struct(
+                F.concat(F.substring(pieces, one, at - 1), new, F.substring(pieces, at + 2, rest)).alias("pieces"),
+                F.concat(F.substring(ranks, one, at - 2), left, right, F.substring(ranks, at + 2, rest)).alias("ranks"),
+            )
+            return F.when((new == NONE) | (new == ""), state).otherwise(let(after, lowest))
 
-    def merge(state, _):
-        pieces, ranks, at = state["pieces"], state["ranks"], state["at"]
-        new = F.substring(ranks, at, one)
-        left = F.when(at > 1, rank(F.substring(pieces, at - 1, one), new)).otherwise("")
-        right = F.when(at < F.length(ranks), rank(new, F.substring(pieces, at + 2, one))).otherwise("")
-        after = F.struct(
-            F.concat(F.substring(pieces, one, at - 1), new, F.substring(pieces, at + 2, rest)).alias("pieces"),
-            F.concat(F.substring(ranks, one, at - 2), left, right, F.substring(ranks, at + 2, rest)).alias("ranks"),
-        )
-        return F.when((new == NONE) | (new == ""), state).otherwise(let(after, lowest))
-
-    def fold(word: Column) -> Column:
         n = F.length(word)
         pairs = F.transform(F.sequence(one, n - 1), lambda i: rank(F.substring(word, i, one), F.substring(word, i + 1, one)))
         begin = let(F.struct(word.alias("pieces"), F.array_join(pairs, "").alias("ranks")), lowest)
         return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), begin, merge, lambda s: s["pieces"]))
 
-    return fold
+    # The rank map stands once in the plan, bound to a name, however often it is asked.
+    return lambda words: let(table, lambda ranked: F.transform(words, lambda word: fold_with(word, ranked)))
 
 
 class Vocabulary:
@@ -180,44 +184,29 @@ def _hashed(words):
     return textscan.word_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
 
 
-def distinct_words(docs: DataFrame, vocabulary) -> DataFrame:
-    """(word, n): the distinct words that are no token themselves, and how often they occur."""
+def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """(word, n): the distinct words and how often they occur.
+
+    Tasks count stretches by hash and pass on each once per few megabytes; the distinct ones are
+    then split. Java reads the pattern a little differently for rare characters, which at worst leaves a
+    word out of the lexicon; it is then folded where it occurs.
+    """
     import pyarrow as pa
 
     def count(batches):
-        vocab, seen, times = vocabulary.value, {}, {}
         for batch in batches:
             for _, data, offsets in textscan.slices(batch.column(0), _CHUNK):
                 hashes, starts, ends = _split(data, offsets)
-                values, first, many = np.unique(hashes, return_index=True, return_counts=True)
-                raw, ranks = data.tobytes(), vocab.ranks
-                fresh = []
-                for h, at, n in zip(values.tolist(), first.tolist(), many.tolist()):
-                    if h in seen:
-                        seen[h] += n
-                    else:
-                        seen[h] = n
-                        fresh.append((h, raw[starts[at] : ends[at]]))
-                words, sizes = vocab.words([s for _, s in fresh])
-                at = 0
-                for (h, _), size in zip(fresh, sizes.tolist()):
-                    own = [w for w in words[at : at + size] if w not in ranks]
-                    at += size
-                    if own:
-                        times[h] = own
-        total = {}
-        for h, words in times.items():
-            for word in words:
-                total[word] = total.get(word, 0) + seen[h]
-        items = list(total.items())
-        for a in range(0, len(items), 1 << 15):
-            part = items[a : a + (1 << 15)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([vocab.code(w) for w, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["word", "n"]
-            )
+                _, first, many = np.unique(hashes, return_index=True, return_counts=True)
+                sizes = (ends - starts)[first]
+                raw = ragged(data, starts[first], sizes)
+                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                text = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([text, pa.array(many)], names=["stretch", "n"])
 
-    found = mapped(docs.select("text"), count, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+    stretches = mapped(docs.select("text"), count, "stretch string, n long").groupBy("stretch").agg(F.sum("n").alias("n"))
+    words = stretches.select(F.explode(F.regexp_extract_all("stretch", F.lit(pattern), F.lit(0))).alias("word"), "n")
+    return words.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -226,7 +215,8 @@ class Lexicon:
     def __init__(self, hashes, sizes, ids):
         order = np.argsort(hashes, kind="stable")
         begin = np.cumsum(sizes) - sizes
-        self.hashes, self.begin, self.sizes, self.ids = hashes[order], begin[order], sizes[order], ids
+        self.hashes, self.ids = hashes[order], ids
+        self.begin, self.sizes = begin[order].astype(np.int32), sizes[order].astype(np.int32)
 
     def find(self, hashes):
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -234,19 +224,37 @@ class Lexicon:
 
 
 def lexicon(docs: DataFrame, path: str, vocabulary: Vocabulary, shared, common: int) -> Lexicon:
-    """The single tokens and the corpus's commonest words, at most ``common``, folded by Spark."""
-    counted = staged(distinct_words(docs, shared), "words")
+    """The single tokens and the corpus's commonest other words, at most ``common``, folded by Spark."""
+    import pyarrow as pa
+
+    counted = staged(distinct_words(docs, vocabulary.pattern), "words")
     least = common_words(counted, common)
-    folded = counted.where(F.col("n") >= least).select("word", folder(path)(F.col("word")).alias("pieces"))
-    table = folded.toArrow()
-    back = {c: b for b, c in vocabulary.bytes.items()}
-    words = [w.translate(back).encode("latin-1") for w in table.column("word").to_pylist()]
-    pieces = table.column("pieces").to_pylist()
+
+    def coded(batches):
+        vocab = shared.value
+        for batch in batches:
+            words = [w.encode() for w in batch.column(0).to_pylist()]
+            words = [w for w in words if w not in vocab.ranks]
+            if words:
+                parts = [[vocab.code(w) for w in words]]
+                hashes = _hashed(words).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashes.tolist()], pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.string()))], names=["hashes", "words"]
+                )
+
+    rows = mapped(counted.where(F.col("n") >= least).select("word"), coded, "hashes array<long>, words array<string>")
+    folded = rows.select("hashes", F.array_join(folder(path)(F.col("words")), "\n").alias("pieces"))
     singles = vocabulary.ranks
-    hashes = np.concatenate([_hashed(list(singles)), _hashed(words)])
-    sizes = np.concatenate([np.ones(len(singles), np.int64), np.fromiter(map(len, pieces), np.int64, len(pieces))])
-    ids = np.concatenate([np.array(list(singles.values()), np.uint32), token_ids("".join(pieces)).astype(np.uint32)])
-    return Lexicon(hashes, sizes, ids)
+    hashes, sizes = [_hashed(list(singles))], [np.ones(len(singles), np.int64)]
+    ids = [np.array(list(singles.values()), np.uint32)]
+    for batch in folded.toArrow().to_batches(max_chunksize=1):  # at most ``common`` short words in all
+        pieces = batch.column(1)[0].as_py()
+        spelled = token_ids(pieces)
+        breaks = np.flatnonzero(spelled == ord("\n") - FIRST)
+        hashes.append(batch.column(0)[0].values.to_numpy().view(np.uint64))
+        sizes.append(np.diff(np.concatenate([[-1], breaks, [len(spelled)]])) - 1)
+        ids.append(spelled[spelled != ord("\n") - FIRST].astype(np.uint32))
+    return Lexicon(*map(np.concatenate, (hashes, sizes, ids)))
 
 
 def ragged(values, begin, sizes):
@@ -280,8 +288,8 @@ class Splitter:
         odd, pick, number = np.unique(keys[missing], return_index=True, return_inverse=True)
         unknown = [words[i] for i in missing[pick].tolist()]
         # Ids of the fresh stretches: those of known words, a mark for each unknown one.
-        sizes = np.where(found < 0, 1, self.words.sizes[found])
-        begin = np.where(found < 0, 0, self.words.begin[found])
+        sizes = np.where(found < 0, 1, self.words.sizes[found]).astype(np.int64)
+        begin = np.where(found < 0, 0, self.words.begin[found]).astype(np.int64)
         ids = ragged(self.words.ids, begin, sizes)
         word_at = np.cumsum(sizes) - sizes
         ids[word_at[missing]] = MARK + number.astype(np.uint32)
@@ -302,6 +310,18 @@ class Splitter:
         return ragged(every, begin[inverse], size[inverse]), total[np.searchsorted(starts, offsets)], unknown
 
 
+_SPLITTERS = {}
+
+
+def _splitter(vocabulary, known_words) -> "Splitter":
+    """One splitter per worker process, so stretches stay known from task to task."""
+    key = id(known_words)
+    if key not in _SPLITTERS:
+        _SPLITTERS.clear()
+        _SPLITTERS[key] = Splitter(vocabulary, known_words)
+    return _SPLITTERS[key]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON, finish=None, fields: str = "ids binary, decoded binary") -> DataFrame:
     """doc_id and what ``finish`` makes of a text's ids; by default the ids and the decoded bytes.
 
@@ -322,7 +342,7 @@ def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON, finis
     kind = id_field.dataType.simpleString()
 
     def split(batches):
-        splitter = Splitter(shared.value, known.value)
+        splitter = _splitter(shared.value, known.value)
         for batch in batches:
             for first, data, offsets in textscan.slices(batch.column(1), _CHUNK):
                 ids, bounds, unknown = splitter.encode(data, offsets)
@@ -373,7 +393,7 @@ def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON, finis
 
     fold = folder(path)
     rows = mapped(docs.select("doc_id", "text"), split, f"doc_ids array<{kind}>, sizes array<long>, ids binary, words array<string>")
-    rows = rows.select("doc_ids", "sizes", "ids", F.transform("words", fold).alias("words"))
+    rows = rows.select("doc_ids", "sizes", "ids", fold(F.col("words")).alias("words"))
     return mapped(rows, join, f"doc_id {kind}, {fields}")
 
 
