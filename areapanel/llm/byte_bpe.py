@@ -8,7 +8,7 @@ array, at displacement plus right piece, the owner of the slot and the rank.
 
 Words are encoded once. The corpus is asked for its distinct words and their counts; the
 commonest, ``COMMON`` at most, are folded and sent to the tasks with the single tokens. A task splits
-its texts, replaces known words, and passes on one row per few megabytes of text: ids with marks for
+its texts, replaces known words, and passes on one row per megabyte of text: ids with marks for
 the words it does not know, and those words, each once. They are folded in that row, and the next
 step puts them in place. No words are joined or shuffled, and none is left out.
 
@@ -33,12 +33,14 @@ from areapanel.session import staged
 from . import textscan, tokens
 from .common import common_words, mapped
 
-COMMON = 1 << 21
+COMMON = 1 << 20
 FIRST = 256
 NONE = chr(0x10FFFF)
 MARK = np.uint32(1 << 31)
 SURROGATES = 0xD800
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
+#: Distinct stretches that a worker keeps, about 40 bytes each; then it starts anew.
+KNOWN_STRETCHES = 500_000
 
 
 def read_ranks(path: str) -> dict:
@@ -187,7 +189,7 @@ def _hashed(words):
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     """(word, n): the distinct words and how often they occur.
 
-    Tasks count stretches by hash and pass on each once per few megabytes; the distinct ones are
+    Tasks count stretches by hash and pass on each once per megabyte; the distinct ones are
     then split. Java reads the pattern a little differently for rare characters, which at worst leaves a
     word out of the lexicon; it is then folded where it occurs.
     """
@@ -276,7 +278,7 @@ class Splitter:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), []
         values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known.hashes) + len(values) > tokens.KNOWN_STRETCHES:
+        if len(self.known.hashes) + len(values) > KNOWN_STRETCHES:
             self.known = tokens.Known()
         places = self.known.find(values)
         fresh, raw = np.flatnonzero(places < 0), data.tobytes()
