@@ -290,9 +290,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     many = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     many = staged(many, "blocks")
     wanted = staged(members.select("doc_id").union(members.select("pivot")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(_sized(wanted), "doc_id", "left_semi")
     sets = staged(_sets(texts, width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "sets")
 
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -354,6 +352,13 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = staged(repeated, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    kept = docs.join(_sized(gone), "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(_sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(_sized(repeated), "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """Ids to broadcast up to ``BROADCAST_IDS``, so that the texts stay where they are; else to join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -37,6 +37,9 @@ MOST_OWNERS = 1
 #: From so many owners on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
 
+#: Texts with spans, and spans of one text, up to which the spans go to the texts; more are joined.
+BROADCAST_TEXTS, BROADCAST_SPANS = 1 << 16, 64
+
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
 NONE = f"array<{SPAN}>"
 
@@ -170,7 +173,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Spans that overlap are replaced together. Texts without spans do not move.
     """
-    found = scan(docs).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    found = scan(docs).where(F.size("spans") > 0).dropDuplicates(["key"])
+    places = F.transform("spans", lambda s: F.struct(s["start"], s["end"]))
+    found = staged(found.select("key", places.alias("spans")), "found")
+    if found.count() <= BROADCAST_TEXTS and (found.agg(F.max(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+        found = F.broadcast(found)
     keyed = docs.withColumn("__key", key_of(docs))
     joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
     text = F.col("text")

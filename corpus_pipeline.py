@@ -9,11 +9,13 @@ last stage; rows are judged one by one, so repeated rows fare alike, except that
 stage keeps one row of repeated ids and one document of each group.
 """
 
+from functools import wraps
+
 import public_tokenizers
 
 from areapanel.llm import compression, factorization, jaccard, packing, secrets
 from areapanel.llm.common import table
-from areapanel.session import staged
+from areapanel.session import staged, step_folder
 
 #: Not expressed in SQL: fitted models, the library's tokens and best-fit packing.
 ORACLE_SQL = None
@@ -44,12 +46,23 @@ def best_fit(spark, docs, sf_dir):
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _step(function):
+    """A stage whose working tables go when the next stage begins: its own result is written by then."""
+
+    @wraps(function)
+    def stage(spark, docs, sf_dir):
+        with step_folder(spark, "corpus"):
+            return function(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("quality_classifier", quality),
-    ("ngram_jaccard_join", near_duplicates),
-    ("secret_scan", secret_scan),
-    ("best_fit_packing", best_fit),
+    ("toxicity", _step(toxicity)),
+    ("quality_classifier", _step(quality)),
+    ("ngram_jaccard_join", _step(near_duplicates)),
+    ("secret_scan", _step(secret_scan)),
+    ("best_fit_packing", _step(best_fit)),
 ]
 
 

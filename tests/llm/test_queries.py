@@ -62,6 +62,6 @@ def test_pipeline(spark):
 
 def test_pipeline_on_empty_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, FOLDER)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, FOLDER), name)
     assert docs.count() == 0
