@@ -1,16 +1,17 @@
 """Code length of texts under context-tree weighting, learned from a corpus.
 
-A byte is eight binary decisions, each taken in the tree of the bytes before it, up to three. Every
-node holds a Krichevsky-Trofimov estimate of its own decisions; its weighted probability is half the
-estimate plus half the product of its children's, so all depths are mixed. Texts are scored by the
-trained tree as it stands: on the way down, the mixture at each node is split by the posterior weight
+A byte is eight binary decisions, each taken in the tree of the bytes before it, up to ``depth`` (2 to
+6). Every node holds a Krichevsky-Trofimov estimate of its own decisions; its weighted probability is
+half the estimate plus half the product of its children's, so all depths are mixed. Texts are scored by
+the trained tree as it stands: on the way down, the mixture at each node is split by the posterior weight
 of stopping there, and log10 probabilities of whole bytes follow.
 
-The tree is counted over all training texts as byte runs of length four; shorter contexts are
-their sums. Nodes below the last two context bytes are worked out in the partition that holds them;
-only the two upper levels (65 thousand numbers) meet in the driver. The finished tree is one row
-of 256 values per context. ``ROWS`` rows are sent to the tasks at once; a larger tree is applied slice by
-slice, in as many passes, with the same result.
+The tree is counted over all training texts as byte runs of length ``depth`` + 1; shorter contexts are
+their sums. Runs of the other texts are counted 0 times, which leaves the tree as it is, and so get their
+probability as well. Nodes below the last two context bytes are worked out in the partition that holds
+them; only the two upper levels (65 thousand numbers) meet in the driver. The finished tree is one number per
+distinct run of the corpus. ``ROWS`` of them are sent to the tasks at once; a larger tree is applied slice by
+slice, in as many passes, with the same result, and one slice at a time is in the driver.
 
 Words are counted too, for the base score. Words are told apart by 64-bit hashes. The
 commonest, at most ``COMMON`` words, are sent to the tasks, all others are joined.
@@ -22,6 +23,7 @@ lowered first.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ from . import textscan
 from .common import common_words, crc_rest, mapped
 
 BEFORE, END = 0xFE, 0xFF  # no UTF-8 text holds these bytes
-ROWS = 1 << 17
+ROWS = 3 << 20
+DEPTH = 3
 COMMON = 1 << 19
 _HALF = math.log(2)
 _X = np.arange(256)
@@ -65,24 +68,32 @@ def weighted(own, children):
 
 
 def decisions(contexts, values, counts):
-    """Nodes (context * 256 + node) with their zeros and ones, from counts of bytes in contexts."""
+    """Nodes (context * 256 + node) with their zeros and ones, from counts of bytes in contexts, and the
+    place of every decision's node, eight times the bytes."""
     nodes = (contexts[None, :].astype(np.int64) << 8) + NODES[:, values]
     found, where = np.unique(nodes.ravel(), return_inverse=True)
     bits = BITS[:, values].ravel()
     many = np.tile(counts, 8).astype(np.float64)
-    return found, np.bincount(where, many * (1 - bits), len(found)), np.bincount(where, many * bits, len(found))
+    zeros, ones = (np.bincount(where, v, len(found)) for v in (many * (1 - bits), many * bits))
+    return found, zeros, ones, where
 
 
-def up(contexts, values, counts):
-    """Nodes at depth two with their counts and log weighted probability (all below them is here)."""
-    deep, zeros, ones = decisions(contexts, values, counts)
-    inner = estimate(zeros, ones)
-    parent = ((deep >> 8) & 0xFFFF) << 8 | deep & 0xFF
-    nodes, where = np.unique(parent, return_inverse=True)
-    n0, n1 = (np.bincount(where, v, len(nodes)) for v in (zeros, ones))
-    below = np.bincount(where, inner, len(nodes))
+def levels(contexts, values, counts, depth):
+    """Nodes of the depths from ``depth`` up to two, the deepest first: (nodes, n0, n1, own, inner, where).
+
+    ``own`` and ``inner`` are the logarithms of the estimate and of the weighted probability, ``where`` the
+    place of every node of the level before, at the deepest that of every decision.
+    """
+    nodes, n0, n1, where = decisions(contexts, values, counts)
     own = estimate(n0, n1)
-    return nodes, n0, n1, weighted(own, below), own
+    found = [(nodes, n0, n1, own, own, where)]
+    for d in range(depth - 1, 1, -1):
+        nodes, n0, n1, _, inner, _ = found[-1]
+        parents, where = np.unique(nodes & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        n0, n1, below = (np.bincount(where, v, len(parents)) for v in (n0, n1, inner))
+        own = estimate(n0, n1)
+        found.append((parents, n0, n1, own, weighted(own, below), where))
+    return found
 
 
 def _dense(rows, nodes, values, count, fill):
@@ -104,58 +115,44 @@ class Top:
         own = estimate(n0, n1)
         self.chance0, self.stop0 = (n1 + 0.5) / (n0 + n1 + 1), np.exp(own - _HALF - weighted(own, s))
 
-    def mixed(self, last, deeper):
-        """Chance of a one for contexts ending in ``last``, given that of everything deeper."""
-        one = self.stop1[last] * self.chance1[last] + (1 - self.stop1[last]) * deeper
-        return self.stop0 * self.chance0 + (1 - self.stop0) * one
-
-
-def byte_rows(chance):
-    """log10 probabilities of the 256 bytes from the chances of a one in the 256 nodes."""
-    one, zero = np.log10(chance), np.log10(1 - chance)
-    total = np.zeros(chance.shape)
-    for k in range(8):
-        total += np.where(BITS[k], one[:, NODES[k]], zero[:, NODES[k]])
-    return total.astype(np.float32)
-
-
-def down(contexts, values, counts, top):
-    """Rows of 256 log10 probabilities: (depth, context, row) for all contexts of two and three bytes."""
-    nodes, n0, n1, inner, own = up(contexts, values, counts)
-    pairs, at = np.unique(nodes >> 8, return_inverse=True)
-    chance2 = _dense(at, nodes & 0xFF, (n1 + 0.5) / (n0 + n1 + 1), len(pairs), 0.5)
-    stop2 = _dense(at, nodes & 0xFF, np.exp(own - _HALF - inner), len(pairs), 0.5)
-    deep, zeros, ones = decisions(contexts, values, counts)
-    triples, at = np.unique(deep >> 8, return_inverse=True)
-    chance3 = _dense(at, deep & 0xFF, (ones + 0.5) / (zeros + ones + 1), len(triples), 0.5)
-    where = np.searchsorted(pairs, triples & 0xFFFF)
-    known = stop2[where] * chance2[where] + (1 - stop2[where]) * chance3
-    unknown = stop2 * chance2 + (1 - stop2) * 0.5
-    yield 3, triples, byte_rows(top.mixed(triples & 0xFF, known))
-    yield 2, pairs, byte_rows(top.mixed(pairs & 0xFF, unknown))
-
-
-def top_rows(top):
-    """Rows for contexts of which only the last byte is known, one for each byte."""
-    return byte_rows(top.mixed(_X, np.full((256, 256), 0.5)))
-
-
-def runs(data, offsets):
-    """Context (three bytes, the latest lowest), byte and owner of every position, ends included."""
+    def mixed(self, nodes, deeper):
+        """Chance of a one at ``nodes`` (any depth from one), given that of everything below depth one."""
+        last, node = nodes >> 8 & 0xFF, nodes & 0xFF
+        one = self.stop1[last, node] * self.chance1[last, node] + (1 - self.stop1[last, node]) * deeper
+        return self.stop0[node] * self.chance0[node] + (1 - self.stop0[node]) * one
+
+
+def down(contexts, values, counts, depth, top):
+    """log10 probability of every value in its context."""
+    found = levels(contexts, values, counts, depth)
+    nodes, n0, n1, _, _, decided = found[0]
+    place, chance = np.arange(len(nodes)), (n1 + 0.5) / (n0 + n1 + 1)
+    for _, n0, n1, own, inner, where in found[1:]:
+        place = where[place]
+        here, stop = (n1 + 0.5) / (n0 + n1 + 1), np.exp(own - _HALF - inner)
+        chance = stop[place] * here[place] + (1 - stop[place]) * chance
+    chance = top.mixed(nodes, chance)
+    one, zero = np.log10(chance)[decided], np.log10(1 - chance)[decided]
+    return np.where(BITS[:, values].ravel() == 1, one, zero).reshape(8, -1).sum(axis=0)
+
+
+def runs(data, offsets, depth):
+    """Run (the context of ``depth`` bytes, then the byte, lowest) and owner of every position, ends included."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     owners = np.repeat(np.arange(n), sizes)
-    out = np.full(len(data) + 4 * n, BEFORE, np.int32)
-    out[np.arange(len(data)) + 4 * owners + 3] = data
-    ends = offsets[1:] + 4 * np.arange(1, n + 1) - 1
+    out = np.full(len(data) + (depth + 1) * n, BEFORE, np.uint64)
+    out[np.arange(len(data)) + (depth + 1) * owners + depth] = data
+    ends = offsets[1:] + (depth + 1) * np.arange(1, n + 1) - 1
     out[ends] = END
     real = np.ones(len(out), bool)
-    begins = offsets[:-1] + 4 * np.arange(n)
-    for k in range(3):
+    begins = offsets[:-1] + (depth + 1) * np.arange(n)
+    for k in range(depth):
         real[begins + k] = False
-    context = np.zeros(len(out), np.int32)
-    context[3:] = out[2:-1] | out[1:-2] << 8 | out[:-3] << 16
-    return context[real], out[real], np.repeat(np.arange(n), sizes + 1)
+    keys = out.copy()
+    for k in range(1, depth + 1):
+        keys[k:] |= out[:-k] << np.uint64(8 * k)
+    return keys[real], np.repeat(np.arange(n), sizes + 1)
 
 
 class _Counter:
@@ -164,8 +161,9 @@ class _Counter:
     def __init__(self):
         self.keys, self.counts, self.parts, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    def add(self, keys):
+    def add(self, keys, times=1):
         keys, counts = np.unique(keys, return_counts=True)
+        counts = counts * times
         self.parts.append((keys.astype(np.uint64), counts))
         self.held += len(keys)
         if self.held > max(1 << 20, len(self.keys)):
@@ -182,20 +180,24 @@ class _Counter:
 WORD, RUN, TEXT = 0, 1, 2
 
 
-def gather(training: DataFrame) -> DataFrame:
-    """(kind, key, n): how often each word and each run of four bytes occurs, and the number of texts."""
+def gather(texts: DataFrame, depth: int) -> DataFrame:
+    """(kind, key, n): how often each word and each run of ``depth`` + 1 bytes occurs in the texts that are
+    learned, and their number; runs of other texts are listed with 0. ``texts`` has text and learned."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def count(batches):
         words, grams, texts = _Counter(), _Counter(), 0
         for batch in batches:
-            texts += batch.num_rows
-            for _, data, offsets in textscan.slices(batch.column(0)):
+            learned = batch.filter(batch.column(1))
+            texts += learned.num_rows
+            for _, data, offsets in textscan.slices(learned.column(0)):
                 data = textscan.LOWER[data]
                 starts, ends, _ = textscan.spans(data, offsets)
                 words.add(textscan.word_hashes(data, starts, ends))
-                context, value, _ = runs(data, offsets)
-                grams.add((context.astype(np.uint32) << np.uint32(8)) | value.astype(np.uint32))
+                grams.add(runs(data, offsets, depth)[0])
+            for _, data, offsets in textscan.slices(batch.filter(pc.invert(batch.column(1))).column(0)):
+                grams.add(runs(textscan.LOWER[data], offsets, depth)[0], 0)
         words.merge()
         grams.merge()
         for kind, keys, counts in (
@@ -208,7 +210,7 @@ def gather(training: DataFrame) -> DataFrame:
                     names=["kind", "key", "n"],
                 )
 
-    counted = mapped(training.select("text"), count, "kind int, key long, n long")
+    counted = mapped(texts, count, "kind int, key long, n long")
     return staged(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus_counts")
 
 
@@ -219,8 +221,8 @@ def _columns(batches):
     return [c.to_numpy() for c in whole.columns] if whole.num_rows else None
 
 
-def tree(grams: DataFrame):
-    """The trained tree: (rows of contexts of two and three bytes as a table, rows above)."""
+def tree(grams: DataFrame, depth: int) -> DataFrame:
+    """The trained tree: (key, value), the log10 probability of every run's last byte."""
     import pyarrow as pa
 
     grams = grams.select("key", "n", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("below"))
@@ -231,9 +233,8 @@ def tree(grams: DataFrame):
     def rise(batches):
         if (columns := _columns(batches)) is not None:
             key, n = columns
-            nodes, n0, n1, inner, _ = up(key >> 8, key & 0xFF, n)
-            upper = (nodes >> 8 & 0xFF) << 8 | nodes & 0xFF
-            found, where = np.unique(upper, return_inverse=True)
+            nodes, n0, n1, _, inner, _ = levels(key >> 8, key & 0xFF, n, depth)[-1]
+            found, where = np.unique(nodes & 0xFFFF, return_inverse=True)
             sums = [np.bincount(where, v, len(found)) for v in (n0, n1, inner)]
             yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["node", "n0", "n1", "inner"])
 
@@ -245,82 +246,85 @@ def tree(grams: DataFrame):
     def fall(batches):
         if (columns := _columns(batches)) is not None:
             key, n = columns
-            for depth, contexts, table in down(key >> 8, key & 0xFF, n, shared.value):
-                for a in range(0, len(contexts), 4096):
-                    part = slice(a, a + 4096)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(contexts[part]), depth, np.int32)),
-                            pa.array(contexts[part]),
-                            pa.array([r.tobytes() for r in table[part]], pa.binary()),
-                        ],
-                        names=["depth", "context", "row"],
-                    )
+            value = down(key >> 8, key & 0xFF, n, depth, shared.value).astype(np.float32)
+            for a in range(0, len(key), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(value[part])], names=["key", "value"])
 
-    return staged(mapped(grouped(), fall, "depth int, context long, row binary"), "tree"), top_rows(top)
+    return staged(mapped(grouped(), fall, "key long, value float"), "tree")
 
 
 class Scorer:
-    """Looks up the rows of one slice of the tree; contexts of other slices count 0 in this pass."""
+    """Looks up the runs of one slice of the tree; runs of other slices count 0 in this pass."""
 
-    def __init__(self, depths, contexts, rows, seen, above):
-        """``seen`` holds all contexts of two and of three bytes; ``above`` the rows for one known byte,
-        or None where another pass counts them."""
-        self.given, self.ready = (depths, contexts, rows, seen, above), None
+    def __init__(self, keys, values, depth):
+        self.given, self.ready = (keys, values, depth), None
 
     def __getstate__(self):
         return {"given": self.given, "ready": None}
 
     def prepare(self):
-        depths, contexts, rows, (pairs, triples), above = self.given
-        self.table = np.concatenate([np.zeros((1, 256), np.float32), rows, *([] if above is None else [above])]).ravel()
-        place = np.zeros((256, 256, 256), np.int32)  # row numbers by context; row 0 counts nothing
-        if above is not None:
-            place[:] = 1 + len(rows) + _X
-        two = depths == 2
-        place.reshape(256, -1)[:, pairs] = 0
-        place.reshape(256, -1)[:, contexts[two]] = 1 + np.flatnonzero(two)
-        self.ready = place.reshape(-1)
-        self.ready[triples] = 0
-        self.ready[contexts[~two]] = 1 + np.flatnonzero(~two)
+        """A hash table with open addressing, at most half full; no run is ``FREE``."""
+        keys, values, _ = self.given
+        size = 1 << max(1, (2 * len(keys)).bit_length())
+        self.ready = held, found = np.full(size, FREE), np.zeros(size, np.float32)
+        place, left = _places(keys, size), np.arange(len(keys))
+        while len(left):
+            fits = left[held[place[left]] == FREE]
+            held[place[fits]] = keys[fits]
+            left = left[held[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & (size - 1)
+        # Keys are distinct, so every place found now is the key's own.
+        found[place] = values
 
     def scores(self, data, offsets):
         if self.ready is None:
             self.prepare()
-        context, value, owners = runs(data, offsets)
-        return np.bincount(owners, self.table[(self.ready[context].astype(np.int64) << 8) + value], len(offsets) - 1)
-
-
-def scorers(tree_rows: DataFrame, above, limit: int = ROWS):
-    """One scorer per slice of at most about ``limit`` rows; the first also counts the rows above."""
-    n = tree_rows.count()
-    passes = max(1, -(-n // limit))
-    seen = []  # one small number per context, 2^24 contexts at most
-    for depth in (2, 3):
-        own = tree_rows.where(F.col("depth") == depth).select(F.col("context").cast("int")).toArrow()
-        seen.append(np.sort(own.column(0).to_numpy()))
+        held, found = self.ready
+        keys, owners = runs(data, offsets, self.given[2])
+        place = _places(keys, len(held))
+        here = held[place]
+        total = np.where(here == keys, found[place], np.float32(0))
+        left = np.flatnonzero((here != keys) & (here != FREE))
+        while len(left):
+            place[left] = (place[left] + 1) & (len(held) - 1)
+            here = held[place[left]]
+            met = here == keys[left]
+            total[left[met]] = found[place[left[met]]]
+            left = left[~met & (here != FREE)]
+        return np.bincount(owners, total, len(offsets) - 1)
+
+
+FREE = np.uint64((1 << 64) - 1)
+
+
+def _places(keys, size):
+    return (textscan.mix(keys) & np.uint64(size - 1)).astype(np.int64)
+
+
+def scorers(tree_rows: DataFrame, depth: int, limit: int = ROWS):
+    """One scorer per slice of about ``limit`` runs, made when it is asked for."""
+    passes = max(1, -(-tree_rows.count() // limit))
     for k in range(passes):
-        own = tree_rows.where(F.pmod(F.xxhash64("depth", "context"), F.lit(passes)) == k).toArrow()
-        rows = np.empty((own.num_rows, 256), np.float32)
-        at = 0
-        for chunk in own.column("row").chunks:  # every value is 1024 bytes long
-            first, data = chunk.offset, chunk.buffers()[2]
-            if len(chunk):
-                part = np.frombuffer(data, np.float32, 256 * (first + len(chunk)))[256 * first :]
-                rows[at : at + len(chunk)] = part.reshape(-1, 256)
-                at += len(chunk)
-        yield Scorer(own.column("depth").to_numpy(), own.column("context").to_numpy(), rows, seen, above if k == 0 else None)
-
-
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int = ROWS, common: int = COMMON) -> DataFrame:
+        own = tree_rows.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).toArrow()
+        yield Scorer(own.column("key").to_numpy().view(np.uint64), own.column("value").to_numpy(), depth)
+
+
+def score(
+    docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int = ROWS, common: int = COMMON, depth: int = DEPTH
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
-    The corpus is the texts whose crc32(doc_id) mod ``modulus`` is not ``held``.
+    The corpus is the texts whose crc32(doc_id) mod ``modulus`` is not ``held``. A byte is predicted from up
+    to ``depth`` bytes before it.
     """
     import pyarrow as pa
 
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6")
+
     spark = docs.sparkSession
-    counts = gather(docs.where(crc_rest("doc_id", modulus) != held))
+    counts = gather(docs.select("text", (crc_rest("doc_id", modulus) != held).alias("learned")), depth)
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     texts = counts.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
@@ -333,14 +337,14 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int =
     unit, end_gain = math.log10(total + distinct + 1), math.log10(texts + 1.0)
     lexicon = spark.sparkContext.broadcast((keys, gain))
 
-    tree_rows, above = tree(counts.where(F.col("kind") == RUN).select("key", "n"))
-    passes = [spark.sparkContext.broadcast(s) for s in scorers(tree_rows, above, rows_at_once)]
+    passes = scorers(tree(counts.where(F.col("kind") == RUN).select("key", "n"), depth), depth, rows_at_once)
+    shared = spark.sparkContext.broadcast(next(passes))
 
     def first(batches):
         from pyspark import TaskContext
 
         keys, gain = lexicon.value
-        scorer, row = passes[0].value, TaskContext.get().partitionId() << 40
+        scorer, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, data, offsets in textscan.slices(batch.column(1)):
                 n = len(offsets) - 1
@@ -371,12 +375,19 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"row long, doc_id {kind}, n_tokens long, n_known long, gain double, score double, rare array<long>"
     scored = staged(mapped(source, first, fields), "scored")
+    shared.destroy()
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rare = rare.join(words.where(F.col("n") < least), "key")
     rare = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_gain"))
     parts = scored.drop("rare").join(rare, "row", "left")
-    for later in passes[1:]:
-        parts = parts.join(_pass(source, later), "row").withColumn("score", F.col("score") + F.col("extra")).drop("extra")
+    extras = []
+    for scorer in passes:
+        later = spark.sparkContext.broadcast(scorer)
+        extras.append(staged(_pass(source, later), "pass"))
+        later.destroy()
+    if extras:
+        extra = reduce(DataFrame.union, extras).groupBy("row").agg(F.sum("extra").alias("extra"))
+        parts = parts.join(extra, "row").withColumn("score", F.col("score") + F.col("extra"))
     known_words = F.col("n_known") + F.coalesce("more", F.lit(0))
     gained = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
     return parts.select(

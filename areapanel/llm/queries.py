@@ -63,7 +63,7 @@ def op7_token_files(spark, sf):
 
 
 def op8_context_tree(spark, sf):
-    return context_tree.score(table(spark, sf, "documents"))
+    return context_tree.score(table(spark, sf, "documents"), depth=6)
 
 
 def op9_factorization_toxicity(spark, sf):

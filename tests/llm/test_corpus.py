@@ -21,6 +21,7 @@ from areapanel.llm import (
     factorization,
     jaccard,
     packing,
+    queries,
     ratio_rules,
     secrets,
     textscan,
@@ -469,6 +470,66 @@ def test_context_tree_without_training(docs):
     assert row["score"] == pytest.approx((len(text) + 1) * 8 * math.log10(0.5), rel=1e-5)
 
 
+def plain_mixture(training, text, depth):
+    """log10 probability at any depth: every bit's chances along its path of contexts, mixed from the deepest."""
+    counts = collections.defaultdict(lambda: np.zeros(2))
+
+    def decided(data):
+        data = [context_tree.BEFORE] * depth + [*data, context_tree.END]
+        for i in range(depth, len(data)):
+            for k in range(8):
+                path = [(tuple(data[i - d : i]), 1 << k | data[i] >> 8 - k) for d in range(depth + 1)]
+                yield path, data[i] >> 7 - k & 1
+
+    for t in training:
+        for path, bit in decided(t):
+            for at in path:
+                counts[at][bit] += 1
+    own = {at: sum(math.lgamma(x + 0.5) - math.lgamma(0.5) for x in n) - math.lgamma(n.sum() + 1) for at, n in counts.items()}
+    inner, below = {}, collections.defaultdict(float)
+    for at in sorted(own, key=lambda at: -len(at[0])):
+        inner[at] = own[at] if len(at[0]) == depth else np.logaddexp(own[at], below[at]) - math.log(2)
+        below[at[0][1:], at[1]] += inner[at] if at[0] else 0
+    total = 0.0
+    for path, bit in decided(text):
+        one = 0.5
+        for at in reversed(path):
+            n = counts.get(at, np.zeros(2))
+            stop = 1 if len(at[0]) == depth else math.exp(own[at] - math.log(2) - inner[at]) if at in own else 0.5
+            one = stop * (n[1] + 0.5) / (n.sum() + 1) + (1 - stop) * one
+        total += math.log10(one if bit else 1 - one)
+    return total
+
+
+@pytest.fixture(scope="module")
+def far_texts():
+    """Bytes that follow from the byte six places before them and from nothing nearer."""
+    rng = random.Random(8)
+    return [" ".join(rng.choice(("axyzvwa", "bxyzvwb", "cxyzvwc")) for _ in range(40)) for _ in range(30)]
+
+
+def test_context_tree_query_sees_six_bytes(spark, far_texts, tmp_path):
+    spark.createDataFrame(list(enumerate(far_texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    training = [t.encode() for i, t in enumerate(far_texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = queries.op8_context_tree(spark, str(tmp_path)).collect()
+    assert len(rows) == 30 and any(r["held_out"] for r in rows)
+    for r in rows:
+        text = far_texts[r["doc_id"]].encode()
+        assert r["score"] == pytest.approx(plain_mixture(training, text, 6), rel=1e-5)
+        if r["held_out"]:
+            assert r["score"] > plain_mixture(training, text, 3) + 10
+
+
+@pytest.mark.parametrize("depth, at_once", [(2, 1 << 20), (5, 300)])
+def test_context_tree_of_any_depth(spark, far_texts, depth, at_once):
+    docs = spark.createDataFrame([*enumerate(far_texts), (30, "É é"), (31, None)], "doc_id long, text string").repartition(3)
+    training = [(t or "").encode() for i, t in listed(docs) if zlib.crc32(str(i).encode()) % 7 != 2]
+    training = [lowered(t.decode()).encode() for t in training]
+    for r in context_tree.score(docs, rows_at_once=at_once, depth=depth).collect():
+        text = lowered(dict(listed(docs))[r["doc_id"]]).encode()
+        assert r["score"] == pytest.approx(plain_mixture(training, text, depth), rel=1e-5)
+
+
 # --- 10: Jaccard join ---------------------------------------------------------------------
 
 
