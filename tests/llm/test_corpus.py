@@ -255,6 +255,25 @@ def test_classifier_without_labels(labelled, module):
     assert module.score(docs.where("false"), model).collect() == []
 
 
+def test_machine_learns_pairs_of_clean_terms():
+    """A text is toxic by ``vile``, or by ``oaf`` beside ``quorn``, each of which is clean and common alone."""
+    rng = random.Random(1)
+
+    def dealt(kinds):
+        texts = [" ".join([prose(rng, 12), *kind]) for kind in kinds]
+        values, owners = factorization.features(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+        return np.split(values, np.cumsum(np.bincount(owners, minlength=len(texts)))[:-1])
+
+    kinds = [("oaf", "quorn")] * 50 + [("vile",)] * 150 + [("oaf",)] * 130 + [("quorn",)] * 130 + [()] * 540
+    machine = factorization.fit(dealt(kinds), [1] * 200 + [0] * 800, 0.2)
+    for kind, toxic in ((("oaf", "quorn"), 1), (("vile",), 1), (("oaf",), 0), (("quorn",), 0), ((), 0)):
+        rows = dealt([kind] * 100)
+        scores = machine.scores(np.concatenate(rows), np.repeat(np.arange(100), [len(r) for r in rows]), 100)
+        assert ((scores >= 0.3) == toxic).mean() >= 0.97
+    (a,), (b, *_) = (factorization.features(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0] for w in (b"oaf", b"quorn"))
+    assert machine.factors[a] @ machine.factors[b] > 0
+
+
 # --- 4 and 7: byte-level ids --------------------------------------------------------------
 
 
