@@ -4,7 +4,7 @@ A word is a run of bytes other than space and the controls 9 to 13. Texts are ha
 a few megabytes, so the work arrays stay small however large an Arrow batch is; one text is never cut.
 """
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
@@ -13,7 +13,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def mix(x):
@@ -62,22 +61,38 @@ def spans(data, offsets, space=SPACE):
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-@lru_cache(maxsize=1)
-def _powers(n):
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def word_hashes(data, starts, ends):
-    """64-bit hashes of byte ranges: a polynomial in a fixed base, scrambled with the length."""
-    n = len(data) + 1
-    up, down = _powers(max(1 << (n - 1).bit_length(), 1 << 16))
-    total = np.zeros(n, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: n - 1], dtype=np.uint64, out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
-    return mix(value ^ mix((ends - starts).astype(np.uint64)))
+#: The first so many bytes of the eight that are read at once.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Words up to this size are hashed eight bytes at a time, all words at once; longer ones one by one.
+LONG = 512
+
+
+def word_hashes(data, starts, ends, lane=0):
+    """64-bit hashes of byte ranges; lanes are independent of each other.
+
+    Each step scrambles all that came before, together with the next eight bytes, by a bijection, so
+    ranges of equal length up to eight bytes never share a value. Ranges over ``LONG`` bytes get a BLAKE2 digest.
+    """
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    value = mix(sizes.astype(np.uint64) + np.uint64(lane << 32))
+    left, at, rest = slice(None), starts, sizes
+    for _ in range(0, LONG, 8):
+        chunk = eight[at] & _FIRST[np.minimum(rest, 8)]
+        value[left] = mix((value[left] ^ chunk) * _ODD)
+        more = np.flatnonzero(rest > 8)
+        if not len(more):
+            break
+        left = more if isinstance(left, slice) else left[more]
+        at, rest = at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        value[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=bytes([lane])).digest(), "little")
+    return value
 
 
 def counts_of(owners, n):

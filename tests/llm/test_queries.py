@@ -23,6 +23,7 @@ COLUMNS = {
     8: "doc_id held_out n_tokens n_known train_tokens base_score score",
     9: "doc_id held_out score predicted",
     10: "doc_id n_shingles component_id",
+    12: "item_id rank doc_id score",
 }
 
 
@@ -37,7 +38,7 @@ def test_query(spark, n):
         assert df.count() >= spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
         return
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = con.execute(sql)
     names = [d[0] for d in found.description]
