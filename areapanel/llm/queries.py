@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import byte_bpe, compression, context_tree, cover_tree, factorization, jaccard, lexical, packing, ratio_rules, secrets, token_files
+from . import byte_bpe, compression, context_tree, cover_tree, factorization, jaccard, lexical, packing, ratio_rules, repeats, secrets, token_files
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op12_fp_tree_search(spark, sf):
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
 
 
+def op13_suffix_dedup(spark, sf):
+    return repeats.without_repeats(table(spark, sf, "documents"), size=400)
+
+
 def queries():
     found = {name: call for name, call in globals().items() if name.startswith("op")}
     return found | {"pipeline": corpus_pipeline.run}

@@ -24,6 +24,7 @@ COLUMNS = {
     9: "doc_id held_out score predicted",
     10: "doc_id n_shingles component_id",
     12: "item_id rank doc_id score",
+    13: "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
