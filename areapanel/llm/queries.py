@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import byte_bpe, compression, context_tree, cover_tree, factorization, jaccard, lexical, packing, ratio_rules, repeats, secrets, token_files
+from . import byte_bpe, compression, context_tree, cover_tree, factorization, jaccard, lexical, packing, ratio_rules, repair, repeats, secrets, token_files
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op10_jaccard_join(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents"), width=4, percent=85)
 
 
+def op11_lightest_repair(spark, sf):
+    return repair.report(table(spark, sf, "conversations"))
+
+
 def op12_fp_tree_search(spark, sf):
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
 
