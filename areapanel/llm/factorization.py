@@ -14,14 +14,16 @@ leave unexplained, then what is not zero again with a lighter penalty. Class sha
 shares. Every text is scored whole, in the tasks that read it.
 
 Defined results: a null text is empty; an empty text scores the bias; a null label is ignored; ids
-with several labels count with the largest; without labels of both classes every score is the share
-of toxic labels, or 0 without labels; repeated rows are scored row by row; further columns are ignored.
+with several labels count with the largest, and of the texts of a labelled id one is learned; null ids
+have no label; without labels of both classes every score is the share of toxic labels, or 0 without labels; repeated rows are scored row by row; further columns are ignored.
 """
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areapanel.session import staged
+
 from . import textscan
 from .common import class_sample, crc_rest, label_share, mapped, rows_where, usual_label
 
@@ -33,6 +35,8 @@ LEAST = 4
 PENALTY, PAIR_PENALTY, LIGHTER, RIDGE = 2.8, 5.0, 0.1, 0.02
 STEPS, DIRECTIONS, PAIR_STEPS, LAST_STEPS = 120, 15, 30, 60
 THRESHOLD = 0.3
+#: Entries that the fit adds up at a time.
+STRIDE = 1 << 16
 
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -79,11 +83,33 @@ def _chance(margin):
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
+class _Sums:
+    """Sums of weights over the entries of every segment, some thousand entries at a time; segments may be empty."""
+
+    def __init__(self, index, sizes):
+        self.index, self.size = index, len(sizes)
+        self.filled = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes)[self.filled]
+        self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        self.ends = ends
+        self.cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(index), STRIDE)), len(self.filled)))
+
+    def __call__(self, weights):
+        out, weights = np.zeros(self.size), weights.astype(np.float32)
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
+            begin = self.starts[a]
+            found = weights.take(self.index[begin : self.ends[b - 1]].astype(np.intp), mode="clip")
+            out[self.filled[a:b]] = np.add.reduceat(found, self.starts[a:b] - begin)
+        return out
+
+
 class _Fit:
     """Weights and factors of the kept features, moved by full proximal gradient steps."""
 
-    def __init__(self, values, owners, labels, count, rng):
-        self.values, self.owners, self.labels, self.count, self.n = values, owners, labels, count, len(labels)
+    def __init__(self, values, sizes, labels, count, rng):
+        """``values`` are the texts' features one after another, ``sizes`` how many each text has."""
+        self.labels, self.count, self.n = labels, count, len(labels)
+        self.arrange(values, sizes)
         share = labels.mean()
         self.spread, self.bias = share * (1 - share), np.log(share / (1 - share))
         held = np.bincount(values, minlength=count)
@@ -92,17 +118,16 @@ class _Fit:
         self.free, self.paired, self.rng = np.ones(count, bool), np.ones(count, bool), rng
         self.restart()
 
+    def arrange(self, values, sizes):
+        """The same entries by text and by feature; ``sums`` adds per text, ``back`` per feature."""
+        self.sums = _Sums(values, sizes)
+        owners = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[np.argsort(values, kind="stable")]
+        self.back = _Sums(owners, np.bincount(values, minlength=self.count))
+        self.sizes = sizes
+
     def restart(self):
         self.moved, self.turned = np.full(self.count, 1e-2), np.full(self.count, 1e-2)
 
-    def sums(self, weights):
-        """Per text."""
-        return np.bincount(self.owners, weights[self.values], self.n)
-
-    def back(self, errors):
-        """Per feature."""
-        return np.bincount(self.values, errors[self.owners], self.count)
-
     def each(self, call, columns):
         return np.stack([call(column) for column in columns.T], axis=1)
 
@@ -133,7 +158,7 @@ class _Fit:
     def lead(self):
         """Factors along the leading directions of the pairs of features, by power iteration."""
         missing = self.labels - _chance(self.bias + self.sums(self.linear))
-        missing /= np.maximum(np.bincount(self.owners, minlength=self.n), 1)
+        missing /= np.maximum(self.sizes, 1)
         alone = self.back(missing)
         found = np.linalg.qr(self.rng.normal(size=self.factors.shape))[0]
         for _ in range(DIRECTIONS):
@@ -153,8 +178,11 @@ class _Fit:
             self.turn(errors, sums, PAIR_PENALTY)
             self.bias -= 0.1 * errors.mean() / self.spread
         self.free, self.paired = self.linear != 0, self.factors.any(axis=1)
-        live = np.flatnonzero((self.free | self.paired)[self.values])
-        self.values, self.owners = self.values[live], self.owners[live]
+        live = (self.free | self.paired)[self.sums.index]
+        kept = np.add.reduceat(live, self.sums.starts, dtype=np.int64) if len(live) else 0
+        sizes = np.zeros(self.n, np.int64)
+        sizes[self.sums.filled] = kept
+        self.arrange(self.sums.index[live], sizes)
         self.restart()
         for _ in range(LAST_STEPS):
             errors, sums = self.errors()
@@ -165,17 +193,28 @@ class _Fit:
 
 def fit(rows, labels, share, seed=7):
     """A machine from feature arrays and 0/1 labels; ``share`` is the true share of label 1."""
+    values = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    kept = np.flatnonzero(np.bincount(values, minlength=BUCKETS) >= LEAST)
+    place = _places(kept)
+    placed = [place[r][place[r] >= 0] for r in rows]
+    flat = np.concatenate(placed) if len(rows) else np.zeros(0, np.int32)
+    return fit_kept(kept, flat, np.array([len(r) for r in placed], np.int64), labels, share, seed)
+
+
+def _places(kept):
+    """The place of every feature among the kept ones, -1 for the others."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    return place
+
+
+def fit_kept(kept, values, sizes, labels, share, seed=7):
+    """A machine from places among the ``kept`` features, text after text, with the number of each text."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         machine = Machine(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return machine
-    values = np.concatenate(rows)
-    kept = np.flatnonzero(np.bincount(values, minlength=BUCKETS) >= LEAST)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    owners = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    live = np.flatnonzero(place[values] >= 0)
-    own = _Fit(place[values[live]], owners[live], labels, len(kept), np.random.default_rng(seed))
+    own = _Fit(values, sizes, labels, len(kept), np.random.default_rng(seed))
     if len(kept):
         own.run()
     machine = Machine(own.bias + np.log(share / (1 - share)) - np.log(labels.mean() / (1 - labels.mean())))
@@ -185,27 +224,79 @@ def fit(rows, labels, share, seed=7):
     return machine
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Machine:
-    """A machine fitted on the sampled labelled texts of ``docs``; held-out ids are never used."""
+def sample_terms(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """y, terms (little-endian int32): one row for every picked id, of several texts the one whose terms sort first."""
     import pyarrow as pa
 
-    known = usual_label(labels, column)
-    picked = F.broadcast(class_sample(known, SAMPLE, seed=9))  # at most the sizes in SAMPLE
-
     def rows(batches):
         for batch in batches:
-            for first, data, offsets in textscan.slices(batch.column(1)):
+            for first, data, offsets in textscan.slices(batch.column(2)):
                 values, owners = features(data, offsets)
                 sizes = np.bincount(owners, minlength=len(offsets) - 1)
-                parts = np.split(values.astype("<i4"), np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sizes)), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    names=["y", "terms"],
+                    [batch.column(k).slice(first, len(sizes)) for k in (0, 1)] + [_binary(values, sizes)], names=["doc_id", "y", "terms"]
                 )
 
-    sample = mapped(docs.select("doc_id", "text").join(picked, "doc_id").select("y", "text"), rows, "y int, terms binary").collect()
-    terms = [np.frombuffer(bytes(r["terms"]), "<i4").astype(np.int64) for r in sample]
-    return fit(terms, [r["y"] for r in sample], label_share(known))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    found = mapped(read, rows, f"doc_id {kind}, y int, terms binary")
+    return staged(found.groupBy("doc_id", "y").agg(F.min("terms").alias("terms")).select("y", "terms"), "sample")
+
+
+def _binary(values, sizes):
+    """Runs of whole numbers as binary values, four bytes each."""
+    import pyarrow as pa
+
+    offsets = (4 * np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype("<i4").tobytes())]
+    )
+
+
+def _numbers(column):
+    """The numbers of a column made by ``_binary``, one after another, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", "<i4")
+    return data[offsets[0] // 4 : offsets[-1] // 4], np.diff(offsets) // 4
+
+
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Machine:
+    """A machine fitted on the sampled labelled texts of ``docs``; held-out ids are never used.
+
+    Texts that hold each term are counted in the tasks, and terms in fewer than ``LEAST`` texts stay there.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    known = usual_label(labels, column)
+    sample = sample_terms(docs, class_sample(known, SAMPLE, seed=9))  # at most the sizes in SAMPLE
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_numbers(batch.column(0))[0], minlength=BUCKETS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
+
+    counted = mapped(sample.select("terms"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    kept = np.sort(counted.where(F.col("n") >= LEAST).select("term").toArrow().column(0).to_numpy())  # at most BUCKETS
+    shared = spark.sparkContext.broadcast(_places(kept))
+
+    def place(batches):
+        for batch in batches:
+            values, sizes = _numbers(batch.column(1))
+            placed = shared.value[values]
+            live = placed >= 0
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[live], minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(placed[live], left)], names=["y", "terms"])
+
+    got = mapped(sample, place, "y int, terms binary").toArrow().combine_chunks()
+    shared.destroy()
+    y = got.column("y").to_numpy()
+    terms = got.column("terms")
+    parts = [_numbers(chunk) for chunk in terms.chunks] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    values, sizes = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*parts))
+    return fit_kept(kept, values, sizes.astype(np.int64), y, label_share(known))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
