@@ -11,7 +11,8 @@ their sums. Runs of the other texts are counted 0 times, which leaves the tree a
 probability as well. Nodes below the last two context bytes are worked out in the partition that holds
 them; only the two upper levels (65 thousand numbers) meet in the driver. The finished tree is one number per
 distinct run of the corpus. ``ROWS`` of them are sent to the tasks at once; a larger tree is applied slice by
-slice, in as many passes, with the same result, and one slice at a time is in the driver.
+slice, in as many passes, with the same result, and one slice at a time is in the driver. What a pass
+adds is keyed by a digest of the text, so passes need not meet the rows in the same tasks.
 
 Words are counted too, for the base score. Words are told apart by 64-bit hashes. The
 commonest, at most ``COMMON`` words, are sent to the tasks, all others are joined.
@@ -22,6 +23,7 @@ scored row by row; null ids count as the empty id text; an empty table gives no
 lowered first.
 """
 
+import hashlib
 import math
 from functools import reduce
 
@@ -302,14 +304,23 @@ def _places(keys, size):
     return (textscan.mix(keys) & np.uint64(size - 1)).astype(np.int64)
 
 
-def scorers(tree_rows: DataFrame, depth: int, limit: int = ROWS):
-    """One scorer per slice of about ``limit`` runs, made when it is asked for."""
-    passes = max(1, -(-tree_rows.count() // limit))
-    for k in range(passes):
-        own = tree_rows.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).toArrow()
+def slices_of(tree_rows: DataFrame, limit: int = ROWS) -> int:
+    """In how many slices of about ``limit`` runs the tree is applied."""
+    return max(1, -(-tree_rows.count() // limit))
+
+
+def scorers(tree_rows: DataFrame, depth: int, slices: int):
+    """One scorer per slice, made when it is asked for."""
+    for k in range(slices):
+        own = tree_rows.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k).toArrow()
         yield Scorer(own.column("key").to_numpy().view(np.uint64), own.column("value").to_numpy(), depth)
 
 
+def _digests(data, offsets):
+    raw, ends = data.tobytes(), offsets.tolist()
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+
+
 def score(
     docs: DataFrame, modulus: int = 7, held: int = 2, rows_at_once: int = ROWS, common: int = COMMON, depth: int = DEPTH
 ) -> DataFrame:
@@ -337,7 +348,9 @@ def score(
     unit, end_gain = math.log10(total + distinct + 1), math.log10(texts + 1.0)
     lexicon = spark.sparkContext.broadcast((keys, gain))
 
-    passes = scorers(tree(counts.where(F.col("kind") == RUN).select("key", "n"), depth), depth, rows_at_once)
+    trained = tree(counts.where(F.col("kind") == RUN).select("key", "n"), depth)
+    slices_ = slices_of(trained, rows_at_once)
+    several, passes = slices_ > 1, scorers(trained, depth, slices_)
     shared = spark.sparkContext.broadcast(next(passes))
 
     def first(batches):
@@ -362,18 +375,19 @@ def score(
                         pa.array(np.bincount(owners[found], minlength=n) + (1 if texts else 0)),
                         pa.array(np.bincount(owners[found], gain[place[found]], n) + end_gain),
                         pa.array(scorer.scores(data, offsets)),
+                        pa.array(_digests(data, offsets) if several else [None] * n, pa.binary()),
                         pa.ListArray.from_arrays(
                             pa.array(np.concatenate([[0], np.cumsum(rare)]).astype(np.int32)),
                             pa.array(hashes[~found].view(np.int64)),
                         ),
                     ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "gain", "score", "rare"],
+                    names=["row", "doc_id", "n_tokens", "n_known", "gain", "score", "digest", "rare"],
                 )
                 row += n
 
     source = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"row long, doc_id {kind}, n_tokens long, n_known long, gain double, score double, rare array<long>"
+    fields = f"row long, doc_id {kind}, n_tokens long, n_known long, gain double, score double, digest binary, rare array<long>"
     scored = staged(mapped(source, first, fields), "scored")
     shared.destroy()
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
@@ -386,8 +400,10 @@ def score(
         extras.append(staged(_pass(source, later), "pass"))
         later.destroy()
     if extras:
-        extra = reduce(DataFrame.union, extras).groupBy("row").agg(F.sum("extra").alias("extra"))
-        parts = parts.join(extra, "row").withColumn("score", F.col("score") + F.col("extra"))
+        extra = reduce(DataFrame.union, extras).groupBy("digest").agg(F.sum("extra").alias("extra"), F.count("*").alias("n"))
+        whole = F.col("n").isNotNull() & (F.col("n") == len(extras))
+        more = F.when(whole, F.col("extra")).otherwise(F.raise_error(F.lit("a text was not met in every pass")))
+        parts = parts.join(extra, "digest", "left").withColumn("score", F.col("score") + more)
     known_words = F.col("n_known") + F.coalesce("more", F.lit(0))
     gained = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
     return parts.select(
@@ -402,18 +418,16 @@ def score(
 
 
 def _pass(source: DataFrame, shared) -> DataFrame:
-    """(row, extra): what a later slice of the tree adds; rows are numbered as in the first pass."""
+    """(digest, extra): what a later slice of the tree adds to every text, named by its own digest, so that it does
+    not matter in which task or order a pass meets the rows."""
     import pyarrow as pa
 
     def more(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for _, data, offsets in textscan.slices(batch.column(1)):
-                n = len(offsets) - 1
-                found = shared.value.scores(textscan.LOWER[data], offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), pa.array(found)], names=["row", "extra"])
-                row += n
+                data = textscan.LOWER[data]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_digests(data, offsets), pa.binary()), pa.array(shared.value.scores(data, offsets))], names=["digest", "extra"]
+                )
 
-    return mapped(source, more, "row long, extra double")
+    return mapped(source, more, "digest binary, extra double").groupBy("digest").agg(F.max("extra").alias("extra"))
