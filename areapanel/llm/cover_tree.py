@@ -229,7 +229,7 @@ def _centres(sample: DataFrame) -> DataFrame:
 
 def _split(points: DataFrame):
     """Points with the path of their leaf; a node that is small enough is not split any more."""
-    rows = points.withColumn("node", F.concat_ws(":", F.col("label").cast("string"), F.size("unit").cast("string")))
+    rows = points.withColumn("node", F.concat_ws(":", F.hex(F.col("label").cast("string").cast("binary")), F.size("unit").cast("string")))
     rows = rows.withColumn("done", F.lit(False))
     for level in range(LEVELS):
         rows = staged(rows, "cover")

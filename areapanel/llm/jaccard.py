@@ -210,7 +210,7 @@ def similar_pairs(left, right, percent):
         hit = shared[at] == flat[k] if len(shared) else np.zeros(len(flat[k]), bool)
         order = np.argsort(at[hit], kind="stable")
         places.append((at[hit][order], owners[k][hit][order]))
-    inner = np.zeros((len(left), len(right)), np.float32)
+    inner = np.zeros((len(left), len(right)), np.int64)
     for begin in range(0, len(shared), COLUMNS):
         sides = []
         for (at, owner), n in zip(places, (len(left), len(right))):
@@ -218,7 +218,7 @@ def similar_pairs(left, right, percent):
             matrix = np.zeros((n, min(COLUMNS, len(shared) - begin)), np.float32)
             matrix[owner[part], at[part] - begin] = 1
             sides.append(matrix)
-        inner += sides[0] @ sides[1].T
+        inner += (sides[0] @ sides[1].T).astype(np.int64)
     union = sizes[0][:, None] + sizes[1][None, :] - inner
     return (100 * inner >= percent * union) & (sizes[0] > 0)[:, None] & (sizes[1] > 0)[None, :]
 
@@ -273,11 +273,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = staged(
-        real.select("doc_id", "digest").join(classes, "digest").where("doc_id <> first").select("doc_id", "first").distinct(),
+        real.select("doc_id", "digest").join(classes, "digest").where("doc_id <> first").select("doc_id", "digest", "first").distinct(),
         "copies",
     )
     probe = F.col("entry").bitwiseAND(F.lit(1)) == 1
-    entry = real.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("entries").alias("entry"))
+    entry = real.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("entries").alias("entry"))
     entry = entry.select("doc_id", F.shiftright("entry", 1).alias("place"), probe.alias("probes"))
     shared = (
         entry.groupBy("place")
@@ -344,7 +344,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: the rows whose id is their component's; of rows with equal ids one.
+    """One document of each group: the rows whose id is their component's; of rows with equal ids and texts one.
 
     Rows with a null id are not compared and stay.
     """
@@ -354,7 +354,7 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     repeated = staged(repeated, "repeated")
     kept = docs.join(_sized(gone), "doc_id", "left_anti")
     if not repeated.isEmpty():
-        once = kept.join(_sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = kept.join(_sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         kept = kept.join(_sized(repeated), "doc_id", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 

@@ -5,10 +5,10 @@ smoothed, are counted: one over trusted texts, one over the whole corpus. A docu
 mean over its n-grams of log(trusted / corpus), and it is kept if the score reaches a fixed threshold
 and the counting rules do not fail it. Nothing is drawn at random: every document is judged alike.
 
-The corpus counts cover every text; trusted texts are those of at most ``TRUSTED`` labelled ids, the
-smallest by hash. What a task has counted leaves it as at most ``BUCKETS`` rows.
+Both counts cover every text: all of the corpus, and all whose id is labelled good. What a task has
+counted leaves it as at most ``BUCKETS`` rows.
 
-Defined results: a null text has no words; a text without words fails the rules and its score is 0;
+Defined results: a null text has no words; null ids have no label; a text of any length is counted whole; a text without words fails the rules and its score is 0;
 without trusted texts all scores are 0; repeated rows count and are judged row by row; an empty table
 gives no rows; further columns are ignored.
 """
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import class_sample, mapped, usual_label
+from .common import mapped, usual_label
 
 BUCKETS = 1 << 16
-TRUSTED = 20000
+#: So many trusted ids (8 bytes each) are sent to the tasks that read the texts; more are joined.
+BROADCAST_IDS = 1 << 20
 THRESHOLD = -0.15
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent
@@ -92,18 +93,18 @@ def buckets(data, offsets):
     return values.astype(np.int64), np.concatenate([owners, owners[:-1][pairs]])
 
 
-def ratios(docs: DataFrame, trusted_ids) -> np.ndarray:
-    """log(trusted / corpus) of every bucket; ``trusted_ids`` are at most ``TRUSTED`` ids."""
+def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """log(trusted / corpus) of every bucket; ``trusted`` holds each id (doc_id) of a trusted text once."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(trusted_ids, np.int64)))
+    trusted = trusted.select("doc_id", F.lit(True).alias("good"))
+    known = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
+    marked = docs.select("doc_id", "text").join(known, "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
 
     def count(batches):
-        trusted = shared.value
         corpus, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column(0)
-            good = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)
+            good = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, offsets in textscan.slices(batch.column(1)):
                 values, owners = buckets(data, offsets)
                 corpus += np.bincount(values, minlength=BUCKETS)
@@ -113,7 +114,7 @@ def ratios(docs: DataFrame, trusted_ids) -> np.ndarray:
             [pa.array(hit), pa.array(corpus[hit]), pa.array(target[hit])], names=["bucket", "corpus", "target"]
         )
 
-    counts = mapped(docs.select(F.col("doc_id").cast("long"), "text"), count, "bucket long, corpus long, target long")
+    counts = mapped(marked, count, "bucket long, corpus long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("corpus"), F.sum("target")).collect()  # <= BUCKETS rows
     corpus, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for bucket, c, t in rows:
@@ -128,8 +129,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """doc_id, the counts, base_failed, kept and score for every row of ``docs``."""
     import pyarrow as pa
 
-    known = usual_label(labels, "quality").withColumn("held_out", F.lit(False))
-    trusted = [r["doc_id"] for r in class_sample(known, {1: TRUSTED}, seed=5).collect()]
+    trusted = usual_label(labels, "quality").where("y = 1")
     shared = docs.sparkSession.sparkContext.broadcast(ratios(docs, trusted))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

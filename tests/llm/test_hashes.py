@@ -1,16 +1,19 @@
 """Words built to share one polynomial hash, through the operators that tell words apart by hashes, and a
 context tree whose passes meet the rows in other tasks each time."""
 
+import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from areapanel.llm import byte_bpe, context_tree, jaccard, lexical, packing, ratio_rules, textscan, token_files, tokens
+from areapanel.llm import byte_bpe, context_tree, cover_tree, jaccard, lexical, ratio_rules, textscan, tokens
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +74,62 @@ def test_operators(spark, docs, twins):
     assert sorted(r["doc_id"] for r in found) == [0, 2, 4]
 
 
+def test_labels_with_slashes(spark):
+    """Labels are never parts of one another's names."""
+    near = [[1.0, 0.01 * k, 0.0] for k in range(3)]
+    rows = [(i, near[i % 3], label) for i, label in enumerate(["a/b", "a/c", "a", "a/b", "/", "a/", "a:3"])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(df, 0.98).collect()}
+    assert got == {0: (1, 0), 3: (1, 0)} | {i: (0, i) for i in (1, 2, 4, 5, 6)}
+
+
+def test_ids_with_two_texts(spark):
+    """A copy of another document beside a near copy of a third, under one id: both links are kept."""
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:-1], "other"]
+    rows = [(1, "an exact copy of these words"), (5, "an exact copy of these words"), (5, " ".join(near)), (9, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, width=4, percent=85).collect()} == {1: 1, 5: 1, 9: 1}
+    alone = docs.where("doc_id = 5")
+    assert sorted(map(tuple, jaccard.keep_first(alone).collect())) == sorted(r for r in rows if r[0] == 5)
+
+
+def test_sets_of_many_shingles():
+    """Counts of common shingles stay whole numbers beyond what a float holds."""
+    size = 671_089
+    left = np.arange(size, dtype=np.uint64)
+    right = np.concatenate([left, np.arange(size, size + (size * 15) // 85, dtype=np.uint64)]) + np.uint64(0)
+    for extra in (0, 1):
+        whole = len(right) + extra
+        near = jaccard.similar_pairs([left], [np.concatenate([right, np.arange(10**9, 10**9 + extra, dtype=np.uint64)])], 85)
+        assert near[0, 0] == (100 * size >= 85 * whole)
+
+
+def test_ratio_verdict(spark):
+    """Scores by the same counts in plain Python, over all labelled texts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40 + i, 60)) for i in range(40)] + [None, "few words"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").withColumn("good", F.lit(0))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(42)] + [(0, 0), (None, 1)], "doc_id long, quality int")
+
+    def grams(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return ratio_rules.buckets(data, np.array([0, len(data)]))[0].tolist()
+
+    corpus, target = collections.Counter(), collections.Counter()
+    for i, text in [*enumerate(texts), (None, texts[0])]:
+        corpus.update(grams(text))
+        if i is not None and i % 3 == 0:
+            target.update(grams(text))
+    n, m, b = corpus.total() + ratio_rules.BUCKETS, target.total() + ratio_rules.BUCKETS, ratio_rules.BUCKETS
+    assert b == 65536
+    for r in ratio_rules.judge(docs, labels, threshold=0.0).collect():
+        own = grams(texts[r["doc_id"] or 0])
+        score = sum(math.log((target[g] + 1) / m) - math.log((corpus[g] + 1) / n) for g in own) / max(len(own), 1)
+        assert r["score"] == pytest.approx(score, abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= 0)
+
+
 def test_passes_in_other_tasks(spark, tmp_path, monkeypatch):
     """Every pass plans its scan anew; here each meets the rows in other splits, as after a lost executor."""
     rng = np.random.default_rng(4)
