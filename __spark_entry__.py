@@ -19,10 +19,12 @@ from areapanel.plans import clean, pipeline, views
 from areapanel.session import new_stage, spread
 from areapanel.sources import contracts, csv_files, population
 
+#: What the corpus queries need; without any of it the other queries are registered alone.
+_CORPUS_NEEDS = ("areapanel.llm", "areapanel.llm.queries", "corpus_pipeline", "public_tokenizers", "tokenizers")
 try:
     import areapanel.llm.queries as corpus
 except ModuleNotFoundError as missing:
-    if missing.name not in ("areapanel.llm", "areapanel.llm.queries"):
+    if missing.name not in _CORPUS_NEEDS:
         raise
     corpus = None
 
@@ -139,14 +141,19 @@ def _run_from_files(spark, sf):
         csv_files.write_csv(an.wide_values(spark, sf), f"{landed}/values.csv")
         an.responses(spark, sf).withColumnRenamed("body", "value").write.partitionBy("year").text(f"{landed}/responses")
         paths = pipeline.Paths.under(landed, "events.csv", "values.csv", "areas.csv", "responses")
-        tag = out.rpartition("-")[2]
-        done = pipeline.run(
-            spark, paths, out, final_name=f"final_{tag}", slope_name=f"slopes_{tag}", whole_responses=False
-        )
-        _RUNS[key] = done, out
+        # A schema of the run's own, whose tables lie in the working folder and go with it.
+        schema = f"run_{out.rpartition('-')[2]}"
+        spark.sql(f"CREATE SCHEMA {schema} LOCATION '{new_stage(spark, 'tables')}'")
+        _RUNS[key] = pipeline.run(spark, paths, out, schema=schema, whole_responses=False), out, schema
     return _RUNS[key]
 
 
+def _stored(spark, sf, name):
+    """A stored table or view of the run, read by its SQL name from another session."""
+    schema = _run_from_files(spark, sf)[2]
+    return spark.newSession().sql(f"SELECT * FROM {schema}.{name}")
+
+
 def q_run_from_files(spark, sf):
     """The final table that a run on CSV and JSON files stores."""
     return _run_from_files(spark, sf)[0].final
@@ -166,10 +173,49 @@ def q_run_counts(spark, sf):
     return spark.createDataFrame(sorted(counts.items()), "step string, rows long")
 
 
+def q_run_population_csv(spark, sf):
+    """The CSV folder with the population, read back as text and typed."""
+    text = csv_files.read_csv_strings(spark, f"{_run_from_files(spark, sf)[1]}/population.csv")
+    return text.select("ZIP_Code", F.col("Year").cast("int").alias("Year"), F.col("Population").cast("double").alias("Population"))
+
+
 def q_run_stored_view(spark, sf):
-    """A stored view, read by its SQL name from another session."""
-    _run_from_files(spark, sf)
-    return _rounded(spark.newSession().sql("SELECT * FROM vw_crime_seasonality"), avg_property_crime_count=6, avg_zhvi_value=4)
+    return _rounded(_stored(spark, sf, "vw_crime_seasonality"), avg_property_crime_count=6, avg_zhvi_value=4)
+
+
+def q_run_stored_property_avg(spark, sf):
+    return _rounded(_stored(spark, sf, "vw_property_crime_distribution"), avg_property_crime_count=6)
+
+
+def q_run_stored_violent_avg(spark, sf):
+    return _rounded(_stored(spark, sf, "vw_violent_crime_distribution"), avg_violent_crime_count=6)
+
+
+def q_run_stored_totals(spark, sf):
+    return _rounded(_stored(spark, sf, "vw_investment_efficiency_property"), total_zhvi_value=2)
+
+
+def q_run_stored_lag_effect(spark, sf):
+    return _rounded(_stored(spark, sf, "vw_lag_effect_property_crime"), total_zhvi_value=2, monthly_appreciation_rate=6)
+
+
+def q_run_stored_rate_base(spark, sf):
+    found = _stored(spark, sf, "vw_crime_rate_housing_appreciation_base")
+    return _rounded(found, total_zhvi_value=2, property_crime_rate_per_1000=6)
+
+
+def q_run_stored_appreciation(spark, sf):
+    found = _stored(spark, sf, "vw_crime_rate_housing_appreciation")
+    return _rounded(found, total_zhvi_value=2, property_crime_rate_per_1000=6, monthly_appreciation_rate=6)
+
+
+def q_run_stored_slope_compare(spark, sf):
+    found = _stored(spark, sf, "vw_crime_slope_compare_tableau")
+    return _rounded(found, crime_rate=6, housing_growth_pct=6, avg_population=6)
+
+
+def q_run_stored_slope_table(spark, sf):
+    return _rounded(_stored(spark, sf, "slope_table"), CRIME_RATE=6, HOUSING_GROWTH_PCT=6, AVG_POPULATION=6)
 
 
 def q_population_files(spark, sf):
@@ -598,7 +644,33 @@ def oracle_sql() -> dict[str, str]:
     return panel_sql() | (corpus.oracle_sql() if corpus else {})
 
 
+#: Stored objects of the run and the queries whose SQL gives the same over the panel's own final table.
+_STORED = {
+    "run_stored_property_avg": "view_property_avg",
+    "run_stored_violent_avg": "view_violent_avg",
+    "run_stored_totals": "view_totals",
+    "run_stored_lag_effect": "view_lag_effect",
+    "run_stored_rate_base": "view_rate_base",
+    "run_stored_appreciation": "view_appreciation",
+    "run_stored_slope_compare": "view_slope_compare",
+    "run_stored_slope_table": "slope_table",
+}
+
+_RUN_FINAL = """final AS (
+  SELECT "ZIP_CODE" AS zip, "Month_Date" AS m, "Year" AS y, "Property_Crime_Count" AS pc, "Violent_Crime_Count" AS vc,
+    "ZHVI_Value" AS z, "Population" AS pop FROM run_final
+),"""
+
+
 def panel_sql() -> dict[str, str]:
+    found = _plain_sql()
+    later = _PANEL[_PANEL.index("base AS (") :]
+    for name, twin in _STORED.items():
+        found[name] = f"{_RUN} SELECT * FROM (" + found[twin].replace(f"WITH {_PANEL}", f"WITH {_RUN_FINAL} {later}") + ")"
+    return found
+
+
+def _plain_sql() -> dict[str, str]:
     return {
         "clean_points": f"WITH {_EVENTS} SELECT * FROM events_clean",
         "dedupe_by_key": """
@@ -657,6 +729,9 @@ def panel_sql() -> dict[str, str]:
         "whole_run": f"{_RUN} SELECT * FROM run_final",
         "run_from_files": f"{_RUN} SELECT * FROM run_final",
         "run_csv_sinks": f"{_RUN} SELECT * FROM run_master",
+        "run_population_csv": f"""WITH {_RESPONSES}
+            SELECT zip AS "ZIP_Code", y AS "Year", CAST(q AS DOUBLE) AS "Population" FROM yearly
+            WHERE n % 11 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 AND y BETWEEN 2014 AND 2024 AND q > 0""",
         "run_counts": f"""{_RUN}
             SELECT 'areas' AS step, (SELECT count(*) FROM nation) AS rows
             UNION ALL SELECT 'events', (SELECT count(*) FROM events_clean)

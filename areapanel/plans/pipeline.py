@@ -12,7 +12,7 @@ from areapanel import settings
 from areapanel.operators import checks, panel, spatial
 from areapanel.plans import clean, views
 from areapanel.session import new_stage, staged
-from areapanel.sources import contracts, csv_files, population, tables
+from areapanel.sources import contracts, csv_files, population, publish
 
 BOUNDS = (settings.LONGITUDES, settings.LATITUDES)
 
@@ -86,12 +86,15 @@ def run(
     *,
     final_name="final_table",
     slope_name="slope_table",
+    schema: str | None = None,
     whole_responses=True,
 ) -> Run:
     """Read the four sources and publish: two CSV folders below ``out``, two tables, eight views.
 
-    Everything is computed and every guard has passed before the first output is touched. Tables
-    and views are stored in the session catalog, so other sessions of it see them by name.
+    Everything is computed and every guard has passed before the first output is touched. All outputs
+    are written as a new version beside the old one and become current in one step, so a run that is
+    killed leaves the old set or the new one; folders that it did not move are moved by the next run. Tables and views are
+    stored in the session catalog (in ``schema`` if given), so other sessions of it see them by name.
     """
     analytical, counts = analytical_table(
         spark,
@@ -105,9 +108,24 @@ def run(
     final = staged(final_table(analytical, people, years), "final")
     slopes = staged(views.slope_table(final), "slopes")
 
-    csv_files.write_csv(analytical, f"{out}/analytical.csv")
-    csv_files.write_csv(people, f"{out}/population.csv")
-    tables.save_table(final, final_name, ["Year"])
-    tables.save_table(slopes, slope_name)
-    views.store_views(spark, final_name, slope_name)
-    return Run(analytical, spark.table(final_name), counts)
+    current = publish_run(spark, out, analytical, people, final, slopes, final_name, slope_name, schema)
+    return Run(analytical, current, counts)
+
+
+def publish_run(spark, out, analytical, people, final, slopes, final_name="final_table", slope_name="slope_table", schema=None):
+    """Write everything as a new version, make it the current one, and remove all but the one before; returns the
+    final table by its name."""
+    named = {n: f"{schema}.{n}" if schema else n for n in (final_name, slope_name)}
+    pointer = f"{named[final_name]}_version"
+    old, version = publish.current(spark, pointer), publish.new_version()
+    publish.settle(spark, out, old)
+    csv_files.write_csv(analytical, publish.beside(f"{out}/analytical.csv", version))
+    csv_files.write_csv(people, publish.beside(f"{out}/population.csv", version))
+    publish.store_version(final, named[final_name], version, ["Year"])
+    publish.store_version(slopes, named[slope_name], version)
+    publish.define(spark, pointer, {named[final_name]: final.columns, named[slope_name]: slopes.columns})
+    views.store_views(spark, named[final_name], named[slope_name], schema)
+    publish.swap(spark, pointer, version)
+    publish.settle(spark, out, version)
+    publish.drop_versions(spark, named.values(), (old, version))
+    return spark.table(named[final_name])

@@ -185,12 +185,12 @@ def stored_definitions(final: str, slopes: str) -> dict[str, str]:
     }
 
 
-def store_views(spark: SparkSession, final: str, slopes: str) -> list[str]:
+def store_views(spark: SparkSession, final: str, slopes: str, schema: str | None = None) -> list[str]:
     """Create or replace the eight views in the catalog, on two stored tables; returns their names.
 
     Session views of these names are dropped, because they would hide the stored ones.
     """
     for name, query in stored_definitions(final, slopes).items():
         spark.catalog.dropTempView(name)
-        spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+        spark.sql(f"CREATE OR REPLACE VIEW {schema + '.' if schema else ''}{name} AS {query}")
     return list(VIEWS)

@@ -9,10 +9,6 @@ def save_table(df: DataFrame, name: str, partition_by=()) -> None:
     df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(name)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by=()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
 def register_views(frames: dict[str, DataFrame]) -> None:
     """Create or replace one temporary view per frame."""
     for name, frame in frames.items():

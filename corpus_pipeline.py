@@ -6,7 +6,7 @@ one's documents. All stages but the last return the columns of ``documents``.
 
 Empty tables pass through every stage; columns beyond those of ``documents`` are carried along to the
 last stage; rows are judged one by one, so repeated rows fare alike, except that the near-duplicate
-stage keeps one row of repeated ids and one document of each group.
+stage keeps one row of repeated ids and texts, and one document of each group.
 """
 
 from functools import wraps

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 
 from areapanel.plans import pipeline, views
+from areapanel.sources import csv_files, publish
 
 D = dt.date
 
@@ -97,6 +98,72 @@ def test_a_failing_guard_leaves_the_old_output(spark, sources):
     assert files() == before and rows(spark.table("final_table")) == table
 
 
+STEPS = ("write_csv", "store_version", "define", "store_views", "swap", "move", "settle", "drop_versions")
+
+
+class Killed(BaseException):
+    pass
+
+
+def publish_small(spark, out, n):
+    """One version whose rows all tell its number."""
+    final = spark.createDataFrame(
+        [("60601", D(2020, m, 1), 2020, n, n, float(n + m), 1000.0) for m in (1, 2)],
+        "ZIP_CODE string, Month_Date date, Year int, Property_Crime_Count long, Violent_Crime_Count long, ZHVI_Value double, Population double",
+    )
+    people = spark.createDataFrame([("60601", 2020, float(n))], "ZIP_Code string, Year int, Population double")
+    pipeline.publish_run(spark, out, final, people, final, views.slope_table(final))
+
+
+def seen(spark, out):
+    """The versions that readers see: of the tables and views on them, and of the folders."""
+    other = spark.newSession()
+    stored = {
+        other.table("final_table").first()["Property_Crime_Count"],
+        int(other.table("vw_property_crime_distribution").first()[1]),
+        *(int(r["crime_rate"]) for r in other.table("vw_crime_slope_compare_tableau").collect()),
+        *(int(r["CRIME_RATE"]) for r in other.table("slope_table").collect()),
+    }
+    folders = {int(float(spark.read.option("header", True).csv(f"{out}/population.csv").first()["Population"])),
+               int(spark.read.option("header", True).csv(f"{out}/analytical.csv").first()["Property_Crime_Count"])}
+    return stored, folders
+
+
+def test_a_killed_run_leaves_one_version(spark, tmp_path, monkeypatch):
+    """A run that dies before or after any step leaves all tables and views old, or all new; the folders follow."""
+    out, n = str(tmp_path / "out"), 1
+    publish_small(spark, out, n)
+    assert seen(spark, out) == ({1}, {1})
+    for step in STEPS:
+        for when in ("before", "after"):
+            old, n = n, n + 1
+            owner = csv_files if step == "write_csv" else views if step == "store_views" else publish
+            plain, calls = getattr(owner, step), []
+
+            def dying(*given, plain=plain, calls=calls, when=when, step=step):
+                calls.append(1)
+                last = len(calls) == (2 if step in ("write_csv", "store_version", "move", "settle") else 1)
+                if when == "before" and last:
+                    raise Killed
+                result = plain(*given)
+                if when == "after" and last:
+                    raise Killed
+                return result
+
+            with monkeypatch.context() as patch:
+                patch.setattr(owner, step, dying)
+                with pytest.raises(Killed):
+                    publish_small(spark, out, n)
+            late = step in ("move", "settle", "drop_versions") or (step, when) == ("swap", "after")
+            n = n if late else old
+            publish.settle(spark, out, publish.current(spark, "final_table_version"))
+            assert seen(spark, out) == ({n}, {n}), (step, when)
+    publish_small(spark, out, n + 1)
+    assert seen(spark, out) == ({n + 1}, {n + 1})
+    left = {r[0].split("/")[0] for r in spark.sql("SHOW PARTITIONS final_table_versions").collect()}
+    assert len(left) == 2 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["analytical.csv", "population.csv"]
+
+
 def test_wrong_header_fails(spark, sources):
     folder, paths = sources
     (folder / "events.csv").write_text("ID,Date\n1,2\n")
