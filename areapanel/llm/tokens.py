@@ -14,9 +14,9 @@ import numpy as np
 
 from . import textscan
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct stretches that a worker keeps, about 40 bytes each; then it starts anew.
-KNOWN_STRETCHES = 3_000_000
+KNOWN_STRETCHES = 1_000_000
 TOGETHER = 500
 
 _LETTER = np.zeros(256, bool)
