@@ -94,6 +94,15 @@ def q_category_counts(spark, sf):
     return spatial.count_by_area(an.points(spark, sf), areas, bounds=an.BOUNDS)
 
 
+def q_spatial_exact(spark, sf):
+    """Points on slanted sides between decimal corners, broadcast and shuffled: both plans must agree on every row."""
+    areas = clean.clean_boundaries(an.slanted_triangles(spark, sf))
+    points, columns = an.points_on_sides(spark, sf), ["l_orderkey", "l_linenumber", "ZIP_Code"]
+    small = spatial.assign_area(points, areas).select(*columns, F.lit(1).alias("broadcast"), F.lit(0).alias("shuffled"))
+    large = spatial.assign_area(points, areas, broadcast_bytes=0).select(*columns, F.lit(0).alias("broadcast"), F.lit(1).alias("shuffled"))
+    return small.union(large).groupBy(*columns).agg(F.sum("broadcast").alias("broadcast"), F.sum("shuffled").alias("shuffled"))
+
+
 def q_events_to_panel(spark, sf):
     """Raw text events to counts per area and month."""
     areas = an.cleaned_nation_areas(spark, sf)
@@ -621,6 +630,40 @@ _KIND_OF = {
 }
 
 
+def _exact_sql():
+    """Crossings counted in whole numbers: a double from 1 to 128 is a whole number of 2^-52."""
+    units = lambda v: f"CAST(({v}) * 4503599627370496::DOUBLE AS HUGEINT)"
+    at = [("x0", "y0"), ("x0 + 40 * dx", "y0 + 40 * dy"), ("x0 + 40 * dy", "y0 - 40 * dx")]
+    side = "((x2 - x1) * (py - y1) - (px - x1) * (y2 - y1))"
+    rings = " UNION ALL ".join(
+        f"SELECT k, {', '.join(units(f'({v}) / 1000.0::DOUBLE') + f' AS {n}' for v, n in zip((*a, *b), ('ax', 'ay', 'ex', 'ey')))} FROM triangles"
+        for a, b in zip(at, [*at[1:], at[0]])
+    )
+    turned = "CASE WHEN l_partkey % 2 = 0 THEN {} ELSE {} END"
+    px = f"({turned.format('x0 + j * dy', 'x0 + j * dx')} + CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 3 - 1 ELSE 0 END) / 1000.0::DOUBLE"
+    py = f"({turned.format('y0 - j * dx', 'y0 + j * dy')}) / 1000.0::DOUBLE"
+    steps = "2000 + {0} * 7919 % 90000 AS x0, 2000 + {0} * 104729 % 90000 AS y0, 1 + {0} % 17 AS dx, 3 + {0} % 23 AS dy"
+    return f"""
+        WITH triangles AS (SELECT s_suppkey AS k, {steps.format("s_suppkey")} FROM supplier),
+        lines AS (SELECT *, {steps.format("l_suppkey")}, (l_orderkey + l_linenumber) % 42 AS j FROM lineitem),
+        spots AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, {units(px)} AS px, {units(py)} AS py FROM lines),
+        sides AS (
+          SELECT k, CASE WHEN up THEN ax ELSE ex END AS x1, CASE WHEN up THEN ay ELSE ey END AS y1,
+            CASE WHEN up THEN ex ELSE ax END AS x2, CASE WHEN up THEN ey ELSE ay END AS y2
+          FROM (SELECT *, ay < ey OR (ay = ey AND ax <= ex) AS up FROM ({rings}))
+        ),
+        boxes AS (SELECT k, min(least(x1, x2)) AS xl, max(greatest(x1, x2)) AS xh, min(y1) AS yl, max(y2) AS yh FROM sides GROUP BY k),
+        near AS (SELECT s.*, k FROM spots s JOIN boxes ON px BETWEEN xl AND xh AND py BETWEEN yl AND yh),
+        judged AS (
+          SELECT l_orderkey, l_linenumber, n.k,
+            bool_or(py BETWEEN y1 AND y2 AND {side} = 0 AND px BETWEEN least(x1, x2) AND greatest(x1, x2)) AS on_side,
+            count(*) FILTER (py >= y1 AND py < y2 AND {side} > 0) % 2 = 1 AS inside
+          FROM near n JOIN sides s ON s.k = n.k GROUP BY r, l_orderkey, l_linenumber, n.k
+        )
+        SELECT l_orderkey, l_linenumber, CAST(k AS VARCHAR) AS "ZIP_Code", CAST(count(*) AS BIGINT) AS broadcast,
+          CAST(count(*) AS BIGINT) AS shuffled FROM judged WHERE on_side OR inside GROUP BY 1, 2, 3"""
+
+
 def _probe_sql():
     plain = [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -704,6 +747,7 @@ def _plain_sql() -> dict[str, str]:
         "spatial_assign_shuffled": f"""WITH {_POINTS}, {_AREAS}
             SELECT p.l_orderkey, p.l_linenumber, p.x, p.y, a.zip AS "ZIP_Code"
             FROM points p JOIN areas a ON {_HIT}""",
+        "spatial_exact": _exact_sql(),
         "category_counts": f"""WITH {_POINTS}, {_AREAS}
             SELECT a.zip AS "ZIP_Code", "Month_Date", "Year", {_COUNT_COLUMNS}
             FROM points p JOIN areas a ON {_HIT} GROUP BY 1, 2, 3""",

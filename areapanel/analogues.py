@@ -19,6 +19,8 @@ from areapanel.session import spread, staged
 LINE_TYPES = ("BATTERY", "THEFT", "ASSAULT", "BURGLARY", "HOMICIDE", "battery", "ROBBERY")
 # One header name per line number.
 LINE_COLUMNS = ("ID", "Date", "Primary Type", "Latitude", "Longitude", "zip", "SHAPE_wkt")
+#: Steps along the slanted sides of ``slanted_triangles``.
+STEPS = 40
 SHIPPED = "l_shipdate + make_ym_interval(18, 0)"
 BOUNDS = (settings.LONGITUDES, settings.LATITUDES)
 
@@ -288,3 +290,29 @@ def header_rows(spark, folder) -> DataFrame:
 
 def cleaned_nation_areas(spark, folder) -> DataFrame:
     return staged(clean.clean_boundaries(nation_areas(spark, folder)), "areas")
+
+
+def slanted_triangles(spark, folder) -> DataFrame:
+    """One triangle per supplier whose corners are whole thousandths, so no corner but few is a binary fraction.
+
+    Its first side runs ``STEPS`` steps of (1 + k % 17, 3 + k % 23) thousandths, its second is the first turned by a
+    right angle.
+    """
+    k = F.col("s_suppkey")
+    x, y, dx, dy = 2000 + k * 7919 % 90000, 2000 + k * 104729 % 90000, 1 + k % 17, 3 + k % 23
+    at = lambda px, py: F.concat_ws(" ", (px / 1000.0).cast("string"), (py / 1000.0).cast("string"))
+    corners = [at(x, y), at(x + STEPS * dx, y + STEPS * dy), at(x + STEPS * dy, y - STEPS * dx), at(x, y)]
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *corners), F.lit("))"))
+    return spread(table(spark, folder, "supplier")).select(k.cast("string").alias("ZIP"), wkt.alias("the_geom"))
+
+
+def points_on_sides(spark, folder) -> DataFrame:
+    """One point per order line on, or a thousandth beside, a slanted side of its supplier's triangle."""
+    k, j, turned = F.col("l_suppkey"), (F.col("l_orderkey") + F.col("l_linenumber")) % (STEPS + 2), F.col("l_partkey") % 2 == 0
+    x, y, dx, dy = 2000 + k * 7919 % 90000, 2000 + k * 104729 % 90000, 1 + k % 17, 3 + k % 23
+    beside = F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 3 - 1).otherwise(0)
+    px = F.when(turned, x + j * dy).otherwise(x + j * dx) + beside
+    py = F.when(turned, y - j * dx).otherwise(y + j * dy)
+    return spread(table(spark, folder, "lineitem")).select(
+        "l_orderkey", "l_linenumber", (px / 1000.0).alias("x"), (py / 1000.0).alias("y")
+    )

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 NUMBER = r"[+-]?(?:\d++\.?\d*+|\.\d++)(?:E[+-]?\d++)?"
 PAIR = f"^{NUMBER} {NUMBER}$"
 SLACK = 1e-3  # share of a grid cell that covers the rounding of ``x_range``
+#: Relative error that covers two differences, two products and their difference in doubles.
+ROUNDING = 4.0 * 2.0**-53
+#: Cuts a double into two halves of 26 bits.
+SPLIT = 2.0**27 + 1
 EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -89,9 +93,63 @@ def ring_area_twice(ring: Column) -> Column:
     return F.abs(F.aggregate(rest, F.lit(0.0), lambda acc, v: acc + v))
 
 
+def record(**fields) -> Column:
+    """A struct by field names; unlike aliases they also hold inside the condition of a join."""
+    return F.named_struct(*[c for name, value in fields.items() for c in (F.lit(name), value)])
+
+
+def bound_once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _product(p: Column) -> Column:
+    """The product of a pair's ``a`` and ``b`` as two doubles whose sum is exact (Veltkamp's split, Dekker's product)."""
+
+    def high(v):
+        return SPLIT * v - (SPLIT * v - v)
+
+    ah, bh = high(p.a), high(p.b)
+    al, bl = p.a - ah, p.b - bh
+    whole = p.a * p.b
+    return F.array(al * bl - (((whole - ah * bh) - al * bh) - ah * bl), whole)
+
+
+def _grown(total: Column, value: Column) -> Column:
+    """An exact sum of doubles (smallest first, no two overlap) with one more double added."""
+
+    def carry(state, part):
+        x = state.q + part
+        lost = (state.q - (x - (x - state.q))) + (part - (x - state.q))
+        return record(q=x, h=F.array_append(state.h, lost))
+
+    begin = record(q=value, h=F.array().cast("array<double>"))
+    return F.aggregate(total, begin, carry, lambda state: F.array_append(state.h, state.q))
+
+
+def exact_side(edge: Column, x: Column, y: Column) -> Column:
+    """A double with the sign that ``side`` has without any rounding: its products are summed exactly."""
+    factors = [(edge.x2, y), (-edge.x2, edge.y1), (-edge.x1, y), (-x, edge.y2), (x, edge.y1), (edge.x1, edge.y2)]
+    pairs = F.array(*[record(a=a, b=b) for a, b in factors])
+    terms = F.flatten(F.transform(pairs, _product))
+    total = F.aggregate(terms, F.array().cast("array<double>"), _grown)
+    # The last part that is not zero is larger than all before it together.
+    return F.aggregate(total, F.lit(0.0), lambda sign, part: F.when(part != 0, part).otherwise(sign))
+
+
 def side(edge: Column, x: Column, y: Column) -> Column:
-    """Positive when the point is left of the upward edge, zero when on its line."""
-    return (edge.x2 - edge.x1) * (y - edge.y1) - (x - edge.x1) * (edge.y2 - edge.y1)
+    """Positive when the point is left of the upward edge, zero when on its line; the sign is exact.
+
+    Plain doubles decide wherever their error cannot reach the result; where they do not, ends of the edge are on
+    it, and only what is left is summed exactly. Products beyond the range of doubles are not covered.
+    """
+    left, right = (edge.x2 - edge.x1) * (y - edge.y1), (x - edge.x1) * (edge.y2 - edge.y1)
+    at_end = ((x == edge.x1) & (y == edge.y1)) | ((x == edge.x2) & (y == edge.y2))
+    return (
+        F.when(F.abs(left - right) > ROUNDING * (F.abs(left) + F.abs(right)), left - right)
+        .when(at_end, F.lit(0.0))
+        .otherwise(exact_side(edge, x, y))
+    )
 
 
 def between_x(edge: Column, x: Column) -> Column:
@@ -106,13 +164,10 @@ def covers_point(edges: Column, odd: Column, x: Column, y: Column) -> Column:
     """
 
     def step(acc, e):
-        s = side(e, x, y)
-        return (
-            F.when((acc == -1) | (y < e.y1) | (y > e.y2), acc)
-            .when((s == 0) & between_x(e, x), F.lit(-1))
-            .when((s > 0) & (y < e.y2), 1 - acc)
-            .otherwise(acc)
-        )
+        def placed(s):
+            return F.when((s == 0) & between_x(e, x), F.lit(-1)).when((s > 0) & (y < e.y2), 1 - acc).otherwise(acc)
+
+        return F.when((acc == -1) | (y < e.y1) | (y > e.y2), acc).otherwise(bound_once(side(e, x, y), placed))
 
     return F.when(F.size(edges) == 0, odd != 0).otherwise(F.aggregate(edges, odd, step) != 0)
 

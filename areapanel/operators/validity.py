@@ -130,8 +130,14 @@ def _on(s, edge, x, y):
 def _clash(a, b):
     """Edges that may not meet the way they do: a proper crossing, a common stretch, or a touch
     of two edges of one ring that are not neighbours."""
-    b1, b2 = geo.side(a, b.x1, b.y1), geo.side(a, b.x2, b.y2)
-    a1, a2 = geo.side(b, a.x1, a.y1), geo.side(b, a.x2, a.y2)
+    sides = geo.record(
+        b1=geo.side(a, b.x1, b.y1), b2=geo.side(a, b.x2, b.y2), a1=geo.side(b, a.x1, a.y1), a2=geo.side(b, a.x2, a.y2)
+    )
+    return geo.bound_once(sides, lambda s: _meet_badly(a, b, s.a1, s.a2, s.b1, s.b2))
+
+
+def _meet_badly(a, b, a1, a2, b1, b2):
+    """The same, given the sides of all four ends."""
     crossing = (F.signum(b1) * F.signum(b2) < 0) & (F.signum(a1) * F.signum(a2) < 0)
     stretch = F.when(
         a.y1 == a.y2, F.greatest(a.x1, b.x1) < F.least(a.x2, b.x2)

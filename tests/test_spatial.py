@@ -1,9 +1,12 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from conftest import plan_of, rows
 
+from areapanel.functions import geometry as geo
 from areapanel.operators import spatial
 from areapanel.plans import clean
 from areapanel.session import staged
@@ -265,3 +268,30 @@ def test_cells_are_prepared_once(spark, monkeypatch):
     points = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0)], "x double, y double")
     joined = spatial.assign_area(points, areas)
     assert "Window" not in plan_of(joined) and rows(joined) == [(0.5, 0.5, "1")] and len(calls) == 1
+
+
+def test_sides_are_exact(spark):
+    """Signs against rational arithmetic, for points on and a step beside slanted edges between decimal ends."""
+    import random
+    from fractions import Fraction
+
+    rng, cases = random.Random(4), []
+    for _ in range(400):
+        x1, y1, dx, dy = rng.randrange(9**5) / 1000, rng.randrange(9**5) / 1000, rng.randrange(1, 90) / 7, rng.randrange(1, 90) / 10
+        t = rng.randrange(0, 11) / 10
+        x, y = x1 + t * dx, y1 + t * dy
+        x = rng.choice([x, math.nextafter(x, 1e9), math.nextafter(x, -1e9)])
+        cases.append((x1, y1, x1 + dx, y1 + dy, x, y))
+    cases += [(0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (1e-3, 1e15, 1e15, 2e15, 0.5, 1e15), (0.5, 0.5, 12.0, 12.0, 24.0, 24.0)]
+    df = spark.createDataFrame(cases, "x1 double, y1 double, x2 double, y2 double, x double, y double")
+    edge = F.struct("x1", "y1", "x2", "y2")
+    got = [r[0] for r in df.select(F.signum(geo.bound_once(edge, lambda e: geo.side(e, F.col("x"), F.col("y"))))).collect()]
+    plain = 0
+    for sign, case in zip(got, cases):
+        x1, y1, x2, y2, x, y = map(Fraction, case)
+        true = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+        assert sign == (true > 0) - (true < 0)
+        x1, y1, x2, y2, x, y = case
+        rough = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+        plain += (rough > 0) - (rough < 0) != sign
+    assert plain > 0  # doubles alone get some of them wrong
