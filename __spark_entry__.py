@@ -398,12 +398,19 @@ def q_csv_by_name(spark, sf):
 
 
 def q_csv_multi_line(spark, sf):
-    """Customers whose name and segment stand on two lines of one quoted field."""
-    path = new_stage(spark, "customers")
-    note = F.concat(F.lit('"'), "c_name", F.lit('",\n'), "c_mktsegment").alias("note")
-    _write_lines(an.table(spark, sf, "customer"), path, ["c_custkey", note, "c_nationkey"])
-    schema = _schema(spark, "c_nationkey int, note string, c_custkey bigint")
-    return csv_files.read_csv_by_name(spark, path, schema, multi_line=True)
+    """Order lines and customers with one quoted field on several lines, and files whose quote stays open, which
+    are left out."""
+    path = new_stage(spark, "notes")
+    lines, customers = an.table(spark, sf, "lineitem"), an.table(spark, sf, "customer")
+    breaks = F.when(F.col("l_quantity") > 25, '",\r\n\n"').otherwise(',\n"",')
+    note = F.concat(F.lit('"'), "l_returnflag", breaks, "l_linestatus").alias("note")
+    _write_lines(lines, path, [F.col("l_orderkey").alias("key"), note, F.col("l_linenumber").alias("line")])
+    note = F.concat(F.lit('"'), "c_name", F.lit('",\n'), "c_mktsegment").alias("NOTE")
+    _write_lines(customers, path, [note, F.lit(0).alias("LINE"), F.col("c_custkey").alias("Key")])
+    lone = F.concat(F.lit('key,note\n1,"'), "r_name", F.lit("\n2,x")).alias("value")
+    an.table(spark, sf, "region").select(lone, "r_name").write.mode("append").partitionBy("r_name").text(path)
+    schema = _schema(spark, "key bigint, note string, line int")
+    return csv_files.read_csv_by_name(spark, f"{path}/*", schema, glob="*", multi_line=True)
 
 
 def q_csv_skip_bad_files(spark, sf):
@@ -869,7 +876,11 @@ def _plain_sql() -> dict[str, str]:
             SELECT l_orderkey AS order_key, l_linenumber AS line, l_quantity AS quantity,
               CASE WHEN l_returnflag = 'R' THEN 'R, "so"' END AS flag FROM lineitem""",
         "csv_multi_line": """
-            SELECT c_custkey, '"' || c_name || '",' || chr(10) || c_mktsegment AS note, c_nationkey FROM customer""",
+            SELECT l_orderkey AS key, '"' || l_returnflag || CASE WHEN l_quantity > 25
+              THEN '",' || chr(13) || chr(10) || chr(10) || '"' ELSE ',' || chr(10) || '"",' END || l_linestatus AS note,
+              l_linenumber AS line FROM lineitem
+            UNION ALL
+            SELECT c_custkey, '"' || c_name || '",' || chr(10) || c_mktsegment, 0 FROM customer""",
         "csv_skip_bad_files": """
             SELECT l_orderkey, l_linenumber, l_quantity AS quantity FROM lineitem WHERE l_linenumber <> 7""",
         "csv_nulls": """

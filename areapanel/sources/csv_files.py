@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from areapanel import settings
 from areapanel.functions import values as v
 from areapanel.session import staged
+from areapanel.sources.csv_records import opens_quote, quoted_records
 
 CORRUPT = "_corrupt_record"
 PROBED_TYPES = ("bigint", "double", "date", "timestamp", "boolean")
@@ -31,29 +32,30 @@ def read_csv_strings(spark: SparkSession, path, columns=None) -> DataFrame:
     return (reader.schema(strings(columns)) if columns else reader).csv(path)
 
 
-#: Stands for a line break inside quotes while a file is cut into records.
-BREAK = "\x01"
-
-
 def _records(spark: SparkSession, path, glob, multi_line=False) -> DataFrame:
-    """(file, line, record): every line of every file; ``line`` orders the lines of one file.
+    """(file, line, record, torn): every record of every file; ``line`` orders the records of one file and
+    ``torn`` marks records with a quote that is not closed.
 
-    With ``multi_line`` a file is read whole (one task a file) and line breaks inside quotes stay part
-    of their record. Files are named as the scan names them; no name passes through the driver.
+    With ``multi_line`` line breaks inside quotes are part of their record, else every line is a record.
+    Files are named as the scan names them; no name passes through the driver.
     """
-    scan = spark.read.option("pathGlobFilter", glob).text(path, wholetext=multi_line)
-    named = scan.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line"))
-    if not multi_line:
-        return named.select("file", "line", F.rtrim(F.col("value"), F.lit("\r")).alias("record"))
-    # Every second piece between quotes is inside a field; doubled quotes keep the count even.
-    pieces = F.transform(F.split("value", '"'), lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, "\r?\n", BREAK)).otherwise(x))
-    lines = F.posexplode(F.split(F.array_join(pieces, '"'), "\r?\n"))
-    return named.select("file", lines.alias("line", "record")).withColumn("line", F.col("line").cast("bigint"))
+    if multi_line:
+        return quoted_records(spark, path, glob)
+    scan = spark.read.option("pathGlobFilter", glob).text(path)
+    return scan.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("line"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("record"),
+        opens_quote(F.col("value")).alias("torn"),
+    )
 
 
 def _first_lines(records: DataFrame) -> DataFrame:
-    return records.groupBy("file").agg(F.min(F.struct("line", "record")).alias("first")).select(
-        "file", F.col("first.line").alias("first_line"), F.regexp_replace("first.record", r"^\x{FEFF}", "").alias("header")
+    return records.groupBy("file").agg(F.min(F.struct("line", "record", "torn")).alias("first")).select(
+        "file",
+        F.col("first.line").alias("first_line"),
+        F.regexp_replace("first.record", r"^\x{FEFF}", "").alias("header"),
+        F.col("first.torn").alias("torn_header"),
     )
 
 
@@ -99,27 +101,29 @@ def read_csv_by_name(
     ignored. A file with a row of the wrong width or a value that cannot be cast is left out as a
     whole when ``skip_bad_files`` is set, else it raises.
 
-    Fields with line breaks need ``multi_line``, which reads a file in one task (for small files such as
-    areas). Without it a quote that is still open at the end of its line raises, whatever
-    ``skip_bad_files`` says, because no part of such a file can be trusted.
+    Fields with line breaks need ``multi_line``; such files are read by many tasks as well. A quote that
+    stays open (to the end of the file, or without ``multi_line`` to the end of its line) makes its file a
+    bad one, because no part of it can be trusted. Quotes inside unquoted fields are plain characters.
     """
-    first = staged(_first_lines(_records(spark, path, glob, multi_line)), "headers")
-    headers = sorted(r[0] for r in first.select("header").distinct().collect())
-    if not headers:
+    records = _records(spark, path, glob, multi_line)
+    first = staged(_first_lines(records), "headers")
+    headers = sorted(r[0] for r in first.where("NOT torn_header").select("header").distinct().collect())
+    if not headers and first.isEmpty():
         raise FileNotFoundError(f"no file matches {glob} below {path}")
     names = _header_names(spark, headers)
     wanted = schema or strings(list(dict.fromkeys(n for h in headers for n in names[h])))
-    record = F.col("record")
-    if not multi_line:
-        quotes = F.length(record) - F.length(F.replace(record, F.lit('"'), F.lit("")))
-        fail = F.raise_error(F.concat(F.lit("a quote is open at the end of a line in "), F.col("file"))).cast("string")
-        record = F.when(quotes % 2 == 1, fail).otherwise(record)
     read = F.lit(None).cast(_row_type(wanted))
     for header in headers:
-        read = F.when(F.col("header") == header, _read_record(record, names[header], wanted, tokens)).otherwise(read)
-    records = _records(spark, path, glob, multi_line).join(first, "file")
-    records = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != ""))
-    rows = staged(records.select("file", read.alias("r")).select("file", "r.*"), "rows")
+        read = F.when(F.col("header") == header, _read_record(F.col("record"), names[header], wanted, tokens)).otherwise(read)
+    if not multi_line:
+        records = _records(spark, path, glob, multi_line)
+    records = records.join(first, "file")
+    # The only line of a file with a torn header stays, so that the file counts as a bad one.
+    records = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != "") | F.col("torn") | F.col("torn_header"))
+    torn = F.col("torn") | F.col("torn_header")
+    read = F.when(~torn, read)
+    rows = records.select("file", read.alias("r")).select("file", "r.*")
+    rows = staged(rows.withColumn(BROKEN, F.coalesce(BROKEN, F.lit(True))), "rows")
     columns = [F.col(f"`{f.name}`") for f in wanted.fields]
     if not skip_bad_files:
         fail = F.raise_error(F.concat(F.lit("bad row in "), F.col("file"))).cast("boolean")
@@ -157,7 +161,7 @@ def _read_record(record, names, wanted, tokens):
                 casts.append(F.lit(None).cast(field.dataType).alias(field.name))
                 continue
             text = parsed[plain[names.index(field.name.lower())]]
-            text = v.null_tokens(F.replace(text, F.lit(BREAK), F.lit("\n")), tokens)
+            text = v.null_tokens(text, tokens)
             cast = text.try_cast(field.dataType)
             broken = broken | (text.isNotNull() & cast.isNull())
             casts.append(cast.alias(field.name))
@@ -167,13 +171,13 @@ def _read_record(record, names, wanted, tokens):
 
 
 def bad_files(spark: SparkSession, path, columns, *, glob="*.csv", multi_line=False) -> DataFrame:
-    """Files with at least one row whose width differs from ``columns``, and their bad rows."""
+    """Files with at least one row whose width differs from ``columns`` or that holds an open quote, and their bad rows."""
     records = _records(spark, path, glob, multi_line)
     records = records.join(_first_lines(records).select("file", "first_line"), "file")
     wanted = strings(columns)
     read = _read_record(F.col("record"), [c.lower() for c in columns], wanted, ())
-    rows = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != ""))
-    rows = rows.select("file", read.alias("r")).where(f"r.{BROKEN}")
+    rows = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != "") | F.col("torn"))
+    rows = rows.select("file", "torn", read.alias("r")).where(f"torn OR r.{BROKEN}")
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"))
 
 
