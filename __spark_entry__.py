@@ -228,9 +228,9 @@ def q_run_stored_slope_table(spark, sf):
 
 
 def q_population_files(spark, sf):
-    """One landed document per year, whole files whose names hold a load date and the year."""
+    """Landed yearly documents whose names hold a load date and the year, each read by many tasks."""
     landed = an.land_yearly_documents(spark, sf, new_stage(spark, "population"))
-    return population.load_population(population.read_responses(spark, landed))
+    return population.load_population_rows(population.read_response_rows(spark, landed))
 
 
 def q_key_overlap(spark, sf):

@@ -6,7 +6,7 @@ Dirty rows come from column values (a discount of 0.1 is an unreadable latitude,
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areapanel import settings
@@ -260,23 +260,27 @@ def responses(spark, folder) -> DataFrame:
     return _yearly_people(spark, folder).select("year", body.alias("body"))
 
 
-def land_yearly_documents(spark, folder, path) -> str:
-    """One document per year below ``path``, in files such as ``20250105 acs_2014.json``.
-
-    A yearly response is one document by its nature, so its rows meet in one file here as well.
+def land_yearly_documents(spark, folder, path, areas=1 << 20) -> str:
+    """Responses below ``path`` in files such as ``20250105 acs_2014 part 0.json``: per year one document for every
+    ``areas`` numbers of areas, rows in order, written row by row.
     """
-    rows = F.sort_array(F.collect_list(F.array("name", "count", "area")))
-    documents = _yearly_people(spark, folder).groupBy("year").agg(
-        F.to_json(F.concat(F.array(_head()), rows)).alias("value")
-    )
-    documents.write.partitionBy("year").text(f"{path}/parts")
+    rows = _yearly_people(spark, folder).withColumn("part", F.floor(F.col("area").cast("bigint") / areas))
+    order = Window.partitionBy("year", "part").orderBy("area")
+    row = F.to_json(F.array("name", "count", "area"))
+    head = F.concat(F.lit("["), F.to_json(_head()), F.lit(",\n"))
+    begin = F.when(F.lag("area").over(order).isNull(), head).otherwise("")
+    end = F.when(F.lead("area").over(order).isNull(), "]").otherwise(",")
+    lines = rows.select("year", "part", "area", F.concat(begin, row, end).alias("value"))
+    lines = lines.sortWithinPartitions("year", "part", "area")
+    lines.select("value", "year", "part").write.partitionBy("year", "part").text(f"{path}/parts")
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(hadoop.Path(root, "landed"))
-    for part in files.globStatus(hadoop.Path(root, "parts/year=*/part-*")):
-        year = part.getPath().getParent().getName().rpartition("=")[2]
-        files.rename(part.getPath(), hadoop.Path(root, f"landed/20250105 acs_{year}.json"))
+    for file in files.globStatus(hadoop.Path(root, "parts/year=*/part=*/part-*")):
+        part = file.getPath().getParent()
+        year = part.getParent().getName().rpartition("=")[2]
+        files.rename(file.getPath(), hadoop.Path(root, f"landed/20250105 acs_{year} {part.getName().replace('=', ' ')}.json"))
     return f"{path}/landed"
 
 

@@ -103,8 +103,11 @@ def run(
         csv_files.read_csv_strings(spark, paths.values),
         years,
     )
-    responses = population.read_responses(spark, paths.responses, whole_files=whole_responses)
-    people = staged(population.load_population(responses, years), "people")
+    if whole_responses:
+        people = population.load_population_rows(population.read_response_rows(spark, paths.responses), years)
+    else:
+        people = population.load_population(population.read_responses(spark, paths.responses, whole_files=False), years)
+    people = staged(people, "people")
     final = staged(final_table(analytical, people, years), "final")
     slopes = staged(views.slope_table(final), "slopes")
 
