@@ -133,11 +133,12 @@ def area_cells(
 
 @dataclass(frozen=True)
 class Measure:
-    """Size of prepared cells in bytes, the grid levels in use, and the type a cell index needs."""
+    """Size of prepared cells in bytes, the grid levels in use, the type a cell index needs, and the number of cells."""
 
     size: int
     levels: tuple
     index: str
+    cells: int
 
 
 def measured_cells(areas: DataFrame, **options) -> tuple[DataFrame, Measure]:
@@ -149,11 +150,12 @@ def measured_cells(areas: DataFrame, **options) -> tuple[DataFrame, Measure]:
         F.sum(F.lit(ROW_BYTES) + F.length("ZIP_Code") + F.size("edges") * EDGE_BYTES).alias("bytes"),
         F.bit_or(F.expr("shiftleft(1L, level)")).alias("levels"),
         F.max(F.greatest(*indexes)).alias("largest"),
+        F.count(F.lit(1)).alias("cells"),
     )
     cells = staged(cells, "cells")
     row = seen.get
     levels = tuple(i for i in range(63) if (row["levels"] or 0) >> i & 1)
-    return cells, Measure(row["bytes"] or 0, levels, "int" if (row["largest"] or 0) < 2**31 else "bigint")
+    return cells, Measure(row["bytes"] or 0, levels, "int" if (row["largest"] or 0) < 2**31 else "bigint", row["cells"])
 
 
 def _with_cell(points: DataFrame, levels, grid: float, index="bigint") -> DataFrame:
@@ -172,6 +174,43 @@ def _with_cell(points: DataFrame, levels, grid: float, index="bigint") -> DataFr
     )
 
 
+def cell_bits(cells: DataFrame, measure: Measure, most_bytes: int) -> tuple[DataFrame, int] | None:
+    """(cell_bucket, covered, border) and the number of bits: bitmaps over a hash of the cell, 16 bits a cell, of the cells that some area
+    covers or touches and of those that an edge passes. None where both take more than ``most_bytes``.
+
+    Two cells may share a bit, so a set bit says perhaps and a clear one says no.
+    """
+    slots = 2 ** max(15, (16 * measure.cells).bit_length())
+    if slots // 4 > most_bytes:
+        return None
+    bit = F.bitmap_bit_position(_slot(slots))
+    bits = cells.groupBy(F.bitmap_bucket_number(_slot(slots)).alias("cell_bucket")).agg(
+        F.bitmap_construct_agg(bit).alias("covered"),
+        F.bitmap_construct_agg(F.when(F.size("edges") > 0, bit)).alias("border"),
+    )
+    return staged(bits, "cell_bits"), slots
+
+
+def _slot(slots) -> Column:
+    return F.pmod(F.xxhash64(*CELL), F.lit(slots).cast("bigint")) + 1
+
+
+def _has(bitmap, at) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def _covered(placed: DataFrame, bits) -> DataFrame:
+    """Points whose cell may belong to an area; ``at_border`` says whether an edge may pass their cell."""
+    if bits is None:
+        return placed.withColumn("at_border", F.lit(True))
+    table, slots = bits
+    at = F.bitmap_bit_position(_slot(slots))
+    placed = placed.withColumn("cell_bucket", F.bitmap_bucket_number(_slot(slots)))
+    found = placed.join(F.broadcast(table), "cell_bucket").where(_has("covered", at))
+    return found.withColumn("at_border", _has("border", at)).drop("cell_bucket", "covered", "border")
+
+
 def hot_cells(placed: DataFrame, hot_rows: int) -> DataFrame:
     """(cell, salts) of every cell with more than ``hot_rows`` points: one salt per ``hot_rows`` points."""
     load = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
@@ -203,41 +242,57 @@ def assign_area(
     max_cells: int = settings.MAX_CELLS,
     broadcast_bytes: int = settings.BROADCAST_BYTES,
     hot_rows: int = settings.HOT_ROWS,
+    bitmap_bytes: int = settings.BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of points (x, y) with the areas they lie in or on, adding ZIP_Code.
 
     A point on a shared edge belongs to both areas, overlapping areas repeat the point, points
     outside every area vanish. The cells are broadcast only when their measured size allows it;
-    beyond that the points are written once to the shared folder, hot cells are found there, and
-    both sides are shuffled by cell with the hot cells salted.
+    beyond that points whose cell no area covers are dropped at the scan by a bitmap, the others are written
+    once to the shared folder, hot cells are found there, and both sides are shuffled by cell with the hot
+    cells salted.
     """
     cells, measure = measured_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
     if not measure.levels:
         return points.withColumn("ZIP_Code", F.lit("")).where(F.lit(False))
-    return _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows)
+    return _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows, bitmap_bytes)
 
 
-def _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows):
-    columns = [F.col(f"`{c}`") for c in points.columns]
-    small = measure.size <= broadcast_bytes
-    if not small:
-        points = staged(points, "points").withColumn("position", F.monotonically_increasing_id())
+def _join_cells(points, cells, measure, grid, broadcast_bytes, hot_rows, bitmap_bytes):
     placed = _with_cell(points, measure.levels, grid, measure.index)
-    cells = cells.withColumns({c: F.col(c).cast(measure.index) for c in ("cx", "cy")})
-    keys = list(CELL)
-    if small:
-        cells = F.broadcast(cells)
-    else:
-        placed, cells = _salted(placed, cells, hot_cells(placed, hot_rows))
-        keys.append("salt")
-        cells = cells.hint("merge")
-    return (
-        placed.join(cells, keys)
-        .where(geo.covers_point(F.col("edges"), F.col("odd"), F.col("x"), F.col("y")))
-        .select(*columns, "ZIP_Code")
+    cells = _indexed(cells, measure)
+    if measure.size <= broadcast_bytes:
+        return _inside(placed.join(F.broadcast(cells), CELL), points.columns)
+    placed = _covered(placed, cell_bits(cells, measure, bitmap_bytes)).drop("at_border")
+    return _inside(_shuffled(placed, cells, hot_rows), points.columns)
+
+
+def _indexed(cells, measure):
+    return cells.withColumns({c: F.col(c).cast(measure.index) for c in ("cx", "cy")})
+
+
+def _shuffled(placed, cells, hot_rows):
+    placed = staged(placed, "points").withColumn("position", F.monotonically_increasing_id())
+    placed, cells = _salted(placed, cells, hot_cells(placed, hot_rows))
+    return placed.join(cells.hint("merge"), [*CELL, "salt"])
+
+
+def _inside(joined, columns):
+    return joined.where(geo.covers_point(F.col("edges"), F.col("odd"), F.col("x"), F.col("y"))).select(
+        *[F.col(f"`{c}`") for c in columns], "ZIP_Code"
     )
 
 
+def _tiers(placed: DataFrame, columns) -> DataFrame:
+    """Points counted together before they are shuffled: of a cell without edges all points of a month and category,
+    of other cells only equal points. One point of the cell stands for all, as no edge tells them apart."""
+    rest = [c for c in columns if c not in ("x", "y")]
+    exact = [F.when(F.col("at_border"), F.col(c)).alias(f"exact_{c}") for c in ("x", "y")]
+    return placed.groupBy(*CELL, *rest, *exact).agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), F.count(F.lit(1)).alias("n")
+    ).drop("exact_x", "exact_y")
+
+
 def count_by_area(
     points: DataFrame,
     areas: DataFrame,
@@ -248,19 +303,24 @@ def count_by_area(
     max_cells: int = settings.MAX_CELLS,
     broadcast_bytes: int = settings.BROADCAST_BYTES,
     hot_rows: int = settings.HOT_ROWS,
+    bitmap_bytes: int = settings.BROADCAST_BYTES,
 ) -> DataFrame:
     """Points per (area, month, year) and category: the join and the count in one step.
 
     With broadcast cells the points are never shuffled, only partial counts are. When the cells
-    are too large, points of equal place, month and category are first counted together, so
-    copies of a point cross the shuffle once.
+    are too large, points of cells that no edge passes are first counted by cell, month and category; of border
+    cells equal points are counted together. Points of cells outside all areas are dropped at the scan.
     """
     cells, measure = measured_cells(areas, grid=grid, max_cells=max_cells, bounds=bounds)
     slim = points.select("x", "y", "Month_Date", "Year", "Crime_Category")
     if not measure.levels:
         joined = slim.withColumn("ZIP_Code", F.lit("")).where(F.lit(False))
         return aggregate_categories(joined, categories)
-    if measure.size > broadcast_bytes:
-        slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("n"))
-    joined = _join_cells(slim, cells, measure, grid, broadcast_bytes, hot_rows)
+    if measure.size <= broadcast_bytes:
+        joined = _join_cells(slim, cells, measure, grid, broadcast_bytes, hot_rows, bitmap_bytes)
+        return aggregate_categories(joined, categories)
+    cells = _indexed(cells, measure)
+    placed = _covered(_with_cell(slim, measure.levels, grid, measure.index), cell_bits(cells, measure, bitmap_bytes))
+    counted = _tiers(placed, slim.columns)
+    joined = _inside(_shuffled(counted, cells, hot_rows), [*slim.columns, "n"])
     return aggregate_categories(joined, categories)

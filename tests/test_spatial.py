@@ -205,6 +205,7 @@ BOUNDS = ((-88.0, -87.5), (41.5, 42.1))
         {"max_cells": 30, "bounds": BOUNDS},
         {"broadcast_bytes": 0, "bounds": BOUNDS, "hot_rows": 5},
         {"broadcast_bytes": 0, "max_cells": 50, "grid": 400},
+        {"broadcast_bytes": 0, "max_cells": 50, "bitmap_bytes": 0},
     ],
 )
 def test_against_brute_force(random_case, options):
@@ -222,10 +223,35 @@ def test_counts_agree_between_broadcast_and_shuffle(spark, random_case):
     near = rows(spatial.count_by_area(copies, areas, bounds=BOUNDS))
     far = rows(spatial.count_by_area(copies, areas, bounds=BOUNDS, broadcast_bytes=0, hot_rows=10))
     assert near == far
+    for more in ({"grid": 400, "max_cells": 50}, {"bitmap_bytes": 0}, {"grid": 900}):
+        assert near == rows(spatial.count_by_area(copies, areas, broadcast_bytes=0, **more)), more
     base = rows(spatial.count_by_area(events, areas, bounds=BOUNDS))
     assert sum(r[3] + r[4] for r in base) == len(expected)
 
 
+def test_points_outside_go_and_whole_cells_are_counted_before_the_shuffle(spark):
+    areas = clean.clean_boundaries(raw_areas(spark, [("a", SQUARE)]))
+    cells, measure = spatial.measured_cells(areas, grid=4)
+    cells = spatial._indexed(cells, measure)
+    bits = spatial.cell_bits(cells, measure, 1 << 20)
+    assert spatial.cell_bits(cells, measure, 100) is None
+    points = spark.range(20_000).selectExpr(
+        "(id % 200) / 10 - 10 as x", "floor(id / 200) / 5 - 10 as y", "date'2020-01-01' as Month_Date", "2020 as Year",
+        "'Violent' as Crime_Category",
+    )
+    placed = spatial._with_cell(points, measure.levels, 4, measure.index)
+    left = staged(spatial._covered(placed, bits), "left")
+    known = {tuple(r) for r in cells.select("cx", "cy").collect()}
+    inside = sum(tuple(r) in known for r in placed.select("cx", "cy").collect())
+    assert inside <= left.count() < inside + 600 < 20_000
+    border = {tuple(r) for r in cells.where("size(edges) > 0").select("cx", "cy").collect()}
+    counted = spatial._tiers(left, points.columns)
+    got = counted.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    plain = [r for r in got if (r["cx"], r["cy"]) in known - border]
+    assert plain and all(r["rows"] <= r["n"] for r in plain) and any(r["rows"] == 1 < r["n"] for r in plain)
+    assert sum(r["n"] for r in got) == left.count()
+
+
 def test_hot_cell_is_salted(spark):
     areas = clean.clean_boundaries(raw_areas(spark, [("a", SQUARE), ("b", SQUARE)]))
     points = spark.range(3000).selectExpr("id", "if(id < 1000, 1.5, 3 * rand(1)) as x", "1.5 as y")
