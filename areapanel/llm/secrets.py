@@ -2,19 +2,22 @@
 
 Every text is scanned for three kinds of base spans (assignments, access keys, long hex runs) and for
 free candidates: runs of letters and digits that mix both. Each candidate value is hashed, and the
-corpus is asked how many distinct repositories and owners hold it. A value that many owners copy is
-an example; one that stays with a single owner, is long and varied, and is not already part of a
-base span looks live and becomes a further span of kind ``owned``. Base spans always stay; how their
-values are spread is reported beside them.
-
-A match's place follows from the lengths of the pieces between matches, in code points. Values are
-combined per (value, repository, owner) before they move, so a value that a third of all texts holds
-arrives as one row per input task and owner; candidates meet their figures again in a join by value,
-whose skewed keys adaptive execution splits.
+corpus is asked how many distinct owners, repositories and texts hold it. A value that many owners or
+repositories copy, or many texts of one owner, is an example; one that stays with a single owner in few
+repositories and texts, is long and varied, and is not already part of a base span looks live and
+becomes a further span of kind ``owned``. Base spans always stay; how their values are spread is
+reported beside them.
+
+A match's place follows from the lengths of the pieces between matches, in code points; matches are
+folded in runs of ``RUN``, so a text of very many matches is not copied once per match. The distinct
+counts are taken in two steps, first by value and what is counted, then by value with partial counts in
+the tasks, so a value that a third of all texts holds never gathers in one task; candidates meet their
+figures again in a join by value, whose skewed keys adaptive execution splits.
 
 Defined results: a null text is empty; a null repository or owner counts as one of its own; repeated
-rows are scanned row by row but add nothing to distinct counts; null ids are kept; an empty table
-gives no rows; further columns are ignored.
+rows are scanned row by row but add nothing to distinct counts, nor do equal texts under other ids to
+that of texts; null ids are kept; texts are scanned whole at any length; an empty table gives no rows;
+further columns are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +36,12 @@ KINDS = ("assign", "access", "hex", "owned")
 #: A free candidate, and what makes its value live-looking and its spread narrow.
 CANDIDATE_LEAST = 16
 LEAST_VARIETY = 8
-MOST_OWNERS = 1
-#: From so many owners on a value counts as a copied example.
-EXAMPLE_OWNERS = 3
+MOST_OWNERS, MOST_REPOSITORIES, MOST_TEXTS = 1, 2, 8
+#: From so many owners or repositories on, or beyond ``MOST_TEXTS`` texts, a value counts as a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
+
+#: Matches of one text that are folded together.
+RUN = 256
 
 #: Texts with spans, and spans of one text, up to which the spans go to the texts; more are joined.
 BROADCAST_TEXTS, BROADCAST_SPANS = 1 << 16, 64
@@ -51,7 +57,6 @@ def _found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     each = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
     each = F.filter(each, lambda x: x["whole"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("spans"))
 
     def step(state, x):
         begin = state["at"] + F.length(x["gap"])
@@ -59,7 +64,22 @@ def _found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(each, start, step, lambda state: state["spans"])
+    def run(state, part):
+        begin = F.struct(state["at"].alias("at"), F.array().cast(NONE).alias("spans"))
+        found = F.aggregate(part, begin, step)
+        # One element, so that the run is folded once for both fields.
+        return F.get(F.transform(F.array(found), lambda f: F.struct(
+            f["at"].alias("at"), F.concat(state["runs"], F.array(f["spans"])).alias("runs")
+        )), F.lit(0))
+
+    def runs(matches):
+        last = F.greatest(F.size(matches) - 1, F.lit(0))
+        numbers = F.sequence(F.lit(0), F.floor(last / RUN).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(matches, i * RUN + 1, RUN))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NONE}>").alias("runs"))
+    folded = F.transform(F.array(each), lambda matches: F.aggregate(runs(matches), begin, run, lambda state: F.flatten(state["runs"])))
+    return F.get(folded, F.lit(0))
 
 
 def _only(text: Column, clue: str, pattern: str, kind: int, test, group: int = 0) -> Column:
@@ -102,10 +122,19 @@ def text_of(spans: Column) -> Column:
     )
 
 
+def _narrow(j: Column) -> Column:
+    return (j["owners"] <= MOST_OWNERS) & (j["repositories"] <= MOST_REPOSITORIES) & (j["texts"] <= MOST_TEXTS)
+
+
+def _copied(j: Column) -> Column:
+    return (j["owners"] >= EXAMPLE_OWNERS) | (j["repositories"] >= EXAMPLE_REPOSITORIES) | (j["texts"] > MOST_TEXTS)
+
+
 def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """doc_id, key, spans (base spans first decided, then owned ones), n_example, n_live per row.
+    """doc_id, key, base, spans (base and owned ones), spread, n_example, n_live per row.
 
-    ``key`` tells rows apart by id and text; rows that are equal in both share it. By default the
+    ``key`` tells rows apart by id and text; rows that are equal in both share it. ``spread`` holds the
+    start, kind, owners, repositories and texts of every candidate's value. By default the
     repository is source and language, the owner is the source.
     """
     owner = F.col("source") if owner is None else owner
@@ -116,35 +145,40 @@ def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None
         key_of(docs).alias("key"),
         F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
         base_spans(text).alias("base"),
         candidates(text).alias("free"),
     )
     found = staged(found, "spans")
     both = F.concat("base", "free")
     held = found.where(F.size("base") + F.size("free") > 0)
-    each = held.select("key", "repository", "owner", F.explode(both).alias("s"))
-    each = each.select("key", "repository", "owner", F.sha2("s.value", 256).alias("hash"), "s")
-    places = each.groupBy("hash", "repository", "owner").agg(F.lit(1).alias("one"))
-    spread = (
-        places.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-        .groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    each = held.select("key", "repository", "owner", "digest", F.explode(both).alias("s"))
+    each = each.select("key", "repository", "owner", "digest", F.sha2("s.value", 256).alias("hash"), "s")
+    spread = each.groupBy("hash").agg(
+        F.count_distinct("owner").alias("owners"),
+        F.count_distinct("owner", "repository").alias("repositories"),
+        F.count_distinct("digest").alias("texts"),
     )
     judged = each.select("key", "hash", "s").distinct().join(spread, "hash")
     spans = judged.groupBy("key").agg(
-        F.collect_list(F.struct("s", "owners", "repositories")).alias("judged")
+        F.collect_list(F.struct("s", "owners", "repositories", "texts")).alias("judged")
     )  # the spans of one text
-    owned = F.filter("judged", lambda j: (j["s"]["kind"] == 3) & (j["owners"] <= MOST_OWNERS))
+    owned = F.filter("judged", lambda j: (j["s"]["kind"] == 3) & _narrow(j))
     owned = F.transform(owned, lambda j: j["s"])
     free = F.filter(owned, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    base_of = lambda test: F.size(F.filter("judged", lambda j: (j["s"]["kind"] < 3) & test(j["owners"])))
+    base_of = lambda test: F.size(F.filter("judged", lambda j: (j["s"]["kind"] < 3) & test(j)))
     joined = found.select("doc_id", "key", "base").join(spans, "key", "left")
+    places = F.transform("judged", lambda j: F.struct(
+        j["s"]["start"].alias("start"), j["s"]["kind"].alias("kind"), j["owners"], j["repositories"], j["texts"]
+    ))
     return joined.select(
         "doc_id",
         "key",
         "base",
+        F.coalesce(F.array_sort(places), F.array()).alias("spread"),
         F.when(F.col("judged").isNull(), F.col("base")).otherwise(_ordered(F.concat("base", free))).alias("spans"),
-        F.when(F.col("judged").isNull(), 0).otherwise(base_of(lambda n: n >= EXAMPLE_OWNERS)).cast("long").alias("n_example"),
-        F.when(F.col("judged").isNull(), 0).otherwise(base_of(lambda n: n <= MOST_OWNERS)).cast("long").alias("n_live"),
+        F.when(F.col("judged").isNull(), 0).otherwise(base_of(_copied)).cast("long").alias("n_example"),
+        F.when(F.col("judged").isNull(), 0).otherwise(base_of(_narrow)).cast("long").alias("n_live"),
     )
 
 
@@ -178,8 +212,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = staged(found.select("key", places.alias("spans")), "found")
     if found.count() <= BROADCAST_TEXTS and (found.agg(F.max(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         found = F.broadcast(found)
-    keyed = docs.withColumn("__key", key_of(docs))
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    key, spans = (_new_name(docs, name) for name in ("key", "spans"))
+    keyed = docs.withColumn(key, key_of(docs))
+    joined = keyed.join(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left")
     text = F.col("text")
 
     def step(state, s):
@@ -187,8 +222,16 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", begin, step, lambda e: F.concat(e["out"], F.substring(text, e["at"] + 1, F.length(text))))
-    new = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean))
+    clean = F.aggregate(spans, begin, step, lambda e: F.concat(e["out"], F.substring(text, e["at"] + 1, F.length(text))))
+    new = joined.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return new.select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _new_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
