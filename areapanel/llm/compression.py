@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Judge:
     found = []
     for part in (0, 1):
         picked = F.broadcast(class_sample(known.where(half == part), {0: SAMPLE, 1: SAMPLE}, seed=part))
-        rows = short.join(picked, "doc_id").select("y", F.col("text").cast("binary").alias("text")).collect()
+        rows = short.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+        rows = rows.select("y", F.col("text").cast("binary").alias("text")).collect()  # a text for each picked id
         found.append([(r["y"], bytes(r["text"])) for r in rows])
     return fit(*found, label_share(known))
 

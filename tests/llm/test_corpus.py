@@ -399,6 +399,46 @@ def test_secrets(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_secrets_spread(spark):
+    """Owners, repositories and texts all decide; equal texts count once."""
+    kept, wide, often, same = "q7Wm2Zt9Lk4Xc8Vb3Np6", "a1B2c3D4e5F6g7H8j9K0", "Zz9Yy8Xx7Ww6Vv5Uu4Tt", "m1N2b3V4c5X6z7L8k9J0"
+    rows = [(i, f"{kept} {i}", "en", "a") for i in range(2)]
+    rows += [(10 + i, f"{wide} in {i}", lang, "a") for i, lang in enumerate(("en", "de", "fr"))]
+    rows += [(20 + i, f"{often} is {i}", "en", "a") for i in range(secrets.MOST_TEXTS + 1)]
+    rows += [(40 + i, f"only {same}", "en", "a") for i in range(3 * secrets.MOST_TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    scanned = secrets.scan(df)
+    spread = {r["doc_id"]: [tuple(x)[2:] for x in r["spread"]] for r in scanned.collect()}
+    assert (spread[0], spread[10], spread[20], spread[40]) == ([(1, 1, 2)], [(1, 3, 3)], [(1, 1, 9)], [(1, 1, 1)])
+    owned = {r["doc_id"] for r in secrets.digests(scanned).collect() if "owned" in r["spans"]}
+    assert owned == {0, 1, *range(40, 40 + 3 * secrets.MOST_TEXTS)}
+
+
+def test_secrets_many_matches(spark):
+    """More matches in a text than one run holds, a text of a megabyte, and columns named like the working ones."""
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    texts = ["😀 token=ab12cd34 " * n for n in (0, 1, 255, 256, 257, 600)] + ["word " * 250_000 + "secret=abcdef"]
+    df = spark.createDataFrame([(i, t, "en", "a", i, "x", "y.z") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, Key long, spans string, `a.b` string")
+    want = {i: ",".join(f"assign:{m.start()}:{m.end()}" for m in assign.finditer(t)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan(df)).collect()} == want
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    got = {r["doc_id"]: r for r in clean.collect()}
+    assert got[5]["text"] == "😀 [SECRET] " * 600 and got[5]["Key"] == 5 and got[6]["text"].endswith(" [SECRET]")
+
+
+def test_quality_sample_takes_one_text_of_an_id(spark):
+    """An id that comes many times is fitted once; labels, not rows, bound what reaches the driver."""
+    rows = [(i, ("good text %d " % i) * 9 if i % 2 else ("bad !!! %d " % i) * 9) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.unionByName(once).unionByName(once)
+    scores = [
+        {r["doc_id"]: r["score"] for r in compression.score(once, compression.train(df, labels)).collect()} for df in (once, often)
+    ]
+    assert scores[0] == scores[1]
+
+
 # --- 8: context trees ---------------------------------------------------------------------
 
 
