@@ -6,6 +6,7 @@ population are derived from the star-schema tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from areapanel.operators import checks, lags, panel, reshape, spatial
 from areapanel.operators.dedupe import dedupe_by_key
 from areapanel.plans import clean, pipeline, views
 from areapanel.session import new_stage, spread
-from areapanel.sources import contracts, csv_files, population
+from areapanel.sources import contracts, csv_files, inferred, population, tables
 
 #: What the corpus queries need; without any of it the other queries are registered alone.
 _CORPUS_NEEDS = ("areapanel.llm", "areapanel.llm.queries", "corpus_pipeline", "public_tokenizers", "tokenizers")
@@ -440,6 +441,35 @@ def q_infer_types(spark, sf):
     return csv_files.probe_types(text)
 
 
+def _inferred_table(spark, sf):
+    """A table made from landed files of two column orders and date forms, by its name in a schema of its own."""
+    path, schema = new_stage(spark, "typed"), f"typed_{uuid.uuid4().hex}"
+    lines = an.table(spark, sf, "lineitem").withColumn("odd", F.col("l_linenumber") % 2)
+    day = F.when(F.col("odd") == 1, F.date_format("l_shipdate", "MM/dd/yyyy")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    text = lines.select(
+        F.col("l_orderkey").alias("Order_Key"), F.col("l_linenumber").alias("Line"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("Zip"),
+        F.concat(F.lit("1"), F.lpad(F.col("l_orderkey").cast("string"), 24, "0")).alias("Wide"), F.col("l_quantity").alias("Quantity"),
+        F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("Tax"), day.alias("Shipped"), (F.col("l_returnflag") == "R").alias("Returned"), "odd",
+    )
+    _write_lines(text.where("odd = 0"), path, text.columns[:-1])
+    _write_lines(text.where("odd = 1"), path, [F.col(c).alias(c.upper()) for c in reversed(text.columns[:-1])])
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{new_stage(spark, 'tables')}'")
+    inferred.table_from_text(csv_files.read_csv_by_name(spark, path), f"{schema}.lines")
+    return f"{schema}.lines"
+
+
+def q_inferred_table(spark, sf):
+    """A typed table created from text, loaded by name and read back."""
+    lines = spark.table(_inferred_table(spark, sf))
+    exact = {c: F.col(c).cast("double") for c in ("quantity", "tax")}
+    return lines.withColumns(exact | {"wide": F.col("wide").cast("string")})
+
+
+def q_inferred_columns(spark, sf):
+    """The columns and types of that table as the catalog describes them."""
+    return tables.describe_table(spark, _inferred_table(spark, sf))
+
+
 def _schema(spark, ddl):
     return spark.createDataFrame([], ddl).schema
 
@@ -889,4 +919,19 @@ def _plain_sql() -> dict[str, str]:
               CAST(l_quantity AS VARCHAR) AS "Quantity",
               CASE WHEN l_returnflag = 'R' THEN 'R, "so"' END AS "Flag" FROM lineitem""",
         "infer_types": _probe_sql(),
+        "inferred_table": """
+            SELECT l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line, lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS zip,
+              '1' || lpad(CAST(l_orderkey AS VARCHAR), 24, '0') AS wide, CAST(l_quantity AS DOUBLE) AS quantity,
+              CASE WHEN l_tax > 0.02 THEN CAST(l_tax AS DOUBLE) END AS tax, CAST(l_shipdate AS DATE) AS shipped,
+              l_returnflag = 'R' AS returned
+            FROM lineitem""",
+        "inferred_columns": """
+            WITH numbers AS (
+              SELECT 'quantity' AS c, CAST(l_quantity AS VARCHAR) AS t FROM lineitem
+              UNION ALL SELECT 'tax', CAST(l_tax AS VARCHAR) FROM lineitem WHERE l_tax > 0.02),
+            digits AS (
+              SELECT c, max(length(ltrim(split_part(t, '.', 1), '0'))) AS b, max(length(split_part(t, '.', 2))) AS a FROM numbers GROUP BY c)
+            SELECT c AS "column", 'decimal(' || (b + a) || ',' || a || ')' AS "type" FROM digits
+            UNION ALL VALUES ('order_key', 'bigint'), ('line', 'bigint'), ('zip', 'string'), ('wide', 'decimal(25,0)'),
+              ('shipped', 'date'), ('returned', 'boolean')""",
     }

@@ -50,11 +50,26 @@ def _records(spark: SparkSession, path, glob, multi_line=False) -> DataFrame:
     )
 
 
+def _no_mark(record):
+    """A line without the byte order mark a file may begin with."""
+    return F.regexp_replace(record, r"^\x{FEFF}", "")
+
+
+def _is_data(multi_line):
+    """Lines that are no header, blank line or torn line.
+
+    Records with line breaks are written once, so a header is found by its number. Plain lines are scanned
+    anew, perhaps in other splits, so there every line that equals its file's header counts as one.
+    """
+    header = F.col("line") == F.col("first_line") if multi_line else _no_mark(F.col("record")) == F.col("header")
+    return ~header & (F.trim("record") != "")
+
+
 def _first_lines(records: DataFrame) -> DataFrame:
     return records.groupBy("file").agg(F.min(F.struct("line", "record", "torn")).alias("first")).select(
         "file",
         F.col("first.line").alias("first_line"),
-        F.regexp_replace("first.record", r"^\x{FEFF}", "").alias("header"),
+        _no_mark(F.col("first.record")).alias("header"),
         F.col("first.torn").alias("torn_header"),
     )
 
@@ -96,8 +111,8 @@ def read_csv_by_name(
     """Load CSV files whose headers may differ in order and letter case.
 
     Names are matched without regard to case, missing columns are null. The text is read twice: once
-    for the first lines, once for all records, which then meet their file's header. Only the
-    distinct headers come to the driver. With a ``schema`` values are cast to it and other columns
+    for the first lines, once for all records, which then meet their file's header; without ``multi_line``
+    every line that equals its file's header is one. Only the distinct headers come to the driver. With a ``schema`` values are cast to it and other columns
     ignored. A file with a row of the wrong width or a value that cannot be cast is left out as a
     whole when ``skip_bad_files`` is set, else it raises.
 
@@ -119,7 +134,7 @@ def read_csv_by_name(
         records = _records(spark, path, glob, multi_line)
     records = records.join(first, "file")
     # The only line of a file with a torn header stays, so that the file counts as a bad one.
-    records = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != "") | F.col("torn") | F.col("torn_header"))
+    records = records.where(_is_data(multi_line) | F.col("torn") | F.col("torn_header"))
     torn = F.col("torn") | F.col("torn_header")
     read = F.when(~torn, read)
     rows = records.select("file", read.alias("r")).select("file", "r.*")
@@ -173,10 +188,10 @@ def _read_record(record, names, wanted, tokens):
 def bad_files(spark: SparkSession, path, columns, *, glob="*.csv", multi_line=False) -> DataFrame:
     """Files with at least one row whose width differs from ``columns`` or that holds an open quote, and their bad rows."""
     records = _records(spark, path, glob, multi_line)
-    records = records.join(_first_lines(records).select("file", "first_line"), "file")
+    records = records.join(_first_lines(records).select("file", "first_line", "header"), "file")
     wanted = strings(columns)
     read = _read_record(F.col("record"), [c.lower() for c in columns], wanted, ())
-    rows = records.where((F.col("line") != F.col("first_line")) & (F.trim("record") != "") | F.col("torn"))
+    rows = records.where(_is_data(multi_line) | F.col("torn"))
     rows = rows.select("file", "torn", read.alias("r")).where(f"torn OR r.{BROKEN}")
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"))
 
