@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from areapanel.functions import geometry as geo
+from areapanel.operators.cycles import cyclic
 from areapanel.session import staged
 
 MAX_SIDE = 2048  # grid rows of one polygon
@@ -155,9 +156,9 @@ def _meet_badly(a, b, a1, a2, b1, b2):
 def cut_areas(polygons: DataFrame) -> DataFrame:
     """Keys of polygons with a part whose holes cut its interior in two.
 
-    Rings that do not cross meet in single points. Take the rings of a part and these points as
-    the nodes of a graph, joined where a ring passes a point: the interior is in one piece exactly
-    when the graph has no cycle. The touches of one part are folded in one row, like the part itself.
+    Rings that do not cross meet in single points. Link every ring that passes a point to the first
+    ring that does: the interior is in one piece exactly when the rings of a part and these links have no
+    cycle. Links are rows throughout, so a part may hold any number of touching holes.
     """
     cells = _edge_cells(polygons.where(F.size("rings") > 1)).select("area_key", "cy", "cx", "part", "ring", "e")
     left, right = cells.alias("a"), cells.alias("b")
@@ -169,26 +170,17 @@ def cut_areas(polygons: DataFrame) -> DataFrame:
 
     ends = F.array(end(a, b.x1, b.y1), end(a, b.x2, b.y2), end(b, a.x1, a.y1), end(b, a.x2, a.y2))
     met = left.join(right.hint("merge"), [*place, F.col("a.ring") < F.col("b.ring"), F.exists(ends, lambda p: p.isNotNull())])
+    whole = lambda p: F.struct((p.x + 0.0).alias("x"), (p.y + 0.0).alias("y"))  # noqa: E731  (no negative zero)
     touches = (
         met.select("a.area_key", "a.part", F.explode(F.array("a.ring", "b.ring")).alias("ring"), F.filter(ends, lambda p: p.isNotNull()).alias("ends"))
-        .select("area_key", "part", "ring", F.explode("ends").alias("p"))
+        .select("area_key", "part", "ring", F.explode(F.transform("ends", whole)).alias("p"))
         .distinct()
     )
-    node = F.struct(
-        F.concat(F.lit("ring "), F.col("ring")).alias("u"), F.concat_ws(" ", F.lit("point"), "p.x", "p.y").alias("v")
-    )
-    start = F.struct(F.array().cast("array<array<string>>").alias("groups"), F.lit(False).alias("cycle"))
-
-    def add(state, edge):
-        has = lambda g: F.array_contains(g, edge.u) | F.array_contains(g, edge.v)
-        both = F.exists(state.groups, lambda g: F.array_contains(g, edge.u) & F.array_contains(g, edge.v))
-        mine = F.array_union(F.flatten(F.filter(state.groups, has)), F.array(edge.u, edge.v))
-        rest = F.filter(state.groups, lambda g: ~has(g))
-        return F.struct(F.concat(rest, F.array(mine)).alias("groups"), (state.cycle | both).alias("cycle"))
-
-    parts = touches.groupBy("area_key", "part").agg(F.sort_array(F.collect_list(node)).alias("edges"))
-    cyclic = F.aggregate("edges", start, add, lambda state: state.cycle)
-    return parts.where(cyclic).select("area_key").distinct()
+    touches = staged(touches, "touches")
+    point = ["area_key", "part", "p"]
+    first = touches.groupBy(*point).agg(F.min("ring").alias("first"))
+    links = touches.join(first, point).where("ring <> first").select("area_key", "part", F.col("first").alias("a"), F.col("ring").alias("b"))
+    return cyclic(links, ["area_key", "part"]).select("area_key").distinct()
 
 
 def crossing_areas(polygons: DataFrame) -> DataFrame:
