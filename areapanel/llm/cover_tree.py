@@ -3,7 +3,8 @@
 Vectors are scaled to length one, where cosine >= c means a distance of at most t = sqrt(2 - 2c).
 Equal vectors of a label are one point with a weight. The upper levels of the tree are tables: a
 node with more than ``LEAF`` points is covered by balls of half its radius around centres picked
-from a bounded sample of its points, every point goes to its nearest centre, and the true covering
+from a bounded sample of its points, as far as ``CENTRES`` balls suffice (else they stay larger, which
+prunes less and changes no link), every point goes to its nearest centre, and the true covering
 radius of a child is measured over all of its points. Pairs of nodes are then followed from the
 root down: a pair lives on if the distance of its centres minus both radii is at most t. Only leaf
 pairs that survive are brought together, one task per pair, where the same halving goes on inside
@@ -16,7 +17,7 @@ links themselves, so a group of near copies stays linear.
 Defined results: a vector that is null, of length zero, or holds null or non-finite components, and a
 vector with a null label or id, links with nothing and is its own component; vectors of different
 dimension never link; repeated ids link like other rows, and each row is returned; an empty table
-gives no rows.
+gives no rows; further columns are ignored.
 """
 
 import numpy as np
