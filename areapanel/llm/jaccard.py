@@ -28,16 +28,14 @@ id links with nothing and its component is null; an empty table gives no rows.
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.session import staged
 
 from . import textscan
-from .common import components, importable, mapped
+from .common import components, importable, mapped, split_by_ids
 
-#: So many candidate ids (8 bytes each) are sent to the tasks that read their texts; more are joined.
-BROADCAST_IDS = 1 << 20
 #: Documents of a group that are compared in one task, and columns of a matrix of shingles.
 BLOCK = 512
 COLUMNS = 4096
@@ -132,13 +130,10 @@ def shingle_sets(data, offsets, width):
     return values, owners, np.bincount(owners, minlength=len(offsets) - 1)
 
 
-def _lists(values, sizes, binary=False):
+def _lists(values, sizes):
     import pyarrow as pa
 
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    if binary:
-        raw = pa.py_buffer(np.ascontiguousarray(values).tobytes())
-        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), raw])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
@@ -148,50 +143,43 @@ def _digests(values, sizes):
     return [hashlib.blake2b(raw[8 * (e - s) : 8 * e], digest_size=16).digest() for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def index_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its index entries and probes."""
+def set_rows(docs: DataFrame, width: int, percent: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and digest of the set; with ``percent`` also the set's index entries and probes."""
     import pyarrow as pa
 
     def rows(batches):
-        bands = Bands(percent, 1 << 30)
+        bands = percent and Bands(percent, 1 << 30)
         for batch in batches:
             for first, data, offsets in textscan.slices(batch.column(1)):
                 values, owners, sizes = shingle_sets(data, offsets, width)
-                entry_owner, entry = entries(values, owners, sizes, percent, bands)
-                order = np.argsort(entry_owner, kind="stable")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(sizes)),
-                        pa.array(sizes),
-                        pa.array(_digests(values, sizes), pa.binary()),
-                        _lists(entry[order], np.bincount(entry_owner, minlength=len(sizes))),
-                    ],
-                    names=["doc_id", "n_shingles", "digest", "entries"],
-                )
+                found = {
+                    "doc_id": batch.column(0).slice(first, len(sizes)),
+                    "n_shingles": pa.array(sizes),
+                    "digest": pa.array(_digests(values, sizes), pa.binary()),
+                }
+                if percent:
+                    entry_owner, entry = entries(values, owners, sizes, percent, bands)
+                    order = np.argsort(entry_owner, kind="stable")
+                    found["entries"] = _lists(entry[order], np.bincount(entry_owner, minlength=len(sizes)))
+                yield pa.RecordBatch.from_pydict(found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, digest binary, entries array<long>"
+    schema = f"doc_id {kind}, n_shingles long, digest binary" + (", entries array<long>" if percent else "")
     return mapped(docs.select("doc_id", "text"), rows, schema)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    import pyarrow as pa
-
-    def rows(batches):
-        for batch in batches:
-            for first, data, offsets in textscan.slices(batch.column(1)):
-                values, _, sizes = shingle_sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(sizes)),
-                        pa.array(_digests(values, sizes), pa.binary()),
-                        _lists(values, sizes, binary=True),
-                    ],
-                    names=["doc_id", "digest", "set"],
-                )
+def _entries(docs: DataFrame, copies: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, place, probing) of every row but copies; ``probing`` is the id where the entry is a probe.
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "text"), rows, f"doc_id {kind}, digest binary, set binary")
+    Entries are made anew from the texts and go straight into the one shuffle that they need.
+    """
+    perhaps, others = split_by_ids(docs.select("doc_id", "text"), copies)
+    own = set_rows(perhaps, width, percent).join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "entries")
+    every = own.union(set_rows(others, width, percent).select("doc_id", "entries")).where("doc_id IS NOT NULL")
+    probe = F.col("entry").bitwiseAND(F.lit(1)) == 1
+    return every.select("doc_id", F.explode("entries").alias("entry")).select(
+        "doc_id", F.shiftright("entry", 1).alias("place"), F.when(probe, F.col("doc_id")).alias("probing")
+    )
 
 
 def similar_pairs(left, right, percent):
@@ -245,19 +233,23 @@ def forest(near, ids_left, ids_right):
             root = root[root]
 
 
-def _links(blocks: DataFrame, sets: DataFrame, keys: list, percent: int) -> DataFrame:
+def _links(blocks: DataFrame, texts: DataFrame, keys: list, width: int, percent: int) -> DataFrame:
     """Spanning links (a, b) inside every block: rows (keys, doc_id, side), side 0 against side 1.
 
-    Rows of side 2 stand on both sides.
+    Rows of side 2 stand on both sides. Texts travel instead of their sets: compressed they are a third as long.
     """
     import pyarrow as pa
 
-    ready = importable(blocks.join(sets, "doc_id").select(*keys, "doc_id", "side", "set"))
+    ready = importable(blocks.join(texts, "doc_id").select(*keys, "doc_id", "side", "text"))
 
     def compare(table):
         side = table.column("side").to_numpy()
         ids = table.column("doc_id").to_numpy()
-        values = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        values = []
+        for chunk in table.column("text").chunks:
+            for _, data, offsets in textscan.slices(chunk):
+                found, _, sizes = shingle_sets(data, offsets, width)
+                values += np.split(found, np.cumsum(sizes)[:-1])
         pick = [np.flatnonzero(side != other) for other in (1, 0)]
         near = similar_pairs(*[[values[i] for i in rows] for rows in pick], percent)
         edges = forest(near, ids[pick[0]], ids[pick[1]])
@@ -269,34 +261,27 @@ def _links(blocks: DataFrame, sets: DataFrame, keys: list, percent: int) -> Data
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) for every row of ``docs``."""
-    rows = staged(index_rows(docs, width, percent), "entries")
+    rows = staged(set_rows(docs, width), "sizes")
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = staged(
-        real.select("doc_id", "digest").join(classes, "digest").where("doc_id <> first").select("doc_id", "digest", "first").distinct(),
-        "copies",
-    )
-    probe = F.col("entry").bitwiseAND(F.lit(1)) == 1
-    entry = real.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("entries").alias("entry"))
-    entry = entry.select("doc_id", F.shiftright("entry", 1).alias("place"), probe.alias("probes"))
-    shared = (
-        entry.groupBy("place")
-        .agg(F.min(F.when(F.col("probes"), F.col("doc_id"))).alias("pivot"), F.count("*").alias("n"))
-        .where("n > 1 AND pivot IS NOT NULL")
-        .select("place", "pivot")
-    )
-    members = entry.select("place", "doc_id").join(shared, "place").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
-    members = staged(members, "members")
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = staged(real.join(classes, "digest").groupBy("doc_id", "digest", "first").agg(F.count("*").alias("n")), "equal")
+    copies, repeated = equal.where("doc_id <> first"), not equal.where("n > 1").isEmpty()
+    # Entries are shuffled once: the pivot of a place is found where its entries lie.
+    pivot = F.min("probing").over(Window.partitionBy("place"))
+    members = _entries(docs, copies, width, percent).withColumn("pivot", pivot)
+    members = staged(members.where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "members")
     many = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     many = staged(many, "blocks")
-    wanted = staged(members.select("doc_id").union(members.select("pivot")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(_sized(wanted), "doc_id", "left_semi")
-    sets = staged(_sets(texts, width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "sets")
+
+    def texts(ids):
+        found, _ = split_by_ids(docs.select("doc_id", "text"), ids)
+        return found.dropDuplicates() if repeated else found
 
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     own = members.join(many, "pivot").select("pivot", block.alias("block"), "doc_id", F.lit(2).alias("side"))
     heads = many.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.lit(2).alias("side"))
-    found = staged(_links(own.union(heads), sets, ["pivot", "block"], percent), "links")
+    wanted = staged(members.select("doc_id").union(many.select("pivot")).distinct(), "wanted")
+    found = staged(_links(own.union(heads), texts(wanted), ["pivot", "block"], width, percent), "links")
     copied = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     roots = staged(components(copied.union(found)), "roots")
 
@@ -313,7 +298,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         F.ceil(F.col("main.n") / F.lit(BLOCK)).cast("int").alias("mains"),
         F.ceil((F.col("n") - F.col("main.n")) / F.lit(BLOCK)).cast("int").alias("others"),
     )
-    large = large.join(open_groups, "pivot")
+    large = staged(large.join(open_groups, "pivot"), "open")
     is_main, spread = F.col("root") == F.col("main"), F.xxhash64("doc_id")
     other = F.pmod(spread, F.col("others")).cast("int")
     through = lambda n: F.sequence(F.lit(0), n - 1)
@@ -333,8 +318,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     )
     placed = F.when(is_main, main_names).otherwise(F.concat(against_main, among))
     across = large.select("pivot", "doc_id", F.explode(placed).alias("at")).select("pivot", "at.block", "doc_id", "at.side")
-    more = staged(_links(across, sets, ["pivot", "block"], percent), "links")
-    if not more.isEmpty():
+    if not large.isEmpty():
+        wanted = staged(large.select("doc_id").distinct(), "wanted")
+        more = staged(_links(across, texts(wanted), ["pivot", "block"], width, percent), "links")
         joined = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
         roots = staged(components(joined), "roots")
     named = roots.select(F.col("node").alias("doc_id"), "root")
@@ -352,13 +338,9 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = staged(repeated, "repeated")
-    kept = docs.join(_sized(gone), "doc_id", "left_anti")
+    perhaps, kept = split_by_ids(docs, gone.union(repeated))
+    perhaps = perhaps.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not repeated.isEmpty():
-        once = kept.join(_sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(_sized(repeated), "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
-
-
-def _sized(ids: DataFrame) -> DataFrame:
-    """Ids to broadcast up to ``BROADCAST_IDS``, so that the texts stay where they are; else to join."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        once = perhaps.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        perhaps = perhaps.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.unionByName(perhaps).select(*docs.columns)

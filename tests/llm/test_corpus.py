@@ -28,7 +28,7 @@ from areapanel.llm import (
     token_files,
     tokens,
 )
-from areapanel.llm.common import components
+from areapanel.llm.common import components, split_by_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -663,3 +663,19 @@ def test_budgets_meet_every_similar_pair():
         places = [{int(e) >> 1: int(e) & 1 for e in sorted(entry[owner == k].tolist())} for k in (0, 1)]
         common = set(places[0]) & set(places[1])
         assert any(places[0][p] or places[1][p] for p in common)
+
+
+def test_jaccard_passes_no_ids_through_the_driver(copies, monkeypatch):
+    """Bitmaps are broadcast, ids are not; what no bitmap names is told apart exactly."""
+    sent, original = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or original(df))
+    jaccard.keep_first(copies)
+    assert sent and not any("doc_id" in columns for columns in sent)
+
+
+def test_rows_are_split_by_ids(spark):
+    df = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(5000)], "doc_id long, text string")
+    perhaps, others = split_by_ids(df, df.where("doc_id % 3 = 0").select("doc_id"))
+    ids = [sorted(r["doc_id"] or 0 for r in part.collect()) for part in (perhaps, others)]
+    assert sorted(ids[0] + ids[1]) == sorted(i if i % 50 else 0 for i in range(5000))
+    assert {i for i in range(5000) if i % 3 == 0 and i % 50} <= set(ids[0]) and len(ids[1]) > 2800
