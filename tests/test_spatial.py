@@ -321,3 +321,15 @@ def test_sides_are_exact(spark):
         rough = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
         plain += (rough > 0) - (rough < 0) != sign
     assert plain > 0  # doubles alone get some of them wrong
+
+
+def test_cells_of_many_large_areas_follow_their_edges(spark):
+    """Forty areas of 160,000 fine cells each: few cells are written, and every point finds its areas."""
+    text = "POLYGON (({0} 0, {1} 0, {1} 2, {0} 2, {0} 0))"
+    areas = [(str(k), text.format(k * 0.5, k * 0.5 + 2)) for k in range(40)]
+    _, measure = spatial.measured_cells(clean.clean_boundaries(raw_areas(spark, areas)))
+    assert measure.cells < 40 * 64 * 4 * 2
+    points = [(x / 8, y) for x in range(-1, 180, 7) for y in (0, 0.75, 2)]
+    want = sorted((str(p), str(k)) for p in points for k in range(40) if k * 0.5 <= p[0] <= k * 0.5 + 2)
+    for options in ({}, {"broadcast_bytes": 0}):
+        assert place(spark, areas, points, **options) == want
