@@ -43,7 +43,8 @@ def quoted_records(spark: SparkSession, path, glob, chunk=CHUNK, longest=LONGEST
     cannot be trusted: all lines, one by one, of a file that ends inside quotes, and (without its text) a
     record of more than ``longest`` characters. Files are split as Spark splits text, compressed ones are one
     task. Lines are numbered once and written, so all later steps see the same numbers; the text is shuffled
-    once, in groups of ``chunk`` lines. One row a chunk goes through the window over a file.
+    once, in groups of ``chunk`` lines, under a number for its file instead of the path. One row a chunk goes
+    through the window over a file.
     """
     scan = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     numbered = scan.select(
@@ -53,32 +54,35 @@ def quoted_records(spark: SparkSession, path, glob, chunk=CHUNK, longest=LONGEST
         "value",
     )
     lines = staged(numbered.withColumn("effect", line_effect(F.col("value"))), "lines")
+    files = lines.select(F.col("file").alias("path")).distinct().withColumn("file", F.monotonically_increasing_id())
+    files = staged(files, "files")
+    lines = lines.withColumnRenamed("file", "path").join(files, "path").drop("path")
     lines = lines.withColumn("chunk", F.floor(F.col("id") / chunk))
-    pieces = staged(_pieces(lines, _begins(_chunks(lines))), "pieces")
+    begins = staged(_begins(_chunks(lines)), "begins")
+    pieces = staged(_pieces(lines, begins), "pieces")
     line = F.struct("at_block", "at_id").alias("line")
     whole = pieces.where("whole").select("file", line, "record", "torn")
-    return whole.unionByName(_joined(pieces.where("NOT whole"), longest).select("file", line, "record", "torn"))
+    records = whole.unionByName(_joined(pieces.where("NOT whole"), longest).select("file", line, "record", "torn"))
+    return records.join(files, "file").select(F.col("path").alias("file"), "line", "record", "torn")
+
+
+def _effects():
+    """What a line sets the state to, null where it does not, and how often it turns it."""
+    effect = F.col("effect")
+    return F.when(effect == CLOSES, 0).when(effect == OPENS, 1), F.when(effect == TURNS, 1).otherwise(0)
 
 
 def _chunks(lines) -> DataFrame:
     """(file, block, chunk, s0, o0, s1, o1): for both states before a chunk the state after it and the line
-    that last went from outside to inside. Only lines that can change the state are collected."""
-    marks = F.collect_list(F.when(F.col("effect") != SAME, F.struct("id", "effect")))
-
-    def step(fold, mark):
-        fields = []
-        for s in ("0", "1"):
-            after = F.getbit(mark["effect"], fold["s" + s]).cast("int")
-            went = (fold["s" + s] == 0) & (after == 1)
-            fields += [after.alias("s" + s), F.when(went, mark["id"]).otherwise(fold["o" + s]).alias("o" + s)]
-        return F.struct(*fields)
-
-    none = F.lit(None).cast("bigint")
-    begin = F.struct(F.lit(0).alias("s0"), none.alias("o0"), F.lit(1).alias("s1"), none.alias("o1"))
-    folded = lines.groupBy("file", "block", "chunk").agg(F.sort_array(marks).alias("marks"))
-    return folded.select("file", "block", "chunk", F.aggregate("marks", begin, step).alias("f")).select(
-        "file", "block", "chunk", "f.*"
-    )
+    that last went from outside to inside. Texts stay where they are, and no lines are collected."""
+    order, found = Window.partitionBy("file", "block", "chunk").orderBy("id"), []
+    lines = lines.select("file", "block", "chunk", "id", "effect")
+    for s in (0, 1):
+        lines = _composed(lines, *_effects(), F.lit(s), order).withColumnRenamed("after", f"after{s}")
+        before, after = F.coalesce(F.lag(f"after{s}").over(order), F.lit(s)), F.col(f"after{s}")
+        lines = lines.withColumn(f"opens{s}", F.when((before == 0) & (after == 1), F.col("id")))
+        found += [F.max_by(after, "id").alias(f"s{s}"), F.max(f"opens{s}").alias(f"o{s}")]
+    return lines.groupBy("file", "block", "chunk").agg(*found)
 
 
 def _composed(df, fixed, turns, before, order) -> DataFrame:
@@ -113,10 +117,7 @@ def _pieces(lines, begins) -> DataFrame:
     ``at_`` names the line that a record begins with."""
     order = Window.partitionBy("file", "block", "chunk").orderBy("id")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    effect = F.col("effect")
-    fixed = F.when(effect == CLOSES, 0).when(effect == OPENS, 1)
-    turns = F.when(effect == TURNS, 1).otherwise(0)
-    state = _composed(lines.join(begins, ["file", "block", "chunk"]), fixed, turns, F.col("entry"), order)
+    state = _composed(lines.join(begins, ["file", "block", "chunk"]), *_effects(), F.col("entry"), order)
     before = F.coalesce(F.lag("after").over(order), "entry")
     state = state.withColumn("starts", F.col("torn") | (before == 0))
     state = state.withColumn("start", F.last(F.when(F.col("starts"), F.col("id")), ignorenulls=True).over(so_far))

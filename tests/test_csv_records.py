@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from areapanel.sources import csv_files
+from areapanel.sources import csv_files, csv_records
 from areapanel.sources.csv_records import quoted_records
 
 
@@ -106,3 +106,13 @@ def test_too_long_a_record_makes_a_bad_file(spark, tmp_path):
 def test_no_line_at_all(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert quoted_records(spark, str(tmp_path), "*.csv").count() == 0
+
+
+def test_no_path_goes_with_the_lines(spark, tmp_path, monkeypatch):
+    """Lines, marks and pieces name their file by a number; the paths come back in the end."""
+    kinds, original = {}, csv_records.staged
+    monkeypatch.setattr(csv_records, "staged", lambda df, name: kinds.update({name: dict(df.dtypes)}) or original(df, name))
+    (tmp_path / "a.csv").write_text('k,"x\ny"\n1,2\n')
+    got = quoted_records(spark, str(tmp_path), "*.csv", 2).collect()
+    assert sorted(r["record"] for r in got) == ["1,2", 'k,"x\ny"'] and {r["file"][-5:] for r in got} == {"a.csv"}
+    assert kinds["pieces"]["file"] == kinds["begins"]["file"] == "bigint"
