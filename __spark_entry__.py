@@ -370,16 +370,23 @@ def _line_text(spark, sf):
 
 
 def _write_lines(df, path, columns, *folders):
-    (
-        df.select(*columns, *folders)
-        .write.mode("append")
-        .partitionBy(*folders)
-        .option("header", True)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    """A task keeps a file open in each of few folders; else it would sort all its rows by folder first."""
+    conf, writers = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers)
+    conf.set(writers, "32")
+    try:
+        (
+            df.select(*columns, *folders)
+            .write.mode("append")
+            .partitionBy(*folders)
+            .option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
+    finally:
+        conf.set(writers, before)
 
 
 def q_csv_by_name(spark, sf):

@@ -66,7 +66,11 @@ def _is_data(multi_line):
 
 
 def _first_lines(records: DataFrame) -> DataFrame:
-    return records.groupBy("file").agg(F.min(F.struct("line", "record", "torn")).alias("first")).select(
+    """One row a file. Least structs alone would make Spark sort all lines by file; beside a collected list, which
+    is empty, every task keeps one line a file in a hash table."""
+    none = F.collect_list(F.when(F.col("line").isNull(), F.col("line")))
+    first = records.groupBy("file").agg(F.min(F.struct("line", "record", "torn")).alias("first"), none.alias("none"))
+    return first.where(F.size("none") == 0).select(
         "file",
         F.col("first.line").alias("first_line"),
         _no_mark(F.col("first.record")).alias("header"),
@@ -143,7 +147,9 @@ def read_csv_by_name(
     if not skip_bad_files:
         fail = F.raise_error(F.concat(F.lit("bad row in "), F.col("file"))).cast("boolean")
         return rows.where(F.when(F.col(BROKEN), fail).otherwise(True)).select(*columns)
-    return rows.join(rows.where(BROKEN).select("file").distinct(), "file", "left_anti").select(*columns)
+    # Written first, so that Spark knows how few they are and leaves the rows where they lie.
+    bad = staged(rows.where(BROKEN).select("file").distinct(), "bad_files")
+    return rows.join(bad, "file", "left_anti").select(*columns)
 
 
 def _header_names(spark, headers) -> dict:

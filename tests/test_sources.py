@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from conftest import plan_of, rows
 from pyspark.sql import types as T
 
 from areapanel.sources import contracts, csv_files, tables
@@ -198,3 +198,13 @@ def test_string_scan_refuses_mixed_headers(spark, tmp_path):
     assert rows(got.select("b")) == [("2",)]
     same = put(tmp_path, c_dot_csv="a,b\n5,6\n")
     assert rows(csv_files.read_csv_strings(spark, [same + "/a.csv", same + "/c.csv"]).select("b")) == [("2",), ("6",)]
+
+
+def test_first_lines_and_bad_files_move_no_rows(spark, tmp_path):
+    """First lines are found without sorting all lines, and files are left out without shuffling all rows."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"a,b\n{k},2\n3," + ("x\n" if k == 1 else "4\n"))
+    assert "SortAggregate" not in plan_of(csv_files.file_headers(spark, str(tmp_path)))
+    read = csv_files.read_csv_by_name(spark, str(tmp_path), spark.createDataFrame([], "a int, b int").schema)
+    assert "SortMergeJoin" not in plan_of(read) and "Exchange hash" not in plan_of(read)
+    assert rows(read) == [(0, 2), (2, 2), (3, 4), (3, 4)]
