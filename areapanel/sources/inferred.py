@@ -50,46 +50,56 @@ def _digits(cut: Column) -> tuple[Column, Column]:
     return F.length(before), F.length(F.regexp_extract(cut, r"\.(\d*)$", 1))
 
 
-def _known(text: Column, keep_leading_zeros: bool) -> Column:
-    """What one value says: kinds that read it, digits before and after the point."""
-    cut = F.trim(text)
-    padded = cut.rlike(r"^[+-]?0\d[\d.eE+-]*$") if keep_leading_zeros else F.lit(False)
+def _known(cut: Column, plain: Column, keep_leading_zeros: bool) -> Column:
+    """What one trimmed value says: kinds that read it, digits before and after the point; ``plain`` says whether it
+    has the form of a plain number."""
+    begins_low = F.substring(cut, 1, 1).isin("0", "+", "-")
+    padded = begins_low & cut.rlike(r"^[+-]?0\d[\d.eE+-]*$") if keep_leading_zeros else F.lit(False)
     floating = cut.rlike(FLOATING_FORM) | F.lower(cut).isin("nan", "inf", "-inf", "infinity", "-infinity")
+    point = F.instr(cut, ".")
     kinds = (
         F.when(padded, 0)
-        .when(cut.rlike(r"^[+-]?\d+$"), WHOLE | PLAIN | FLOATING)
-        .when(cut.rlike(PLAIN_FORM), PLAIN | FLOATING)
+        .when(plain & (point == 0), WHOLE | PLAIN | FLOATING)
+        .when(plain, PLAIN | FLOATING)
         .when(floating, FLOATING)
         .when(_date(cut).isNotNull(), DATE | TIME)
         .when(_time(cut).isNotNull(), TIME)
         .when(_truth(cut).isNotNull(), TRUTH)
         .otherwise(0)
     )
-    before, after = (F.when(cut.rlike(PLAIN_FORM), n) for n in _digits(cut))
-    return F.when(text.isNotNull(), F.struct(kinds.alias("kinds"), before.alias("before"), after.alias("after")))
+    # A plain number begins with one sign at most, so signs and zeros can go together.
+    before = F.when(plain, F.length(F.substring_index(F.ltrim(cut, F.lit("+-0")), ".", 1)))
+    after = F.when(plain, F.when(point > 0, F.length(cut) - point).otherwise(0))
+    return F.when(cut.isNotNull(), F.struct(kinds.alias("kinds"), before.alias("before"), after.alias("after")))
 
 
-def _joined(known, prefix: str = ""):
+def _joined(known):
     """The aggregates that join records or single values."""
     return [
-        F.bit_and(known("kinds")).alias(f"{prefix}kinds"),
-        F.coalesce(F.max(known("before")), F.lit(0)).alias(f"{prefix}before"),
-        F.coalesce(F.max(known("after")), F.lit(0)).alias(f"{prefix}after"),
+        F.bit_and(known("kinds")).alias("kinds"),
+        F.coalesce(F.max(known("before")), F.lit(0)).alias("before"),
+        F.coalesce(F.max(known("after")), F.lit(0)).alias("after"),
     ]
 
 
 def infer(df: DataFrame, keep_leading_zeros: bool = True) -> DataFrame:
-    """(place, column, n, kinds, before, after): a record per text column of ``df``, by one aggregation.
+    """(place, column, n, kinds, before, after): a record per text column of ``df``, by one scan.
 
     With ``keep_leading_zeros`` a column with values such as ``00601`` is text.
     """
     names = _names(df.columns)
-    values = df.select(*[_known(F.col(_quoted(c)), keep_leading_zeros).alias(f"v{i}") for i, c in enumerate(df.columns)])
-    found = values.agg(*[
-        column
-        for i in range(len(names))
-        for column in (F.count(f"v{i}").alias(f"v{i}_n"), *_joined(lambda part, i=i: F.col(f"v{i}.{part}"), f"v{i}_"))
-    ])
+    # One row a value: the expressions of all columns side by side make code that the JVM does not compile.
+    pairs = [F.struct(F.lit(i).alias("place"), F.trim(F.col(_quoted(c))).alias("cut")) for i, c in enumerate(df.columns)]
+    cuts = df.select(F.inline(F.array(*pairs))).where("cut IS NOT NULL")
+    forms = cuts.withColumn("plain", F.col("cut").rlike(PLAIN_FORM))
+    values = forms.select("place", _known(F.col("cut"), F.col("plain"), keep_leading_zeros).alias("v"))
+    each = values.groupBy("place").agg(F.count("v").alias("n"), *_joined(lambda part: F.col(f"v.{part}")))
+
+    def of(i, part):
+        found = F.max(F.when(F.col("place") == i, F.col(part)))
+        return (found if part == "kinds" else F.coalesce(found, F.lit(0))).alias(f"v{i}_{part}")
+
+    found = each.agg(*[of(i, part) for i in range(len(names)) for part in ("n", "kinds", "before", "after")])
     records = [
         F.struct(
             F.lit(i).alias("place"), F.lit(name).alias("column"),
@@ -147,7 +157,8 @@ def create_table(spark: SparkSession, name: str, columns: dict[str, str]) -> Non
     spark.sql(f"CREATE TABLE {name} ({listed}) USING parquet")
 
 
-def _read(text: Column, kind: str, column: str) -> Column:
+def _read(text: Column, kind: str) -> Column:
+    """The value of a text, null where the type cannot hold it."""
     cut = F.trim(text)
     if kind == "string":
         return text
@@ -161,6 +172,10 @@ def _read(text: Column, kind: str, column: str) -> Column:
         value = cut.try_cast(kind)
         if kind.startswith("decimal"):  # a value that would be rounded does not fit
             value = F.when(_digits(cut)[1] <= int(kind[:-1].split(",")[1]), value)
+    return value
+
+
+def _checked(value: Column, text: Column, kind: str, column: str) -> Column:
     wrong = F.concat(F.lit(f"no {kind} in column {column}: "), text)
     return F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(wrong).cast(kind))
 
@@ -170,12 +185,17 @@ def load_by_name(df: DataFrame, name: str) -> None:
     are null and others of ``df`` are left out. A value that its column's type cannot hold stops the load."""
     spark = df.sparkSession
     given = dict(zip(_names(df.columns), df.columns))
-    columns = []
-    for field in spark.table(name).schema.fields:
+    values, columns = [], []
+    for i, field in enumerate(spark.table(name).schema.fields):
         kind, own = field.dataType.simpleString(), given.get(field.name.lower())
-        value = F.lit(None).cast(kind) if own is None else _read(F.col(_quoted(own)), kind, field.name)
-        columns.append(value.alias(field.name))
-    df.select(*columns).write.insertInto(name)
+        if own is None:
+            columns.append(F.lit(None).cast(kind).alias(field.name))
+            continue
+        text, value = F.col(_quoted(own)), F.col(f"v{i}")
+        values += [text.alias(f"t{i}"), _read(text, kind).alias(f"v{i}")]
+        columns.append((value if kind == "string" else _checked(value, F.col(f"t{i}"), kind, field.name)).alias(field.name))
+    # Values are read in a step of their own, once each, and checked in the next.
+    df.select(*values).select(*columns).write.insertInto(name)
 
 
 def table_from_text(df: DataFrame, name: str, keep_leading_zeros: bool = True) -> None:

@@ -84,3 +84,13 @@ def test_repeated_header_lines_are_no_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿k,v\n1,x\nk,v\n2,y\n")
     (tmp_path / "b.csv").write_text("V,K\nk,3\n")
     assert rows(csv_files.read_csv_by_name(spark, str(tmp_path)), "k", "v") == [("1", "x"), ("2", "y"), ("3", "k")]
+
+
+def test_forms_of_numbers_are_tried_once_a_value(spark):
+    values = ["-007.50", "+.5", "3.", "12", "-0", "0.05", "0012", "1e5", " 7 ", None]
+    df = spark.createDataFrame([(v,) for v in values], "a string")
+    for given, want in [(["-7.50", "+.5", "3.", " 12 ", None], (4, 6, 2, 2)), (["+0012", "5"], (2, 7, 2, 0)), (["1e5", "2"], (2, 4, 1, 0))]:
+        found = inferred.infer(spark.createDataFrame([(v,) for v in given], "a string"), keep_leading_zeros=False).first()
+        assert (found["n"], found["kinds"], found["before"], found["after"]) == want
+    plan = inferred.infer(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(inferred.PLAIN_FORM) == 1
