@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.functions import values as v
+from areapanel.session import staged
 
 #: Distinct values of one area and month that a task takes; beyond it the month is cut into slices.
 GROUP_ROWS = 100_000
@@ -33,14 +34,19 @@ def _sliced(level: DataFrame, keys, value: str, group_rows: int) -> DataFrame:
     """Adds ``slice``: 0 for most months, ranges of about equal size for months of very many values.
 
     The ranges follow the values' own quantiles, so values that lie close together are cut as well.
-    Slices never fall as the value rises; nulls, which sort last, are a slice of their own.
+    Slices never fall as the value rises; nulls, which sort last, are a slice of their own. The large months are
+    written first: without any nothing is joined, and few are broadcast.
     """
+    number = F.col(value)
     large = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_rows).drop("rows")
+    large = staged(large, "large_months")
+    if large.isEmpty():
+        return level.withColumn("slice", F.when(number.isNull(), SLICES).otherwise(0))
     shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
     cuts = level.join(large, keys).groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, shares, F.lit(8 * SLICES))).alias("cuts")
     )
-    number = F.col(value)
+    cuts = staged(cuts, "cuts")
     below = F.size(F.filter("cuts", lambda c: c <= number))
     place = F.when(number.isNull(), SLICES).when(F.col("cuts").isNull(), 0).otherwise(below)
     return level.join(cuts, keys, "left").withColumn("slice", place).drop("cuts")

@@ -222,3 +222,9 @@ def test_observed_counts(spark):
     df, years = checks.observe_years(df.selectExpr("cast(2014 + id as int) as Year"), "years")
     assert df.where("Year > 2015").count() == 5
     assert seen.get["rows"] == 7 and years.get["max_year"] == 2020 and years.get["null_years"] == 0
+
+
+def test_months_without_many_values_are_not_joined(spark):
+    df = spark.createDataFrame([("a", D(2020, 1, k), float(k), 1.0) for k in range(1, 5)], "ZIP_CODE string, Month_Date date, ZHVI_Value double, w double")
+    plan = plan_of(lags.average_growth(df, carried=["w"]))
+    assert "Join" not in plan and "ObjectHashAggregate" not in plan
