@@ -22,6 +22,7 @@ steps of the fold, each over the whole word.
 
 import base64
 import json
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +41,7 @@ MARK = np.uint32(1 << 31)
 SURROGATES = 0xD800
 _CHUNK = 1 << 20
 #: Distinct stretches that a worker keeps, about 40 bytes each; then it starts anew.
-KNOWN_STRETCHES = 500_000
+KNOWN_STRETCHES = 250_000
 
 
 def read_ranks(path: str) -> dict:
@@ -154,10 +155,10 @@ def folder(path: str):
 
 
 class Vocabulary:
-    """Rank map, byte characters and the pattern, as the tasks need them."""
+    """Byte characters and the pattern, as the tasks need them."""
 
     def __init__(self, ranks: dict, pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+        self.pattern = pattern
         self.bytes = {b: ord(symbol([ranks[bytes([b])]])) for b in range(256)}
 
     def words(self, stretches):
@@ -212,31 +213,33 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 class Lexicon:
-    """Known words by hash, with their ids one after another."""
+    """Known words by hash, with their ids one after another; numbers are as narrow as they can be."""
 
     def __init__(self, hashes, sizes, ids):
+        narrow = lambda values: values.astype(np.min_scalar_type(values.max(initial=0)))
         order = np.argsort(hashes, kind="stable")
-        begin = np.cumsum(sizes) - sizes
-        self.hashes, self.ids = hashes[order], ids
-        self.begin, self.sizes = begin[order].astype(np.int32), sizes[order].astype(np.int32)
+        begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.hashes, self.ids = hashes[order], narrow(ids)
+        self.begin, self.sizes = begin[order], narrow(sizes[order])
 
     def find(self, hashes):
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def lexicon(docs: DataFrame, path: str, vocabulary: Vocabulary, shared, common: int) -> Lexicon:
+def lexicon(docs: DataFrame, path: str, vocabulary: Vocabulary, ranks: dict, shared, common: int) -> Lexicon:
     """The single tokens and the corpus's commonest other words, at most ``common``, folded by Spark."""
     import pyarrow as pa
 
     counted = staged(distinct_words(docs, vocabulary.pattern), "words")
     least = common_words(counted, common)
+    single = docs.sparkSession.sparkContext.broadcast(frozenset(ranks))
 
     def coded(batches):
-        vocab = shared.value
+        vocab, tokens_known = shared.value, single.value
         for batch in batches:
             words = [w.encode() for w in batch.column(0).to_pylist()]
-            words = [w for w in words if w not in vocab.ranks]
+            words = [w for w in words if w not in tokens_known]
             if words:
                 parts = [[vocab.code(w) for w in words]]
                 hashes = _hashed(words).view(np.int64)
@@ -246,9 +249,8 @@ def lexicon(docs: DataFrame, path: str, vocabulary: Vocabulary, shared, common:
 
     rows = mapped(counted.where(F.col("n") >= least).select("word"), coded, "hashes array<long>, words array<string>")
     folded = rows.select("hashes", F.array_join(folder(path)(F.col("words")), "\n").alias("pieces"))
-    singles = vocabulary.ranks
-    hashes, sizes = [_hashed(list(singles))], [np.ones(len(singles), np.int64)]
-    ids = [np.array(list(singles.values()), np.uint32)]
+    hashes, sizes = [_hashed(list(ranks))], [np.ones(len(ranks), np.int64)]
+    ids = [np.array(list(ranks.values()), np.uint32)]
     for batch in folded.toArrow().to_batches(max_chunksize=1):  # at most ``common`` short words in all
         pieces = batch.column(1)[0].as_py()
         spelled = token_ids(pieces)
@@ -292,7 +294,7 @@ class Splitter:
         # Ids of the fresh stretches: those of known words, a mark for each unknown one.
         sizes = np.where(found < 0, 1, self.words.sizes[found]).astype(np.int64)
         begin = np.where(found < 0, 0, self.words.begin[found]).astype(np.int64)
-        ids = ragged(self.words.ids, begin, sizes)
+        ids = ragged(self.words.ids, begin, sizes).astype(np.uint32)
         word_at = np.cumsum(sizes) - sizes
         ids[word_at[missing]] = MARK + number.astype(np.uint32)
         owner = np.repeat(np.arange(len(fresh)), counts)
@@ -312,15 +314,28 @@ class Splitter:
         return ragged(every, begin[inverse], size[inverse]), total[np.searchsorted(starts, offsets)], unknown
 
 
+def _one_by_one(batches, rows):
+    """What ``rows`` makes of each batch; a batch's memory is given back before the next is read."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield from rows(batch)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 _SPLITTERS = {}
 
 
-def _splitter(vocabulary, known_words) -> "Splitter":
-    """One splitter per worker process, so stretches stay known from task to task."""
-    key = id(known_words)
+def _splitter(key: str, shared, known) -> "Splitter":
+    """One splitter per worker process and run, so stretches stay known from task to task.
+
+    Workers take turns at both steps of a run, and between turns Spark forgets the broadcasts of the other step. So
+    the run has a name, and its words are read once a worker, after those of an earlier run are gone.
+    """
     if key not in _SPLITTERS:
         _SPLITTERS.clear()
-        _SPLITTERS[key] = Splitter(vocabulary, known_words)
+        _SPLITTERS[key] = Splitter(shared.value, known.value)
     return _SPLITTERS[key]
 
 
@@ -333,19 +348,21 @@ def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON, finis
     import pyarrow as pa
 
     context = docs.sparkSession.sparkContext
-    vocabulary = Vocabulary(read_ranks(path), pattern)
+    ranks, run = read_ranks(path), uuid.uuid4().hex
+    vocabulary = Vocabulary(ranks, pattern)
     shared = context.broadcast(vocabulary)
-    known = context.broadcast(lexicon(docs, path, vocabulary, shared, common))
-    tokens_by_id = [b""] * (max(vocabulary.ranks.values()) + 1)
-    for token, rank in vocabulary.ranks.items():
+    known = context.broadcast(lexicon(docs, path, vocabulary, ranks, shared, common))
+    tokens_by_id = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
         tokens_by_id[rank] = token
     pieces = context.broadcast(tokens_by_id)
     id_field = docs.schema["doc_id"]
     kind = id_field.dataType.simpleString()
 
     def split(batches):
-        splitter = _splitter(shared.value, known.value)
-        for batch in batches:
+        splitter = _splitter(run, shared, known)
+
+        def rows(batch):
             for first, data, offsets in textscan.slices(batch.column(1), _CHUNK):
                 ids, bounds, unknown = splitter.encode(data, offsets)
                 n = len(offsets) - 1
@@ -355,16 +372,19 @@ def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON, finis
                         lists(batch.column(0).slice(first, n)),
                         lists(pa.array(np.diff(bounds))),
                         pa.array([ids.astype("<u4").tobytes()], pa.binary()),
-                        lists(pa.array([shared.value.code(w) for w in unknown], pa.string())),
+                        lists(pa.array([splitter.vocabulary.code(w) for w in unknown], pa.string())),
                     ],
                     names=["doc_ids", "sizes", "ids", "words"],
                 )
 
+        return _one_by_one(batches, rows)
+
     def join(batches):
         table = pieces.value
         done = finish or (lambda ids, decoded: (ids.astype("<u4").tobytes(), decoded))
         names = ["doc_id", *[f.split()[0] for f in fields.split(", ")]]
-        for batch in batches:
+
+        def rows(batch):
             for row in range(batch.num_rows):
                 sizes = batch.column(1)[row].values.to_numpy()
                 ids = np.frombuffer(batch.column(2)[row].as_buffer(), "<u4")
@@ -393,6 +413,8 @@ def encode(docs: DataFrame, path: str, pattern: str, common: int = COMMON, finis
                         [doc_ids.slice(a, min(1024, len(values) - a)), *[pa.array(list(c)) for c in columns]], names=names
                     )
 
+        return _one_by_one(batches, rows)
+
     fold = folder(path)
     rows = mapped(docs.select("doc_id", "text"), split, f"doc_ids array<{kind}>, sizes array<long>, ids binary, words array<string>")
     rows = rows.select("doc_ids", "sizes", "ids", fold(F.col("words")).alias("words"))

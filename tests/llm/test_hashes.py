@@ -4,6 +4,7 @@ context tree whose passes meet the rows in other tasks each time."""
 import collections
 import hashlib
 import math
+import pickle
 import zlib
 
 import numpy as np
@@ -161,3 +162,33 @@ def test_passes_in_other_tasks(spark, tmp_path, monkeypatch):
     assert len(passes) >= 2 and len(cut) == len(whole) == docs.count()
     for a, b in zip(whole, cut):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
+
+
+class _Sent:
+    """A broadcast as a worker sees it; counts how often its value is read."""
+
+    def __init__(self, value):
+        self.held, self.reads = value, 0
+
+    @property
+    def value(self):
+        self.reads += 1
+        return pickle.loads(pickle.dumps(self.held))
+
+
+def test_byte_bpe_worker_memory():
+    """The words of a run are read once a worker, however often it changes its step, and held narrowly."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert max(ranks.values()) < 1 << 16  # queries._digests
+    vocabulary = byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    assert len(pickle.dumps(vocabulary)) < 20_000
+    words = list(ranks)[:30_000]
+    known = byte_bpe.Lexicon(byte_bpe._hashed(words), np.ones(len(words), np.int64), np.arange(len(words), dtype=np.uint32))
+    assert len(pickle.dumps(known)) < 16 * len(words)
+    assert known.ids[known.begin[known.find(byte_bpe._hashed(words[7:9]))]].tolist() == [7, 8]
+    shared, sent = _Sent(vocabulary), _Sent(known)
+    first = byte_bpe._splitter("one run", shared, sent)
+    assert byte_bpe._splitter("one run", _Sent(vocabulary), again := _Sent(known)) is first
+    assert (sent.reads, again.reads) == (1, 0)
+    assert byte_bpe._splitter("another run", shared, sent) is not first
+    byte_bpe._SPLITTERS.clear()
