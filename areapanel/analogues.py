@@ -155,33 +155,38 @@ def price_sum():
     return F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))
 
 
-def month_labels(spark, folder) -> dict[str, str]:
-    """Wide column names by month, over all years of the table, in both accepted forms."""
-    first, last = table(spark, folder, "lineitem").agg(
-        F.min(F.year(F.expr(SHIPPED))), F.max(F.year(F.expr(SHIPPED)))
-    ).first()
+def shipped_year():
+    """The year of ``SHIPPED``, without adding an interval to every time."""
+    return F.year("l_shipdate") + 18
+
+
+def month_labels(spark, folder) -> dict[int, str]:
+    """Wide column names by number of month (year times 12, plus 0 to 11), over all years of the table, in both
+    accepted forms."""
+    first, last = table(spark, folder, "lineitem").agg(F.min(shipped_year()), F.max(shipped_year())).first()
     months = [dt.date(y, m, 1) for y in range(first or 2014, (last or 2014) + 1) for m in range(1, 13)]
-    return {d.isoformat(): d.isoformat() if d.month % 2 else d.strftime("%m/28/%Y") for d in months}
+    return {d.year * 12 + d.month - 1: d.isoformat() if d.month % 2 else d.strftime("%m/28/%Y") for d in months}
 
 
 def wide_values(spark, folder) -> DataFrame:
-    """One text column per month and one row per supplier; thin months hold bad text."""
-    lines = F.count(F.lit(1))
-    text = (
-        F.when(lines == 1, "NaN")
-        .when(lines == 2, F.concat(F.lit("-"), price_sum().cast("string")))
-        .when(lines == 3, "n/a")
-        .otherwise(price_sum().cast("string"))
-    )
+    """One text column per month and one row per supplier; thin months hold bad text.
+
+    Counts and sums are pivoted, texts are made of them afterwards: texts cannot be pivoted by hash, and each would
+    be held against every month.
+    """
     labels = month_labels(spark, folder)
     monthly = (
         table(spark, folder, "lineitem")
-        .groupBy("l_suppkey", F.trunc(F.expr(SHIPPED), "month").cast("string").alias("month"))
-        .agg(text.alias("text"))
+        .withColumn("month", shipped_year() * 12 + F.month("l_shipdate") - 1)
         .groupBy("l_suppkey")
         .pivot("month", list(labels))
-        .agg(F.first("text"))
+        .agg(F.count(F.lit(1)).alias("lines"), price_sum().alias("total"))
     )
+
+    def text(month):
+        lines, total = F.col(f"{month}_lines"), F.col(f"{month}_total").cast("string")
+        return F.when(lines == 1, "NaN").when(lines == 2, F.concat(F.lit("-"), total)).when(lines == 3, "n/a").otherwise(total)
+
     supplier = table(spark, folder, "supplier")
     here = F.col("s_acctbal") >= 0
     return monthly.join(supplier, monthly["l_suppkey"] == supplier["s_suppkey"]).select(
@@ -189,7 +194,7 @@ def wide_values(spark, folder) -> DataFrame:
         F.lit("zip").alias("RegionType"),
         F.when(here, "IL").otherwise("WI").alias("State"),
         F.when(F.col("s_nationkey") != 11, "Chicago").otherwise("chicago").alias("City"),
-        *[F.col(month).alias(label) for month, label in labels.items()],
+        *[text(month).alias(label) for month, label in labels.items()],
     )
 
 
@@ -236,7 +241,7 @@ def _yearly_people(spark, folder) -> DataFrame:
     """Per area and year the cells of a response row: id, name, count as text (some are unreadable)."""
     yearly = (
         table(spark, folder, "lineitem")
-        .groupBy(F.col("l_suppkey"), F.year(F.expr(SHIPPED)).alias("year"))
+        .groupBy(F.col("l_suppkey"), shipped_year().alias("year"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("q"))
     )
     area = supplier_area()
