@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from areapanel.llm import repeats
@@ -95,3 +97,38 @@ def test_multikey_order(seed):
         (g, a), (h, b) = keys[order[k - 1]], keys[order[k]]
         n = next((i for i in range(40) if a[i] != b[i]), 40)
         assert shared[k] == (n if g == h else -1)
+
+
+def test_work_arrays_of_many_texts():
+    """A batch of many megabytes is worked on in small slices, so a worker's arrays do not grow with it."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(t).decode() for t in rng.integers(97, 123, (2000, 3000)).astype(np.uint8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(len(texts))]), pa.array(texts)], names=["key", "text"])
+    tracemalloc.start()
+    found = sum(len(repeats.contexts(data, offsets)[0]) for _, _, data, offsets in repeats._batches([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= len(texts) and most < 48 << 20
+
+
+def test_slices_do_not_change_contexts(monkeypatch):
+    """Steps that meet a text in other slices must find the same contexts, also of texts longer than a slice."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(t).decode() for n in (500, 90_000, 3000, 399, 20_000, 0, 450) for t in [rng.integers(97, 100, n).astype(np.uint8)]]
+
+    def found(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array([t[:500].encode() for t in texts], pa.binary()), pa.array(texts)], names=["key", "text"])
+        return sorted((keys[o], d) for keys, _, data, offsets in repeats._batches([batch]) for o, *_, d in zip(*repeats.contexts(data, offsets)))
+
+    whole = found(texts)
+    monkeypatch.setattr(repeats, "SLICE", 4000)
+    assert found(texts) == whole == sorted(d for t in texts for d in found([t]))
+
+
+def test_rows_are_handed_on():
+    """Bands and windows of a batch of contexts leave a task in parts, in order; none without rows."""
+    n = 2 * repeats.ROWS + 5
+    made = list(repeats.record_batches(((i, b"x") for i in range(n)), [pa.int64(), pa.binary()], ["at", "window"]))
+    assert [b.num_rows for b in made] == [repeats.ROWS, repeats.ROWS, 5]
+    assert [i for b in made for i in b.column("at").to_pylist()] == list(range(n))
+    assert list(repeats.record_batches([], [pa.int64()], ["at"])) == []
