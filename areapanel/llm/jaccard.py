@@ -13,9 +13,12 @@ Documents that meet in an index entry belong to the group of the entry's smalles
 its pivot; two similar documents share a group. A group is cut into blocks of ``BLOCK`` documents, each
 with the pivot, and all pairs inside a block are compared exactly in one task, which returns a
 spanning forest of the links. A group of several blocks that is not yet one component has its
-largest component set against the rest, block by block, and the rest against itself. So no link
-between components is missed, no pairs are written out, and a group of near copies that the blocks
-already join costs one comparison per block.
+largest component set against the rest, block by block, and the rest against itself. One of more than
+``ACROSS`` blocks mostly comes from an entry of one common shingle, grows with the table and holds few
+links; its documents are first grouped anew by their prefixes: with shingles in one order for all, rare
+ones first, two similar sets share one of the first s - ceil(s * p / 100) + 1 of each. Shingles within
+one component are left out. So no link between components is missed, no pairs are written out, and a
+group of near copies that the blocks already join costs one comparison per block.
 
 Shingles are told apart by 64-bit hashes, sets of equal shingles by 128-bit digests.
 
@@ -34,11 +37,16 @@ from pyspark.sql import functions as F
 from areapanel.session import staged
 
 from . import textscan
-from .common import components, importable, mapped, split_by_ids
+from .common import common_words, components, importable, mapped, split_by_ids
 
 #: Documents of a group that are compared in one task, and columns of a matrix of shingles.
 BLOCK = 512
 COLUMNS = 4096
+#: Blocks of a group that are compared with each other; the documents of larger groups are grouped anew.
+ACROSS = 4
+#: Shingles that are counted together, and shingles at most whose count orders prefixes.
+COUNTED = 1 << 20
+KNOWN = 1 << 17
 
 
 class Bands:
@@ -259,32 +267,99 @@ def _links(blocks: DataFrame, texts: DataFrame, keys: list, width: int, percent:
     return ready.groupBy(*keys).applyInArrow(compare, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) for every row of ``docs``."""
-    rows = staged(set_rows(docs, width), "sizes")
-    real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    equal = staged(real.join(classes, "digest").groupBy("doc_id", "digest", "first").agg(F.count("*").alias("n")), "equal")
-    copies, repeated = equal.where("doc_id <> first"), not equal.where("n > 1").isEmpty()
-    # Entries are shuffled once: the pivot of a place is found where its entries lie.
-    pivot = F.min("probing").over(Window.partitionBy("place"))
-    members = _entries(docs, copies, width, percent).withColumn("pivot", pivot)
-    members = staged(members.where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "members")
-    many = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    many = staged(many, "blocks")
+def common_shingles(texts: DataFrame, width: int):
+    """Shingles that several documents hold and their counts, the ``KNOWN`` commonest, ordered by shingle.
 
-    def texts(ids):
-        found, _ = split_by_ids(docs.select("doc_id", "text"), ids)
-        return found.dropDuplicates() if repeated else found
+    Shingles are counted in pieces of ``COUNTED``, and one that a piece holds once is not counted: the counts
+    only order shingles, and common ones recur in a piece.
+    """
+    import pyarrow as pa
+
+    def counted(held):
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        many = counts > 1
+        return pa.RecordBatch.from_pydict({"shingle": pa.array(values[many].view(np.int64)), "n": pa.array(counts[many])})
+
+    def rows(batches):
+        held = []
+        for batch in batches:
+            for _, data, offsets in textscan.slices(batch.column(0)):
+                held.append(shingle_sets(data, offsets, width)[0])
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
+
+    counts = mapped(texts.select("text"), rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "common")
+    found = counts.where(F.col("n") >= common_words(counts, KNOWN)).toArrow()
+    values = found.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found.column("n").to_numpy()[order]
+
+
+def prefixes(values, owners, sizes, percent, common):
+    """Shingles (value, owner) of every set's prefix; ``common`` are shingles and counts, ordered by shingle.
+
+    All sets are in the same order, by count and value, and two similar sets share a shingle of both prefixes.
+    """
+    known, counts = common
+    weights = np.zeros(len(values), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        weights = np.where(known[at] == values, counts[at], 0)
+    order = np.lexsort((values, weights, owners))
+    owners = owners[order]
+    place = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owners]
+    first = place < (sizes + sizes * -percent // 100 + 1)[owners]
+    return values[order][first], owners[first]
+
+
+def _prefix_members(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct (pivot, doc_id): documents of ``placed`` (doc_id, root) that share a shingle of their prefixes with the pivot
+    and with a document of another root. The pivot is the shingle's smallest document."""
+    import pyarrow as pa
+
+    common = common_shingles(texts, width)
+
+    def rows(batches):
+        for batch in batches:
+            for first, data, offsets in textscan.slices(batch.column(1)):
+                values, owners, sizes = shingle_sets(data, offsets, width)
+                values, owners = prefixes(values, owners, sizes, percent, common)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column(0).slice(first, len(sizes)),
+                        "shingles": _lists(values, np.bincount(owners, minlength=len(sizes))),
+                    }
+                )
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = mapped(texts.select("doc_id", "text"), rows, f"doc_id {kind}, shingles array<long>").join(placed, "doc_id")
+    same = Window.partitionBy("shingle")
+    found = found.select("doc_id", "root", F.explode("shingles").alias("shingle")).select(
+        "doc_id",
+        F.min("doc_id").over(same).alias("pivot"),
+        F.min("root").over(same).alias("low"),
+        F.max("root").over(same).alias("high"),
+    )
+    return found.where("low <> high AND doc_id <> pivot").select("pivot", "doc_id").distinct()
 
+
+def _in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (pivot, block, doc_id, side) that compare every block of a group with itself and the pivot; (pivot, blocks)."""
+    many = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    many = staged(many, "blocks")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     own = members.join(many, "pivot").select("pivot", block.alias("block"), "doc_id", F.lit(2).alias("side"))
     heads = many.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.lit(2).alias("side"))
-    wanted = staged(members.select("doc_id").union(many.select("pivot")).distinct(), "wanted")
-    found = staged(_links(own.union(heads), texts(wanted), ["pivot", "block"], width, percent), "links")
-    copied = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    roots = staged(components(copied.union(found)), "roots")
+    return own.union(heads).withColumn("block", F.col("block").cast("string")), many
+
 
+def _open_groups(members: DataFrame, many: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pivot, doc_id, root, main, mains, others) of groups of several blocks that are not yet one component: ``main`` is
+    the largest component, ``mains`` and ``others`` the blocks that it and the rest take."""
     large = members.join(many.where("blocks > 1").select("pivot"), "pivot")
     large = large.join(roots, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     large = staged(large, "large")
@@ -298,7 +373,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         F.ceil(F.col("main.n") / F.lit(BLOCK)).cast("int").alias("mains"),
         F.ceil((F.col("n") - F.col("main.n")) / F.lit(BLOCK)).cast("int").alias("others"),
     )
-    large = staged(large.join(open_groups, "pivot"), "open")
+    return staged(large.join(open_groups, "pivot"), "open")
+
+
+def _across(large: DataFrame) -> DataFrame:
+    """Rows (pivot, block, doc_id, side) that compare all pairs of different components of open groups."""
     is_main, spread = F.col("root") == F.col("main"), F.xxhash64("doc_id")
     other = F.pmod(spread, F.col("others")).cast("int")
     through = lambda n: F.sequence(F.lit(0), n - 1)
@@ -317,12 +396,51 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         ),
     )
     placed = F.when(is_main, main_names).otherwise(F.concat(against_main, among))
-    across = large.select("pivot", "doc_id", F.explode(placed).alias("at")).select("pivot", "at.block", "doc_id", "at.side")
+    return large.select("pivot", "doc_id", F.explode(placed).alias("at")).select("pivot", "at.block", "doc_id", "at.side")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) for every row of ``docs``."""
+    rows = staged(set_rows(docs, width), "sizes")
+    real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = staged(real.join(classes, "digest").groupBy("doc_id", "digest", "first").agg(F.count("*").alias("n")), "equal")
+    copies, repeated = equal.where("doc_id <> first"), not equal.where("n > 1").isEmpty()
+    # Entries are shuffled once: the pivot of a place is found where its entries lie.
+    pivot = F.min("probing").over(Window.partitionBy("place"))
+    members = _entries(docs, copies, width, percent).withColumn("pivot", pivot)
+    members = staged(members.where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "members")
+
+    def texts(ids):
+        found, _ = split_by_ids(docs.select("doc_id", "text"), ids)
+        return found.dropDuplicates() if repeated else found
+
+    def links(blocks, ids):
+        wanted = staged(ids.distinct(), "wanted")
+        return staged(_links(blocks, texts(wanted), ["pivot", "block"], width, percent), "links")
+
+    def joined(roots, found):
+        known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        return roots if found.isEmpty() else staged(components(known.union(found)), "roots")
+
+    blocks, many = _in_blocks(members)
+    found = links(blocks, members.select("doc_id").union(many.select("pivot")))
+    copied = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    roots = staged(components(copied.union(found)), "roots")
+    large = _open_groups(members, many, roots)
     if not large.isEmpty():
-        wanted = staged(large.select("doc_id").distinct(), "wanted")
-        more = staged(_links(across, texts(wanted), ["pivot", "block"], width, percent), "links")
-        joined = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
-        roots = staged(components(joined), "roots")
+        few = F.col("mains") + F.col("others") <= ACROSS
+        blocks, ids, wide = _across(large.where(few)), large.where(few).select("doc_id"), large.where(~few)
+        placed = staged(wide.select("doc_id", "root").distinct(), "placed")
+        anew = not placed.isEmpty()
+        if anew:
+            members = staged(_prefix_members(texts(placed.select("doc_id")), placed, width, percent), "members")
+            own, many = _in_blocks(members)
+            blocks, ids = blocks.union(own), ids.union(members.select("doc_id")).union(many.select("pivot"))
+        roots = joined(roots, links(blocks, ids))
+        large = _open_groups(members, many, roots) if anew else large.where(F.lit(False))
+        if not large.isEmpty():
+            roots = joined(roots, links(_across(large), large.select("doc_id")))
     named = roots.select(F.col("node").alias("doc_id"), "root")
     return rows.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")

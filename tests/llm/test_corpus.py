@@ -648,6 +648,45 @@ def test_jaccard(copies, docs, empty, monkeypatch, width, percent, block):
         assert jaccard.similar_documents(empty).collect() == []
 
 
+def test_a_common_line_costs_no_comparison_of_all_pairs(spark, monkeypatch):
+    """Texts that share one line meet in its entries, but what is compared grows with the texts, not with their square."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    compared, links = [], jaccard._links
+
+    def counted(blocks, *rest):
+        compared[-1] += blocks.count()
+        return links(blocks, *rest)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    for n in (400, 1600):
+        rng = random.Random(n)
+        rows = [prose(rng, rng.randint(20, 40), 50000) + " all rights of this line reserved here" for _ in range(n)]
+        rows[5::50] = [rows[4][:-1] + str(k) for k in range(len(rows[5::50]))]
+        rows = list(enumerate(rows))
+        compared.append(0)
+        got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80)
+        assert {tuple(r) for r in got.collect()} == brute_components(rows, 4, 80)
+    assert compared[1] < 7 * compared[0], compared
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = random.Random(2)
+    for percent in (60, 80, 85, 100):
+        for _ in range(100):
+            first = [rng.getrandbits(64) for _ in range(rng.randint(1, 60))]
+            second = [x for x in first if rng.random() * 100 > (100 - percent) / 2] + [rng.getrandbits(64)]
+            if rng.random() < 0.2:
+                second = list(first)
+            a, b = sorted(first), sorted(second)
+            if 100 * len({*a} & {*b}) < percent * len({*a} | {*b}):
+                continue
+            known = np.array(sorted(rng.sample(a, len(a) // 2)), np.uint64)
+            counts = np.array([rng.randint(2, 9) for _ in known], np.int64)
+            owners = np.array([0] * len(a) + [1] * len(b))
+            values, owners = jaccard.prefixes(np.array(a + b, np.uint64), owners, np.array([len(a), len(b)]), percent, (known, counts))
+            assert {*values[owners == 0].tolist()} & {*values[owners == 1].tolist()}
+
+
 def test_budgets_meet_every_similar_pair():
     rng = random.Random(1)
     for _ in range(300):
