@@ -53,3 +53,12 @@ def test_entry(spark):
     df = registry.entry(spark)
     assert df.columns == ["zip_code", "avg_property_crime_count"]
     assert df.count() > 0
+
+
+def test_exact_join_builds_cells_once_and_deals_rows_out_by_point(spark, monkeypatch):
+    written, staged = [], registry.spatial.staged
+    monkeypatch.setattr(registry.spatial, "staged", lambda df, name, *rest: written.append(name) or staged(df, name, *rest))
+    plan = plan_of(registry.panel_queries()["spatial_exact"](spark, FOLDER))
+    assert written.count("cells") == written.count("area_rows") == 1
+    assert "ZIP_Code" not in "".join(line for line in plan.splitlines() if "hashpartitioning(l_orderkey" in line)
+    assert "hashpartitioning(l_orderkey" in plan
