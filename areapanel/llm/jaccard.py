@@ -42,6 +42,8 @@ from .common import common_words, components, importable, mapped, split_by_ids
 #: Documents of a group that are compared in one task, and columns of a matrix of shingles.
 BLOCK = 512
 COLUMNS = 4096
+#: Text that a worker looks at together.
+SLICE_BYTES = 512 << 10
 #: Blocks of a group that are compared with each other; the documents of larger groups are grouped anew.
 ACROSS = 4
 #: Shingles that are counted together, and shingles at most whose count orders prefixes.
@@ -158,7 +160,7 @@ def set_rows(docs: DataFrame, width: int, percent: int | None = None) -> DataFra
     def rows(batches):
         bands = percent and Bands(percent, 1 << 30)
         for batch in batches:
-            for first, data, offsets in textscan.slices(batch.column(1)):
+            for first, data, offsets in textscan.slices(batch.column(1), SLICE_BYTES):
                 values, owners, sizes = shingle_sets(data, offsets, width)
                 found = {
                     "doc_id": batch.column(0).slice(first, len(sizes)),
@@ -255,7 +257,7 @@ def _links(blocks: DataFrame, texts: DataFrame, keys: list, width: int, percent:
         ids = table.column("doc_id").to_numpy()
         values = []
         for chunk in table.column("text").chunks:
-            for _, data, offsets in textscan.slices(chunk):
+            for _, data, offsets in textscan.slices(chunk, SLICE_BYTES):
                 found, _, sizes = shingle_sets(data, offsets, width)
                 values += np.split(found, np.cumsum(sizes)[:-1])
         pick = [np.flatnonzero(side != other) for other in (1, 0)]
@@ -283,7 +285,7 @@ def common_shingles(texts: DataFrame, width: int):
     def rows(batches):
         held = []
         for batch in batches:
-            for _, data, offsets in textscan.slices(batch.column(0)):
+            for _, data, offsets in textscan.slices(batch.column(0), SLICE_BYTES):
                 held.append(shingle_sets(data, offsets, width)[0])
                 if sum(map(len, held)) >= COUNTED:
                     yield counted(held)
@@ -325,7 +327,7 @@ def _prefix_members(texts: DataFrame, placed: DataFrame, width: int, percent: in
 
     def rows(batches):
         for batch in batches:
-            for first, data, offsets in textscan.slices(batch.column(1)):
+            for first, data, offsets in textscan.slices(batch.column(1), SLICE_BYTES):
                 values, owners, sizes = shingle_sets(data, offsets, width)
                 values, owners = prefixes(values, owners, sizes, percent, common)
                 yield pa.RecordBatch.from_pydict(
