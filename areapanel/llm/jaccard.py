@@ -45,7 +45,7 @@ COLUMNS = 4096
 #: Text that a worker looks at together.
 SLICE_BYTES = 512 << 10
 #: Blocks of a group that are compared with each other; the documents of larger groups are grouped anew.
-ACROSS = 4
+ACROSS = 16
 #: Shingles that are counted together, and shingles at most whose count orders prefixes.
 COUNTED = 1 << 20
 KNOWN = 1 << 17

@@ -651,6 +651,7 @@ def test_jaccard(copies, docs, empty, monkeypatch, width, percent, block):
 def test_a_common_line_costs_no_comparison_of_all_pairs(spark, monkeypatch):
     """Texts that share one line meet in its entries, but what is compared grows with the texts, not with their square."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "ACROSS", 4, raising=False)
     compared, links = [], jaccard._links
 
     def counted(blocks, *rest):
